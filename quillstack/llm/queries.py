@@ -6,9 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_round_trip
 from .common import documents
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .quality_rules import quality_rules
+from .token_files import token_files
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies; on a cluster the package is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
