@@ -11,4 +11,13 @@ ORACLES: dict[str, str] = {
                      first_value(doc_id) over (partition by norm order by chars desc, doc_id nulls last) as keep_id from n)
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(norm) as text_sha256 from k
     """,
+    "op9_warc": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        d as (select page_id, octet_length(encode(body)) as payload_bytes, sha256(body) as payload_digest from p),
+        k as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes < 100 or first_id is not distinct from page_id then 'response' else 'revisit' end as record_type,
+               case when payload_bytes >= 100 and first_id is distinct from page_id then first_id end as refers_to
+        from k
+    """,
 }

@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .token_files import token_files
+from .warc import warc_archive
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,6 +42,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive(documents(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
