@@ -10,8 +10,10 @@ from .bpe import bpe_round_trip
 from .common import documents
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .quality_model import quality_model
 from .quality_rules import quality_rules
 from .token_files import token_files
+from .toxicity import toxicity
 from .warc import warc_archive
 
 
@@ -30,6 +32,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -46,6 +52,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive(documents(spark, sf_dir, "pages"))
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
