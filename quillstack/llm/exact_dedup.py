@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE
+from .common import WHITESPACE, Scratch
 
 
 def content_hash(sha: Column) -> Column:
@@ -22,6 +22,13 @@ def content_hash(sha: Column) -> Column:
     return F.unhex(F.substring(sha, 1, 32))
 
 
+def visible(text: Column) -> Column:
+    """The text without white space: byte searches, several times faster than a character map."""
+    for c in WHITESPACE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
 
@@ -30,24 +37,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     character are equal. Rows repeated with the same id and text share one verdict. An empty table
     gives an empty result, and other columns of the input are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    norm = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("_chars"), F.translate(text, WHITESPACE, "").alias("_norm"))
-    norm = norm.withColumn("text_sha256", F.sha2(F.col("_norm").cast("binary"), 256)).withColumn("_h", hashed(F.col("text_sha256")))
+    scratch = Scratch(docs.sparkSession, "exact")
+    norm = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    norm = norm.select("doc_id", F.length("_text").alias("_chars"), visible(F.col("_text")).alias("_norm"))
+    digest = F.sha2(F.col("_norm").cast("binary"), 256)
     rank = F.struct((-F.col("_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
-
-    def with_keeper(rows: DataFrame, key: str) -> DataFrame:
-        groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("_best"))
-        return rows.join(groups, key)
-
-    narrow = norm.drop("_norm")
-    groups = narrow.groupBy("_h").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("_best"))
-    crowded = groups.where("group_size > 1").select("_h", "_best")
-    members = norm.select("doc_id", "_chars", "_h", "_norm").join(crowded, "_h")
-    stays = members.where((F.col("_best.id").eqNullSafe(F.col("doc_id"))) & (F.col("_best.less") == -F.col("_chars")))
+    count = F.count(F.lit(1)).alias("group_size")
+
+    narrow = scratch.keep(norm.select("doc_id", "_chars", digest.alias("text_sha256")).withColumn("_h", hashed(F.col("text_sha256"))), "narrow")
+    groups = narrow.groupBy("_h").agg(count, F.min(rank).alias("_best"))
+    crowded = narrow.select("doc_id", "_h").join(groups.where("group_size > 1"), "_h").select(F.col("doc_id").alias("_id"), "_h", "_best").distinct()
+    # the one shuffle of texts; only those of groups go on, and are written
+    members = norm.join(crowded, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text_sha256", digest)
+    members = scratch.keep(members.where(F.col("_h") == hashed(F.col("text_sha256"))).drop("_id"), "members")
+    stays = members.where(F.col("_best.id").eqNullSafe(F.col("doc_id")) & (F.col("_best.less") == -F.col("_chars")))
     stays = stays.groupBy("_h").agg(F.min("_norm").alias("_kept_norm"))
-    collided = members.select("_h", "_norm").join(stays, "_h").where("_norm != _kept_norm").select("_h").distinct()
+    collided = scratch.keep(members.select("_h", "_norm").join(stays, "_h").where("_norm != _kept_norm").select("_h").distinct(), "collided")
 
-    sound = narrow.join(groups, "_h").join(collided, "_h", "left_anti").drop("_h")
-    again = with_keeper(norm.join(collided, "_h", "left_semi").drop("_h"), "_norm").drop("_norm")
-    out = sound.unionByName(again)
-    return out.select("doc_id", F.col("_best.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("_best.id")).alias("kept"), "text_sha256")
+    sound = narrow.join(groups, "_h").join(collided, "_h", "left_anti")
+    rows = members.drop("_best").join(collided, "_h", "left_semi")
+    again = rows.join(rows.groupBy("_norm").agg(count, F.min(rank).alias("_best")), "_norm")
+    columns = ["doc_id", F.col("_best.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("_best.id")).alias("kept"), "text_sha256"]
+    return sound.select(columns).unionByName(again.select(columns))
