@@ -65,7 +65,7 @@ class Model:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features)
 
 
-def train(rows: list[tuple[list[int], int, list[tuple[list[int], list[int]]]]], names: list[str], l1: float = 2e-4, counterfactual: float = 0.05, rounds: int = 400) -> Model:
+def train(rows: list[tuple[list[int], int, list[tuple[list[int], list[int]]]]], names: list[str], l1: float = 1e-4, counterfactual: float = 0.05, rounds: int = 400) -> Model:
     """Accelerated proximal gradient descent.
 
     rows: (feature ids, label, swaps as (ids gone, ids come)). The counterfactual term is the mean over
