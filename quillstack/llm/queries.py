@@ -10,6 +10,7 @@ from .bpe import bpe_round_trip
 from .brown import lm_score
 from .common import documents
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .packing import pack_documents
 from .quality_model import quality_model
 from .quality_rules import quality_rules
@@ -25,6 +26,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
