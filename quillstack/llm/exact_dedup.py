@@ -59,3 +59,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = rows.join(rows.groupBy("_norm").agg(count, F.min(rank).alias("_best")), "_norm")
     columns = ["doc_id", F.col("_best.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("_best.id")).alias("kept"), "text_sha256"]
     return sound.select(columns).unionByName(again.select(columns))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns; of rows that also share the id, one."""
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    sha = F.sha2(visible(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), sha.alias("_sha"))
+    left = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
+    return left.dropDuplicates(["_id", "_sha"]).select("_row.*")

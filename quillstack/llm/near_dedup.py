@@ -325,3 +325,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     out = sketches.select("doc_id", "n_shingles", "set_hash").join(nodes, "set_hash", "left")
     return out.select("doc_id", "n_shingles", linked.alias("component_id"), linked.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_dedup keeps, with all their columns."""
+    gone = near_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -149,18 +149,34 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, base counts, base_failed, kept, quality_probability: one row per input row.
 
     Null and empty texts have no words, fail the base rules and are not kept; every rule abstains on
     them. Repeated rows are scored alike. An empty table gives an empty result with the model left at
-    its priors. Columns of the input other than the id, text and `carry` are ignored.
+    its priors. Columns of the input other than the id and text are ignored.
     """
-    spark = docs.sparkSession
-    found = Scratch(spark, "quality").keep(features(docs, id_col, text_col, carry), "features")
-    voted = found.select("*", *votes())
-    names = [f"vote_{r.name}" for r in RULES]
-    counted = [(tuple(row[n] for n in names), row["count"]) for row in voted.groupBy(*names).count().collect()]
-    model = fit(counted, len(RULES))
-    out = voted.select("*", posterior(model).alias("quality_probability"), base_failed().alias("base_failed"))
-    return out.select("doc_id", *carry, *BASE, "base_failed", (~F.col("base_failed") & (F.col("quality_probability") >= threshold)).alias("kept"), "quality_probability")
+    found = Scratch(docs.sparkSession, "quality").keep(features(docs, id_col, text_col), "features")
+    out = judged(found, learn(found)).withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= threshold))
+    return out.select("doc_id", *BASE, "base_failed", "kept", "quality_probability")
+
+
+def learn(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> dict:
+    names = [f"vote_{r.name}" for r in rules]
+    counted = found.select(*votes(rules)).groupBy(*names).count().collect()
+    return fit([(tuple(row[n] for n in names), row["count"]) for row in counted], len(rules))
+
+
+def judged(found: DataFrame, model: dict, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    return found.select("*", *votes(rules)).select("*", posterior(model, rules).alias("quality_probability"), base_failed().alias("base_failed"))
+
+
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns.
+
+    Features are computed once to fit the model and again to filter, so no text is shuffled or copied;
+    the original row travels as one struct, so its columns may have any name.
+    """
+    model = learn(features(docs, id_col, text_col))
+    found = features(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), F.struct("*").alias("_row")), id_col, text_col, ("_row",))
+    return judged(found, model).where(~F.col("base_failed") & (F.col("quality_probability") >= threshold)).select("_row.*")

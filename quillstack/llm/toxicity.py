@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +120,6 @@ def fit(sample: DataFrame, most_features: int = 4000, terms=IDENTITY_TERMS, **op
                 found = list(text_features(text.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y.as_py()] * len(found), pa.int32())], names=["feature", "y"])
 
-    spark = sample.sparkSession
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -143,27 +143,28 @@ def fit(sample: DataFrame, most_features: int = 4000, terms=IDENTITY_TERMS, **op
         held = {names[i] for i in r["ids"]}
         pairs = [([index[f] for f in token_features(a)], [index[f] for f in token_features(b)]) for a, b in swaps(held, terms)]
         rows.append((r["ids"], r["y"], pairs))
-    del spark
     return train(rows, names, **options)
 
 
-SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scorer(model: Model):
+    """A function of the text column; only texts cross to Python, the rest of a row stays in the JVM."""
     weights, bias = model.weights, model.bias
+    memo = Memo(lambda token: tuple(f for f in token_features(token) if f in weights), 200_000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda token: tuple(f for f in token_features(token) if f in weights), 200_000)
-        for batch in batches:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
             out = []
-            for text in batch.column(1):
-                held = set().union(*map(memo.__getitem__, (text.as_py() or "").split()))
+            for text in batch:
+                held = set().union(*map(memo.__getitem__, (text or "").split()))
                 z = bias + sum(weights[f] for f in sorted(held))
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=SCORED.fieldNames())
+            yield pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(run, T.DoubleType(), F.PandasUDFType.SCALAR_ITER)
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCORED)
+
+def fitted(docs: DataFrame, labels: DataFrame, bound: int = 8000, id_col: str = "doc_id", text_col: str = "text", terms=IDENTITY_TERMS) -> Model:
+    return fit(training_rows(docs, labels, "toxic", Scratch(docs.sparkSession, "toxicity"), bound, id_col, text_col), terms=terms)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 8000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", terms=IDENTITY_TERMS) -> DataFrame:
@@ -174,5 +175,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 8000, threshold: f
     alike, a null id is scored and not held in any label. An empty table gives an empty result. Only
     the id and text columns are read, so neither labels nor other columns can enter a score.
     """
-    model = fit(training_rows(docs, labels, "toxic", Scratch(docs.sparkSession, "toxicity"), bound, id_col, text_col), terms=terms)
-    return score(docs, model, id_col, text_col).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = scorer(fitted(docs, labels, bound, id_col, text_col, terms))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def mild_documents(docs: DataFrame, labels: DataFrame, bound: int = 8000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    score = scorer(fitted(docs, labels, bound, id_col, text_col))
+    rows = docs.select(F.struct("*").alias("_row"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("_score"))
+    return rows.where(F.col("_score") < threshold).select("_row.*")
