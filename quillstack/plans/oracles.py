@@ -33,7 +33,7 @@ _COVERAGE = f"""
     c as (select item_id, hits, total, case when total > 0 then hits / total else 1.0 end as score from s)
 """
 _LINES = "l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)"
-_OPEN = "(not regexp_matches({c}, '[.!?;:。！？；：][\"'')\\]]?$') or coalesce(lower(regexp_extract({c}, '([A-Za-z]+)\\W*$', 1)), '') in ('a','an','and','as','at','by','for','from','in','of','or','the','to','with'))"
+_OPEN = "(not regexp_matches({c}, '[.!?;:。！？；：][\"'')\\]]?$') or coalesce(lower(regexp_extract({c}, '([A-Za-z]+)[^\\pL\\pN_]*$', 1)), '') in ('a','an','and','as','at','by','for','from','in','of','or','the','to','with'))"
 _URLS = "list_sort(list_distinct(list_transform(regexp_extract_all(url, 'https?://[^\\s<>\"]+'), lambda u: regexp_replace(u, '[.,;:!?)\\]]+$', ''))))"
 _VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\\b.*?</script|style\\b.*?</style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 _RECT = "select label, vec_id as id, least(v0, v1) as x0, least(v2, v3) as y0, greatest(v0, v1) as x1, greatest(v2, v3) as y1 from (select label, vec_id, embedding[1]::double as v0, embedding[2]::double as v1, embedding[3]::double as v2, embedding[4]::double as v3 from embeddings)"

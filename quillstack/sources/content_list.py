@@ -102,7 +102,8 @@ def blocks_of(items: DataFrame, policy: dict[str, str] | None = None) -> DataFra
 def item_faults(items: DataFrame) -> DataFrame:
     """document, item, fault: what makes an item unfit for import; none means it is sound."""
     doc = Window.partitionBy("document_id").orderBy("item")
-    previous = F.lag("page_idx").over(doc)
+    items = items.withColumn("_previous", F.lag("page_idx").over(doc))
+    previous = F.col("_previous")
     blank = lambda c: F.col(c).isNull() | F.col(c).rlike(r"^\s*$|\x00")
     box = F.col("bbox")
     good_box = F.coalesce((F.size(box) == 4) & F.forall(box, lambda v: v.between(0, 1000)) & (F.get(box, 2) > F.get(box, 0)) & (F.get(box, 3) > F.get(box, 1)), F.lit(False))
