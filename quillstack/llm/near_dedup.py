@@ -12,8 +12,8 @@ about as often as the sets overlap. Four registers make a band of exactly 64 bit
 3. The proposals go through the joint likelihood of the two sketches given both set sizes, and then
    through an exact comparison of the two shingle sets.
 4. Buckets that hold more than one component afterwards are searched for the links that stars can't
-   see: first the likeliest partner of each member in every other component, then, among what is
-   still apart, every pair. Large buckets are compared block against block.
+   see: members that may have a partner in another component are compared where they meet, block
+   against block in large buckets, and only confirmed links that join components come out.
 
 A pair at similarity 0.75 shares none of the 32 bands with probability 5e-6, one at 0.8 with 5e-8.
 Nothing about documents is gathered on the driver, and no bucket is held by one task as a whole.
@@ -212,12 +212,66 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return owner
 
 
-def between(members: DataFrame, owner: DataFrame, reps: DataFrame, every: bool, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) in different components that share a bucket and may be linked.
+ROW = "band int, key bigint, i int, j int, x int, id bigint, comp bigint, pivot bigint, n bigint, sketch array<bigint>"
+MEETING = ["band", "key", "i", "j"]
 
-    With every=False, for each member only its likeliest partner in each other component. A pair is
-    looked at in the first band it shares, and pairs with a bucket's pivot were verified before.
-    Buckets of more than `block` rows are dealt into blocks, and every two blocks meet in one group.
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of equal (band, key, i, j) from sorted batches; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], 1)
+        cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            here = tuple(group[s].tolist())
+            if here != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = here
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Meeting:
+    """The rows of one bucket, or of two blocks of it, and which of them may be linked."""
+
+    def __init__(self, t: pa.Table):
+        self.band, self.i, self.j = (t[c][0].as_py() for c in ("band", "i", "j"))
+        self.ids, self.comps, self.n, self.x = (t[c].to_numpy().copy() for c in ("id", "comp", "n", "x"))
+        self.pivot = t["pivot"][0].as_py()
+        self.regs = _stack(t["sketch"])
+        self.keys = self.regs.view("<i8")
+
+    def partners(self, r: int) -> np.ndarray:
+        """Later rows in other components that may be linked with row r: of fitting size, not seen in an
+        earlier band, let through by the likelihood test. The pivot was compared with all before."""
+        if self.ids[r] == self.pivot:
+            return np.zeros(0, np.int64)
+        rest = np.arange(r + 1, len(self.ids))
+        n = self.n
+        fit = (self.comps[rest] != self.comps[r]) & (DEN * np.minimum(n[rest], n[r]) >= NUM * np.maximum(n[rest], n[r])) & (self.ids[rest] != self.pivot)
+        if self.i != self.j:
+            fit &= self.x[rest] != self.x[r]
+        rest = rest[fit]
+        if len(rest):
+            # 60 of 128 equal registers lie seven deviations below what a linked pair has
+            rest = rest[(self.regs[rest] == self.regs[r]).sum(1) >= 60]
+        if len(rest):
+            rest = rest[~(self.keys[rest, : self.band] == self.keys[r, : self.band]).any(1)]
+        if len(rest):
+            rest = rest[likely(np.broadcast_to(self.regs[r], (len(rest), REGISTERS)), np.full(len(rest), float(n[r])), self.regs[rest], n[rest].astype(float))[0]]
+        return rest
+
+
+def meetings(members: DataFrame, owner: DataFrame, reps: DataFrame, block: int = 512) -> DataFrame:
+    """The rows of buckets that hold several components, cut down to those with a possible partner.
+
+    Buckets of more than `block` rows are dealt into blocks, and every two blocks meet in one group,
+    so a task holds two blocks at most.
     """
     named = members.join(owner, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g")).where("lo != hi").drop("lo", "hi")
@@ -225,57 +279,53 @@ def between(members: DataFrame, owner: DataFrame, reps: DataFrame, every: bool,
     rows = rows.withColumn("x", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("band", "key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "comp", "pivot", "n", "sketch")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "id")
-
-    def search(t: pa.Table) -> pa.RecordBatch:
-        band, i, j = t["band"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
-        ids, comps, n, x = (t[c].to_numpy() for c in ("id", "comp", "n", "x"))
-        pivot = t["pivot"][0].as_py()
-        regs = _stack(t["sketch"])
-        keys = regs.view("<i8")
-        out: list[np.ndarray] = []
-        for r in range(len(ids) - 1):
-            rest = np.arange(r + 1, len(ids))
-            fit = (comps[rest] != comps[r]) & (DEN * np.minimum(n[rest], n[r]) >= NUM * np.maximum(n[rest], n[r])) & (ids[rest] != pivot)
-            if ids[r] == pivot:
-                continue
-            if i != j:
-                fit &= x[rest] != x[r]
-            rest = rest[fit]
-            if len(rest):
-                rest = rest[~(keys[rest, :band] == keys[r, :band]).any(1)]
-            if not len(rest):
-                continue
-            keep, value = likely(np.broadcast_to(regs[r], (len(rest), REGISTERS)), np.full(len(rest), float(n[r])), regs[rest], n[rest].astype(float))
-            rest, value = rest[keep], value[keep]
-            if len(rest) and not every:
-                order = np.lexsort((-value, comps[rest]))
-                first = np.unique(comps[rest][order], return_index=True)[1]
-                rest = rest[order[first]]
-            if len(rest):
-                out.append(np.stack([np.full(len(rest), ids[r]), ids[rest]], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], 1)
-            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if s == e:
-                    continue
-                here = tuple(group[s].tolist())
-                if here != last and held:
-                    yield search(pa.Table.from_batches(held))
-                    held = []
-                last = here
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield search(pa.Table.from_batches(held))
+        for t in _groups(batches):
+            m = _Meeting(t)
+            wanted = np.zeros(len(m.ids), bool)
+            for r in range(len(m.ids) - 1):
+                found = m.partners(r)
+                wanted[found] = True
+                wanted[r] |= len(found) > 0
+            yield from t.filter(pa.array(wanted)).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, PAIR).distinct()
+    return rows.repartition(parts, *MEETING).sortWithinPartitions(*MEETING, "id").mapInArrow(run, ROW)
+
+
+def links_between(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that join components inside a group: at most one fewer than components.
+
+    Pairs are compared where they meet and never emitted. Fingerprint sets tell how much is shared;
+    the full sets of the two texts confirm a link before it joins its components.
+    """
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = met.join(texts, "id").select("band", "key", "i", "j", "x", "id", "comp", "pivot", "n", "sketch", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(xxhash.xxh3_64_intdigest, 200_000)
+        for t in _groups(batches):
+            m, text = _Meeting(t), t["text"]
+            prints = [fingerprints(words_of(s.as_py()), memo) for s in text]
+            out: list[tuple[int, int]] = []
+            for r in range(len(m.ids) - 1):
+                rest = m.partners(r)
+                for at in range(0, len(rest), 256):
+                    part = rest[at : at + 256]
+                    whole = np.concatenate([prints[p] for p in part])
+                    place = np.minimum(np.searchsorted(prints[r], whole), len(prints[r]) - 1)
+                    sizes = np.array([len(prints[p]) for p in part])
+                    both = np.add.reduceat(prints[r][place] == whole, np.cumsum(sizes) - sizes, dtype=np.int64)
+                    for p in part[DEN * both >= NUM * (len(prints[r]) + sizes - both)]:
+                        if m.comps[p] == m.comps[r]:
+                            continue
+                        a, b = shingles(text[r].as_py()), shingles(text[int(p)].as_py())
+                        if DEN * len(a & b) >= NUM * len(a | b):
+                            out.append((int(m.ids[r]), int(m.ids[p])))
+                            m.comps[m.comps == m.comps[p]] = m.comps[r]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.repartition(parts, *MEETING).sortWithinPartitions(*MEETING, "id").mapInArrow(run, PAIR).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,14 +361,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.keep(verified(scratch.keep(estimated(stars, sets), "stars"), texts), "links-0")
     owner = components(links, scratch, "stars")
-    for k, every in enumerate((False, True), 1):
-        pairs = scratch.keep(between(members, owner, sets, every), f"pairs-{k}")
-        if not pairs.limit(1).count():
-            break
-        found = scratch.keep(verified(pairs, texts), f"links-{k}")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            owner = components(links, scratch, f"round-{k}")
+    met = scratch.keep(meetings(members, owner, sets), "meetings")
+    more = scratch.keep(links_between(met, texts), "links-1")
+    if more.limit(1).count():
+        owner = components(links.unionByName(more), scratch, "all")
 
     scratch.drop("texts", "members")
     nodes = reps.select("set_hash", F.col("id").alias("rep")).join(owner, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))

@@ -160,18 +160,21 @@ def test_near_dedup_is_brute_force(spark, texts):
         assert got == brute_components(docs)
 
 
-def test_blocks_lose_no_pair(spark):
-    """between() with tiny blocks proposes every linked pair that brute force finds in mixed buckets."""
-    docs = near_copies(2, groups=((20, 5),))
-    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    reps = nd.sketched(df, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").cache()
+def test_blocks_lose_no_link(spark):
+    """Without any star, whole buckets and tiny blocks alike join what brute force joins."""
+    docs = near_copies(2, groups=((20, 5), (25, 12)))
+    df = spark.createDataFrame(list(docs.items()), "id bigint, text string")
+    reps = nd.sketched(df, "id", "text").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").cache()
     members = reps.select("id", F.posexplode("sketch").alias("band", "key")).withColumn("pivot", F.lit(-1).cast("long"))
     nobody = spark.createDataFrame([], "id bigint, comp bigint")
-    one = {tuple(sorted(r)) for r in nd.between(members, nobody, reps, True, block=1000).collect()}
-    many = {tuple(sorted(r)) for r in nd.between(members, nobody, reps, True, block=4).collect()}
-    sets = {i: nd.shingles(t) for i, t in docs.items()}
-    linked = {(a, b) for a, b in itertools.combinations(sorted(docs), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    assert linked and linked <= one and one == many
+    want = brute_components(docs)
+    for block in (1000, 4):
+        found = nd.links_between(nd.meetings(members, nobody, reps, block), df).collect()
+        least = {i: i for i in docs}
+        for _ in docs:
+            for a, b in found:
+                least[a] = least[b] = min(least[a], least[b])
+        assert least == {i: c for i, (_, c) in want.items()}
 
 
 def test_sketches_merge_and_estimate():
