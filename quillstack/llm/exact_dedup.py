@@ -46,13 +46,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     narrow = scratch.keep(norm.select("doc_id", "_chars", digest.alias("text_sha256")).withColumn("_h", hashed(F.col("text_sha256"))), "narrow")
     groups = narrow.groupBy("_h").agg(count, F.min(rank).alias("_best"))
-    crowded = narrow.select("doc_id", "_h").join(groups.where("group_size > 1"), "_h").select(F.col("doc_id").alias("_id"), "_h", "_best").distinct()
+    # distinct first: nothing after a join on _h needs its rows together, so Spark may split a hot group
+    crowded = narrow.select(F.col("doc_id").alias("_id"), "_h").distinct().join(groups.where("group_size > 1"), "_h").select("_id", "_h", "_best")
     # the one shuffle of texts; only those of groups go on, and are written
     members = norm.join(crowded, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text_sha256", digest)
     members = scratch.keep(members.where(F.col("_h") == hashed(F.col("text_sha256"))).drop("_id"), "members")
     stays = members.where(F.col("_best.id").eqNullSafe(F.col("doc_id")) & (F.col("_best.less") == -F.col("_chars")))
     stays = stays.groupBy("_h").agg(F.min("_norm").alias("_kept_norm"))
-    collided = scratch.keep(members.select("_h", "_norm").join(stays, "_h").where("_norm != _kept_norm").select("_h").distinct(), "collided")
+    collided = scratch.keep(members.select("_h", "_norm").join(stays, "_h").where("_norm != _kept_norm").select("_h"), "collided")
 
     sound = narrow.join(groups, "_h").join(collided, "_h", "left_anti")
     rows = members.drop("_best").join(collided, "_h", "left_semi")
