@@ -204,6 +204,14 @@ ORACLES: dict[str, str] = {
     "page_split": """
         with p as (select doc_id, string_split(text, chr(10)) as p from documents), k as (select doc_id, case when regexp_matches(p[-1], '^\\s*$') then p[:-2] else p end as p from p)
         select doc_id, len(p)::bigint as pages, list_sum(list_transform(p, lambda x: length(x)))::bigint as chars from k where len(p) > 0""",
+    "markdown_build": """
+        with t as (select conv_id, turn, role, conv_id || '-' || turn as id, sha256(text) as sha, regexp_replace(replace(regexp_replace(trim(text), '[ \\t]*\\n[ \\t]*', ' ', 'g'), '\\', '\\\\'), '([`*_{}\\[\\]<>#])', '\\\\\\1', 'g') as s, regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\s+', 1) as n from conversations),
+        m as (select conv_id, turn, '<!-- bilingual:segment id=' || id || ' source_sha256=' || sha || ' -->' || chr(10) ||
+                     case role when 'system' then '**' || s || '**' || chr(10) || chr(10) || '> **done.**'
+                               when 'user' then repeat('#', case when n = '' then 2 else least(4, len(string_split(n, '.')) + 1) end::int) || ' ' || s || chr(10) || chr(10) || '> **done.**'
+                               else s || chr(10) || chr(10) || '> done.' end as md from t),
+        d as (select conv_id, string_agg(md, chr(10) || chr(10) order by turn) as md from m group by conv_id)
+        select conv_id, md5(md) as digest, length(md)::bigint as chars from d""",
     "placeholder_roundtrip": "select doc_id, true as restored, true as complete from documents",
     "rect_join": f"""
         with r as ({_RECT}), p as (select a.label, a.id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as shared, (b.x1 - b.x0) * (b.y1 - b.y0) as area
