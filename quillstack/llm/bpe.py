@@ -14,6 +14,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,6 +30,10 @@ BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
+#: A heap entry is a merge rank above forty bits of position, so it orders by rank and then from the left.
+PLACES = (1 << 40) - 1
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,7 +61,7 @@ class Memo(dict):
 class Bpe:
     """One vocabulary file: text to little-endian u32 ids, and ids to text."""
 
-    def __init__(self, path: str, engine: str = "heap", cap: int = 350_000):
+    def __init__(self, path: str, engine: str = "heap", cap: int = 800_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -66,12 +71,15 @@ class Bpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.letters = byte_letters()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = {(self.vocab[a], self.vocab[b]): (rank << 40, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.single = [self.vocab.get(c, -1) for c in self.letters]
         self.last = [self.vocab.get(c + self.suffix, -1) for c in self.letters] if self.suffix else self.single
         back = {c: b for b, c in enumerate(self.letters)}
         self.strings: dict[int, bytes] = {i: bytes(back[c] for c in s.removesuffix(self.suffix)) for s, i in self.vocab.items() if all(c in back for c in s.removesuffix(self.suffix))}
         self.strings |= {i: s.encode() for s, i in self.added.items()}
+        most = max(self.strings, default=0) + 1
+        self.pieces = Strings([self.strings.get(i, b"") for i in range(most)])
+        self.decimals = Strings([b"%d," % i for i in range(most)])
         self.pattern = regex.compile(WORD_PATTERN if self.suffix else BYTE_PATTERN)
         self.merge = self._heap if engine == "heap" else self._ranked(pairs)
         self.spaced = Memo(lambda w: self._pieces(" " + w), cap)
@@ -85,28 +93,30 @@ class Bpe:
         ids = [self.single[b] for b in piece]
         ids[-1] = self.last[piece[-1]]
         n = len(ids)
-        if n == 1:
+        find = self.merges.get
+        heap = [found[0] + i for i, pair in enumerate(zip(ids, ids[1:])) if (found := find(pair))]
+        if not heap:
             return ids
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        merges = self.merges
-        heap = []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
-        heapq.heapify(heap)
+        if len(heap) > 1:
+            heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, left, right, made = heapq.heappop(heap)
+            entry = pop(heap)
+            i = entry & PLACES
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            if j < 0 or (found := find((ids[i], ids[j]))) is None or found[0] + i != entry:
                 continue  # stale: a symbol has been merged away since
+            made = found[1]
             k = after[j]
-            ids[i], ids[j], after[i] = made, -1, k
+            ids[i], ids[j], after[i], after[j] = made, -1, k, -1
             if k >= 0:
                 before[k] = i
-                if found := merges.get((made, ids[k])):
-                    heapq.heappush(heap, (found[0], i, made, ids[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], made))):
-                heapq.heappush(heap, (found[0], h, ids[h], made, found[1]))
+                if found := find((made, ids[k])):
+                    push(heap, found[0] + i)
+            h = before[i]
+            if h >= 0 and (found := find((ids[h], made))):
+                push(heap, found[0] + h)
         return [x for x in ids if x >= 0]
 
     def _ranked(self, pairs: list) -> Callable[[bytes], list[int]]:
@@ -145,10 +155,12 @@ class Bpe:
                 text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
             else:
                 text = text.lower()
+        if text.isalpha() or (not self.suffix and text[1:].isalpha() and text[0] == " "):
+            return array("I", self.merge(text.encode())).tobytes()
         ids: list[int] = []
         for piece in self.pattern.findall(text):
             ids += self.merge(piece.encode())
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     # -- whole texts ---------------------------------------------------------------------------
 
@@ -185,8 +197,26 @@ class Bpe:
             out.append(np.asarray([self.added[part]], dtype="<u4").tobytes() if k % 2 else self._segment(part))
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return self.pieces.join(ids).decode("utf-8", "replace")
+
+
+class Strings:
+    """Byte strings by number, concatenated for an array of numbers without a Python step for each."""
+
+    def __init__(self, strings: list[bytes]):
+        self.blob = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes = np.asarray([len(s) for s in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def join(self, numbers: np.ndarray, block: int = 1 << 16) -> bytes:
+        out = []
+        for at in range(0, len(numbers), block):
+            part = numbers[at : at + block]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            out.append(self.blob[np.arange(ends[-1]) + np.repeat(self.starts[part] - ends + sizes, sizes)].tobytes())
+        return b"".join(out)
 
 
 @lru_cache(maxsize=4)
@@ -210,9 +240,9 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             counts, coded, decoded = [], [], []
             for text in batch.column(1):
-                ids = np.frombuffer(bpe.encode(text.as_py()), dtype="<u4").tolist()
+                ids = np.frombuffer(bpe.encode(text.as_py()), dtype="<u4")
                 counts.append(len(ids))
-                coded.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                coded.append(hashlib.sha256(bpe.decimals.join(ids)[:-1]).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=OUT.fieldNames())
 
