@@ -1,17 +1,22 @@
 """LM scoring with Brown class-based n-grams.
 
-Words fall into classes by exchange clustering: the most frequent ones are moved between classes
-while that raises the likelihood of the corpus's word bigrams, further frequent ones join the class
-whose neighbours fit theirs, and the rest form classes by frequency. A text's probability is the
-product of class transitions (trigrams smoothed by Witten and Bell's method down to unigrams) and
-of word emissions, add-one smoothed in the class of rare words, which holds all unseen words too.
-
-Counts come from all training texts. Tables of a stated size (the `frequent` words, classes cubed)
-are sent to the workers; words beyond them are counted and looked up by a shuffle join.
+Words fall into classes by exchange clustering: every word seen at least `least` times is moved
+between classes while that raises the likelihood of the corpus's word bigrams. The `clustered` most
+frequent words start it, then the words up to rank `placed` join the class that fits them best, then
+all others; after that whole sweeps over all words run in parallel, each against the class bigrams
+of the sweep before, and a sweep that does not raise the likelihood is undone and ends the run. A
+text's probability is the product of class transitions (trigrams smoothed by Witten and Bell's method
+down to unigrams) and of word emissions, add-one smoothed in the class of rare words, which holds all
+unseen words too.
+
+Counts come from all training texts. The `frequent` words are looked up in memory, all others by a
+shuffle join that gives their count and number; what grows with the vocabulary on the driver and the
+workers is one byte for each word that has a class.
 """
 
 from __future__ import annotations
 
+import gc
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +27,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Scratch, crc_of_id
 
@@ -35,7 +39,8 @@ class Sizes:
     """Bounds of the model: they limit tables, never the texts or the counts.
 
     Words seen fewer than `least` times are rare whatever the table's room: their share of the corpus
-    is what the model expects of words it has not seen.
+    is what the model expects of words it has not seen. All other words take part in the sweeps, and
+    `frequent` only says how many of them are looked up in memory instead of by a join.
     """
 
     frequent: int = 150_000
@@ -43,7 +48,6 @@ class Sizes:
     clustered: int = 512
     placed: int = 8192
     classes: int = 32
-    bands: int = 4
     sweeps: int = 6
 
 
@@ -123,111 +127,255 @@ def exchange(bigrams: np.ndarray, fixed: np.ndarray, classes: int, sweeps: int)
     return of
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def gains(joint: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
+    """What `exchange` computes for one word, for many: gain[w, b] of w in class b, all else staying.
+
+    right[w, c] and left[w, c] count neighbours of class c without w itself, own[w] counts w after w.
+    """
+    at = np.flatnonzero(of < classes)
+    gain = np.zeros((len(of), classes))
+    for to, back, table in ((right, left, joint), (left, right, joint.T)):
+        w, c = to.nonzero()
+        if not len(w):
+            continue
+        x, home = to[w, c], of[w]
+        base = table[:classes].T[c]
+        inside, same = np.flatnonzero(home < classes), np.flatnonzero(c == home)
+        base[inside, home[inside]] -= x[inside]
+        base[same] -= back[w[same], :classes]
+        both = same[home[same] < classes]
+        base[both, home[both]] -= own[w[both]]
+        np.maximum(base, 0, out=base)
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[starts]] += np.add.reduceat(_f(base + x[:, None]) - _f(base), starts)
+    d = np.tile(np.diag(joint)[:classes], (len(of), 1))
+    d[at, of[at]] -= right[at, of[at]] + left[at, of[at]] + own[at]
+    np.maximum(d, 0, out=d)
+    r, l = right[:, :classes], left[:, :classes]
+    gain += _f(d + r + l + own[:, None]) - _f(d + r) - _f(d + l) + _f(d)
+    for sums, table in ((right.sum(1) + own, joint), (left.sum(1) + own, joint.T)):
+        whole = np.tile(table.sum(1)[:classes], (len(of), 1))
+        whole[at, of[at]] -= sums[at]
+        np.maximum(whole, 0, out=whole)
+        gain -= _f(whole + sums[:, None]) - _f(whole)
+    return gain
+
+
+def moved(joint: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
+    """The best class of each word; joint follows the moves."""
+    gain = gains(joint, right, left, own, of, classes)
+    best, row = gain.argmax(1), np.arange(len(of))
+    stay = (of < classes) & (gain[row, best] <= gain[row, np.minimum(of, classes - 1)] + 1e-9)
+    best = np.where(stay, of, best)
+    go = np.flatnonzero(best != of)
+    for sign, c in ((-1, of[go]), (1, best[go])):
+        np.add.at(joint, c, sign * right[go])
+        np.add.at(joint.T, c, sign * left[go])
+        np.add.at(joint, (c, c), sign * own[go])
+    np.maximum(joint, 0, out=joint)
+    return best
+
+
 @dataclass
 class BrownModel:
-    words: list[bytes]
-    counts: np.ndarray
+    """Words are numbered by frequency; `classes` has two more entries, for rare words and text ends."""
+
     classes: np.ndarray
     log_next: np.ndarray
-    log_emit: np.ndarray
-    n: int
-    v: int
-    rare: int
-    end: int
+    log_mass: np.ndarray
     rare_mass: float
 
 
-def coded(index: dict[bytes, int], text: str | None) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(index.get, words, itertools.repeat(len(index))), np.int64, len(words))
+def joined_ids(column: pa.Array, mark: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a batch in one array, each after `before` marks, and where each text's marks start."""
+    lengths = np.fromiter((len(x.as_buffer()) // 4 for x in column), np.int64, len(column))
+    ids = np.frombuffer(b"".join(column.to_pylist()), np.int32)
+    starts = np.cumsum(lengths) - lengths
+    return np.insert(ids, np.repeat(starts, before), mark), starts + before * np.arange(len(column))
+
 
+def trigrams_of(column: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the class trigrams of a batch, their last classes, and where each text's begin (each has one at least)."""
+    mark = len(of) - 1
+    ids, starts = joined_ids(column, mark, 2)
+    c = of[np.append(ids, [mark, mark])].astype(np.int64)
+    total = int(of[-1]) + 1
+    # two ends stand between texts: the first closes a text, and what ends at the second belongs to none
+    at = np.delete(np.arange(2, len(c)), starts[1:] - 1)[:-1]
+    return (c[at - 2] * total + c[at - 1]) * total + c[at], c[at], starts - np.arange(len(starts))
 
-def _histogram(texts: DataFrame, index: dict[bytes, int], size: int, codes) -> np.ndarray:
-    """Sum of np.bincount(codes(ids)) over all texts; ids of a text are its words, unknown ones len(index)."""
+
+def _histogram(coded: DataFrame, size: int, codes) -> np.ndarray:
+    """Sum of np.bincount(codes(column)) over all batches; ids of a text are the numbers of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                found = codes(coded(index, text.as_py()))
-                if len(found) * 8 > size:
-                    held += np.bincount(found, minlength=size)
-                else:
-                    np.add.at(held, found, 1)
+            if batch.num_rows:
+                np.add.at(held, codes(batch.column(0)), 1)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["code", "n"])
 
-    table = texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = coded.select("ids").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[table["code"].to_numpy()] = table["n"].to_numpy()
     return out
 
 
-def train(texts: DataFrame, scratch: Scratch, sizes: Sizes = Sizes()) -> tuple[BrownModel, DataFrame]:
-    """The model, and the counts of the words beyond its table."""
-    vocabulary = scratch.keep(count_words(texts), "vocabulary")
-    whole = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0)).alias("ends")).first()
-    n, v, ends = whole["n"], whole["v"], whole["ends"]
-    known = vocabulary.where(F.length("word").between(1, LONGEST) & (F.col("n") >= sizes.least)).orderBy(F.desc("n"), "word").limit(sizes.frequent).toArrow()
-    words, counts = known["word"].to_pylist(), known["n"].to_numpy().astype(np.int64)
-    k, m = len(words), min(len(words), sizes.clustered)
+#: Words that move against the same class bigrams before these follow the moves.
+BLOCK = 1024
 
-    # exchange clustering of the most frequent words; other words and text ends keep classes of their own
+
+def neighbours(coded: DataFrame, v: int, parts: int, room: int = 1_000_000):
+    """An RDD of (part, n, pairs): word // parts and the code of a neighbour, for words below v with word % parts == part.
+
+    A code is twice the neighbour's number, and one more if it stands before the word. Pairs are packed
+    (sorted, differences of the first, bytes in planes, zstd), since there are two for each token. All
+    rows of a part are in one partition; the shuffle's files serve every sweep.
+    """
+    per = v // parts + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            w = np.concatenate(held).astype(np.int64)
+            a, b = w[:-1], w[1:]
+            word, code = np.concatenate([a, b]), np.concatenate([b * 2, a * 2 + 1])
+            known = word < v
+            word, code = word[known], code[known]
+            keys = np.sort((word % parts * per + word // parts) << 32 | code)
+            cuts = np.searchsorted(keys, np.arange(parts + 1) * per << 32)
+            rows = []
+            for part, (start, stop) in enumerate(itertools.pairwise(cuts.tolist())):
+                if stop > start:
+                    some = keys[start:stop]
+                    pairs = np.stack([np.diff((some >> 32) - part * per, prepend=0), some & 0xFFFFFFFF]).astype("<u4")
+                    rows.append((part, stop - start, pa.compress(pairs.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "pairs"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(joined_ids(batch.column(0), v + 1, 1)[0])
+                size += len(held[-1])
+            if size > room:
+                held.append(np.array([v + 1]))
+                yield out()
+                held, size = [], 0
+        if held:
+            held.append(np.array([v + 1]))
+            yield out()
+
+    return coded.select("ids").mapInArrow(run, "part int, n int, pairs binary").repartition(parts, "part").rdd
+
+
+def class_bigrams(coded: DataFrame, of: np.ndarray, total: int) -> np.ndarray:
+    """joint[a, b]: how often a word of class b follows one of class a."""
+    end = len(of) - 1
+
+    def codes(column: pa.Array) -> np.ndarray:
+        c = of[np.append(joined_ids(column, end, 1)[0], end)].astype(np.int64)
+        return c[:-1] * total + c[1:]
+
+    return _histogram(coded, total * total, codes).reshape(total, total).astype(float)
+
+
+def sweep(pairs, of: np.ndarray, joint: np.ndarray, parts: int, free: int, classes: int) -> np.ndarray:
+    """Classes after one parallel pass over the words below `free`."""
+    sent = pairs.context.broadcast((of, joint))
+    total, v = len(joint), len(of) - 2
+
+    def run(rows: Iterator) -> Iterator[tuple[int, bytes]]:
+        of, whole = sent.value
+        counts: dict[int, np.ndarray] = {}
+        for part, n, packed in rows:
+            mine = min(v, free)
+            words = max(0, -(-(mine - part) // parts))
+            if not words:
+                continue
+            if part not in counts:
+                counts[part] = np.zeros(words * 2 * (total + 1), np.int32)
+            raw = np.frombuffer(pa.decompress(bytes(packed), decompressed_size=8 * n, codec="zstd"), np.uint8)
+            steps, code = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(2, n)
+            local = np.cumsum(steps, dtype=np.int64)
+            stop = int(np.searchsorted(local, words))
+            local, code = local[:stop], code[:stop]
+            near = code >> 1
+            # the word itself as neighbour has a column of its own
+            c = np.where(near == local * parts + part, total, of[near])
+            np.add.at(counts[part], (local * 2 + (code & 1)) * (total + 1) + c, 1)
+        for part, held in sorted(counts.items()):
+            joint, best = whole.copy(), []
+            words = np.arange(part, min(v, free), parts)
+            held = held.reshape(-1, 2, total + 1)
+            for at in range(0, len(words), BLOCK):
+                right, left = held[at : at + BLOCK].transpose(1, 0, 2).astype(float)
+                best.append(moved(joint, right[:, :total], left[:, :total], right[:, total], of[words[at : at + BLOCK]].astype(np.int64), classes).astype(np.uint8).tobytes())
+            yield part, b"".join(best)
+
+    out = of.copy()
+    for part, values in pairs.mapPartitions(run).collect():
+        out[part : min(v, free) : parts] = np.frombuffer(values, np.uint8)
+    sent.destroy()
+    return out
+
+
+def likelihood(joint: np.ndarray, classes: int) -> float:
+    return float(_f(joint).sum() - _f(joint.sum(1)[:classes]).sum() - _f(joint.sum(0)[:classes]).sum())
+
+
+def word_classes(coded: DataFrame, v: int, tokens: int, sizes: Sizes) -> np.ndarray:
+    """A class for each of the v words, then those of rare words and of text ends."""
     C = sizes.classes
-    other, end_word = m, m + 1
+    rare, end, unplaced = C, C + 1, C + 2
+    of = np.full(v + 2, unplaced, np.uint8)
+    of[v:] = rare, end
+    if not v:
+        return of
+
+    # exchange clustering of the most frequent words; other words and text ends keep classes of their own
+    m = min(v, sizes.clustered)
     side = m + 2
 
-    def bigram_codes(ids: np.ndarray) -> np.ndarray:
-        w = np.concatenate([[end_word], np.where(ids < m, ids, other), [end_word]])
+    def bigram_codes(column: pa.Array) -> np.ndarray:
+        ids = np.append(joined_ids(column, v + 1, 1)[0], v + 1).astype(np.int64)
+        w = np.where(ids == v + 1, m + 1, np.minimum(ids, m))
         return w[:-1] * side + w[1:]
 
-    top = {w: i for i, w in enumerate(words[:m])}
-    bigrams = _histogram(texts, top, side * side, bigram_codes).reshape(side, side) if m else np.zeros((side, side), np.int64)
-    of = exchange(bigrams, np.asarray([-1] * m + [C, C + 1]), C, sizes.sweeps)
-
-    # further words join the class whose neighbours are most like theirs
-    p = min(k, sizes.placed)
-    near = C + 2
-    classes = np.zeros(k, np.int64)
-    classes[:m] = of[:m]
-    if p > m:
-        short = {w: i for i, w in enumerate(words[:p])}
-        lookup = np.concatenate([of[:m], np.full(p - m + 1, C), [C + 1]])
-        span = (p - m) * near
-
-        def context_codes(ids: np.ndarray) -> np.ndarray:
-            w = np.concatenate([[p + 1], ids, [p + 1]])
-            at = np.flatnonzero((w >= m) & (w < p))
-            own = (w[at] - m) * near
-            return np.concatenate([own + lookup[w[at - 1]], span + own + lookup[w[at + 1]]])
-
-        left, right = _histogram(texts, short, 2 * span, context_codes).reshape(2, p - m, near)
-        member = np.zeros((side, near))
-        member[np.arange(side), of] = 1
-        joint = member.T @ bigrams @ member + 0.5
-        follow = np.log(joint[:C] / joint[:C].sum(1, keepdims=True))
-        lead = np.log(joint[:, :C] / joint[:, :C].sum(0, keepdims=True)).T
-        classes[m:p] = (right @ follow.T + left @ lead.T).argmax(1)
-    # the rest by frequency; then rare words, and the end
-    if k > p:
-        classes[p:] = C + np.minimum(np.arange(k - p) * sizes.bands // max(1, k - p), sizes.bands - 1)
-    rare, end = C + sizes.bands, C + sizes.bands + 1
+    bigrams = _histogram(coded, side * side, bigram_codes).reshape(side, side)
+    of[:m] = exchange(bigrams, np.asarray([-1] * m + [C, C + 1]), C, sizes.sweeps)[:m]
+
+    # then all words
+    parts = 1 + tokens // 4_000_000
+    pairs = neighbours(coded, v, parts)
+    joint = class_bigrams(coded, of, C + 3)
+    for free in [sizes.placed, v] if v > sizes.placed else [v]:
+        of = sweep(pairs, of, joint, parts, free, C)
+        joint = class_bigrams(coded, of, C + 3)
+    for _ in range(sizes.sweeps):
+        new = sweep(pairs, of, joint, parts, v, C)
+        if (new == of).all():
+            break
+        after = class_bigrams(coded, new, C + 3)
+        if likelihood(after, C) <= likelihood(joint, C):
+            break
+        of, joint = new, after
+    return of
+
+
+def train(coded: DataFrame, v: int, tokens: int, rare_mass: float, sizes: Sizes = Sizes()) -> BrownModel:
+    of = word_classes(coded, v, tokens, sizes)
+    end = sizes.classes + 1
     total = end + 1
-    full = np.concatenate([classes, [rare]])
-    index = {w: i for i, w in enumerate(words)}
-
-    def trigram_codes(ids: np.ndarray) -> np.ndarray:
-        c = np.concatenate([[end, end], full[ids], [end]])
-        return (c[:-2] * total + c[1:-1]) * total + c[2:]
-
-    trigrams = _histogram(texts, index, total**3, trigram_codes).reshape(total, total, total).astype(float)
-    log_next = smoothed(trigrams)
-    class_mass = np.bincount(classes, counts, total) if k else np.zeros(total)
-    log_emit = np.log10(counts / class_mass[classes]) if k else np.zeros(0)
-    tail_n, tail_v = n - ends - int(counts.sum()), v - (1 if ends else 0) - k
-    model = BrownModel(words, np.concatenate([counts, [0, ends]]), full, log_next, log_emit, n, v, rare, end, float(np.log10(tail_n + tail_v + 1)))
-    beyond = vocabulary.where((F.length("word") > LONGEST) | ((F.length("word") > 0) & _after(known, sizes)))
-    return model, beyond
+
+    trigrams = _histogram(coded, total**3, lambda column: trigrams_of(column, of)[0]).reshape(total, total, total).astype(float)
+    mass = np.log10(np.maximum(trigrams.sum((0, 1)), 1))
+    mass[[sizes.classes, end]] = rare_mass, 0
+    return BrownModel(of, smoothed(trigrams), mass, rare_mass)
 
 
 def _after(known: pa.Table, sizes: Sizes):
@@ -250,10 +398,107 @@ def smoothed(trigrams: np.ndarray) -> np.ndarray:
     return np.log10(mix(trigrams, mix(two, low)[None, :, :]))
 
 
-PARTS = T.StructType(
-    [T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    + [T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType())])))]
-)
+PARTS = "row_id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, emit double, ids binary, rare array<struct<word:binary,tf:bigint>>"
+CODED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, emit double, ids binary"
+
+
+def numbered(words: DataFrame, first: int, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """word, n and id = first, first + 1, ... by falling n; how many there are, and the sum of n."""
+    kept = scratch.keep(words.orderBy(F.desc("n"), "word").select("word", "n", F.monotonically_increasing_id().alias("at")), "numbered")
+    part = F.shiftright("at", 33)
+    sizes = sorted(kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect())
+    offsets = dict(zip((r.part for r in sizes), itertools.accumulate((r.k for r in sizes), initial=first)))
+    shift = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[part] if sizes else F.lit(first)
+    return kept.select("word", "n", (shift + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("id")), sum(r.k for r in sizes), sum(r.n for r in sizes)
+
+
+def coded_rows(rows: DataFrame, scratch: Scratch, sizes: Sizes) -> tuple[DataFrame, int, int, int, float]:
+    """Rows with the numbers of their words and the sums that need no classes; words with a class, tokens, kinds, rare mass.
+
+    rows: doc_id, held_out, text. Rare and unseen words have the number of words with a class.
+    """
+    spark = rows.sparkSession
+    vocabulary = scratch.keep(count_words(rows.where(~F.col("held_out")).select("text")), "vocabulary")
+    whole = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0)).alias("ends")).first()
+    n, v, ends = whole["n"], whole["v"], whole["ends"]
+    known = vocabulary.where(F.length("word").between(1, LONGEST) & (F.col("n") >= sizes.least)).orderBy(F.desc("n"), "word").limit(sizes.frequent).toArrow()
+    k = known.num_rows
+    beyond = vocabulary.where((F.length("word") > LONGEST) | ((F.length("word") > 0) & _after(known, sizes)))
+    table, more_words, more_n = numbered(beyond.where(F.col("n") >= sizes.least), k, scratch)
+    classed = k + more_words
+    counts = known["n"].to_numpy().astype(np.int64)
+    rare_n, rare_v = n - ends - int(counts.sum()) - more_n, v - (1 if ends else 0) - classed
+    sent = spark.sparkContext.broadcast((known["word"].to_pylist(), counts))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = sent.value
+        index = {w: i for i, w in enumerate(words)}
+        gain, emit = np.log10(np.append(counts, 0) + 1.0), np.append(np.log10(counts), 0)
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                some = batch.slice(first, 1000)
+                out: list[list] = [[] for _ in range(6)]
+                far_words, far_counts, offsets = [], [], [0]
+                for text in some.column(2):
+                    tokens = words_of(text.as_py())
+                    ids = np.fromiter(map(index.get, tokens, itertools.repeat(k)), np.int32, len(tokens))
+                    far = np.flatnonzero(ids == k)
+                    unknown = [tokens[i] for i in far.tolist()]
+                    others = Counter(unknown)
+                    slots = {w: -1 - i for i, w in enumerate(others)}
+                    base, own = float(gain[ids].sum() + np.log10(ends + 1.0)), float(emit[ids].sum())
+                    ids[far] = [slots[w] for w in unknown]
+                    far_words.extend(others.keys())
+                    far_counts.extend(others.values())
+                    offsets.append(len(far_words))
+                    values = (row, len(ids) + 1, len(ids) - len(far) + int(ends > 0), base, own, ids.tobytes())
+                    for col, value in zip(out, values, strict=True):
+                        col.append(value)
+                    row += 1
+                kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()]
+                made = [pa.array(col, kind) for col, kind in zip(out, kinds, strict=True)]
+                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(far_words, pa.binary()), pa.array(far_counts, pa.int64())], ["word", "tf"]))
+                yield pa.RecordBatch.from_arrays([made[0], some.column(0), some.column(1), *made[1:], rare], names=[c.split()[0] for c in PARTS.split(", ")])
+
+    parts = scratch.keep(rows.mapInArrow(look_up, PARTS), "parts")
+    all_beyond = table.unionByName(beyond.where(F.col("n") < sizes.least).select("word", "n", F.lit(None).cast("int").alias("id")))
+    seen = parts.select("row_id", F.posexplode("rare").alias("slot", "r")).select("row_id", "slot", "r.*").join(all_beyond, "word")
+    more = seen.groupBy("row_id").agg(
+        F.sum("tf").alias("_known"),
+        F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("_gain"),
+        F.coalesce(F.sum(F.when(F.col("id").isNotNull(), F.col("tf") * F.log10("n"))), F.lit(0.0)).alias("_emit"),
+        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("slot", "id"))).alias("_ids"),
+    )
+    joined = parts.join(more, "row_id", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        (F.col("base") + F.coalesce("_gain", F.lit(0.0))).alias("base"),
+        (F.col("emit") + F.coalesce("_emit", F.lit(0.0))).alias("emit"),
+        "ids",
+        F.coalesce(F.col("_ids.slot"), F.array().cast("array<int>")).alias("slots"),
+        F.coalesce(F.col("_ids.id"), F.array().cast("array<int>")).alias("numbers"),
+    )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, slots, numbers in zip(*(batch.column(c) for c in (6, 7, 8)), strict=True):
+                ids = np.frombuffer(ids.as_py(), np.int32)
+                far = np.full(max(0, -int(ids.min(initial=0))), classed, np.int32)
+                far[slots.values.to_numpy()] = numbers.values.to_numpy()
+                at = np.flatnonzero(ids < 0)
+                ids = ids.copy()
+                ids[at] = far[-1 - ids[at]]
+                out.append(ids.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.binary())], names=[*batch.schema.names[:6], "ids"])
+
+    coded = scratch.keep(joined.mapInArrow(fill, CODED), "coded")
+    scratch.drop("parts", "vocabulary", "numbered")
+    sent.destroy()
+    return coded, classed, n, v, float(np.log10(rare_n + rare_v + 1))
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
@@ -267,46 +512,28 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     scratch = Scratch(spark, "brown")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(FOLDS)) == HELD_OUT
-    model, beyond = train(rows.where(~held_out).select("text"), scratch, sizes)
-    sent = spark.sparkContext.broadcast((model.words, model.counts, model.classes, model.log_next, model.log_emit))
-    end, rare_mass = model.end, model.rare_mass
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, classes, log_next, log_emit = sent.value
-        index = {w: i for i, w in enumerate(words)}
-        k = len(index)
-        gains, emits = np.log10(counts + 1.0), np.append(log_emit, -rare_mass)
-        total = log_next.shape[0]
+    coded, classed, n, v, rare_mass = coded_rows(rows.select("doc_id", held_out.alias("held_out"), "text"), scratch, sizes)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the coding before those of the sweeps are written
+    model = train(coded.where(~F.col("held_out")), classed, n, rare_mass, sizes)
+    given = spark.sparkContext.broadcast((model.classes, model.log_next, model.log_mass))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, log_next, log_mass = given.value
         flat = log_next.ravel()
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = words_of(text.as_py())
-                ids = np.fromiter(map(index.get, tokens, itertools.repeat(k)), np.int64, len(tokens))
-                c = np.concatenate([[end, end], classes[ids], [end]])
-                score = flat[(c[:-2] * total + c[1:-1]) * total + c[2:]].sum() + emits[ids].sum()
-                unknown = Counter(tokens[i] for i in np.flatnonzero(ids == k).tolist())
-                base = gains[ids].sum() + gains[k + 1]
-                values = (row, key, len(ids) + 1, int((ids < k).sum()) + int(counts[k + 1] > 0), float(base), float(score), [{"word": w, "tf": n} for w, n in unknown.items()])
-                for col, value in zip(out, values, strict=True):
-                    col.append(value)
-                row += 1
-            kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(out, kinds, strict=True)], names=PARTS.fieldNames())
-
-    parts = scratch.keep(rows.mapInArrow(run, PARTS), "parts")
-    seen = parts.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.*").join(beyond, "word")
-    more = seen.groupBy("row_id").agg(F.sum("tf").alias("_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("_gain"))
-    whole = parts.drop("rare").join(more, "row_id", "left")
-    gain, known = F.coalesce("_gain", F.lit(0.0)), F.coalesce("_known", F.lit(0))
-    smoothing = F.log10(F.lit(float(model.n + model.v + 1)))
-    return whole.select(
+            if not batch.num_rows:
+                continue
+            codes, last, firsts = trigrams_of(batch.column(6), of)
+            out = np.add.reduceat(flat[codes] - log_mass[last], firsts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.float64())], names=[*batch.schema.names[:6], "score"])
+
+    return coded.mapInArrow(score, CODED.replace("ids binary", "score double")).select(
         "doc_id",
-        held_out.alias("held_out"),
+        "held_out",
         "n_tokens",
-        (F.col("n_known") + known).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + gain - F.col("n_tokens") * smoothing).alias("base_score"),
-        (F.col("score") + gain).alias("score"),
+        "n_known",
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
+        (F.col("score") + F.col("emit")).alias("score"),
     )

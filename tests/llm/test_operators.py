@@ -214,6 +214,36 @@ def test_lm_scores(spark, texts):
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_every_word_is_clustered(spark):
+    """Words far below the ranks of the start are told apart by their neighbours."""
+    rng = random.Random(4)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [(i, " ".join(f"{'ab'[k % 2]}{rng.randrange(60)}" for k in range(80))) for i in range(200) if not held(i)]
+    first, second = [i for i in range(200) if held(i)][:2]
+    ordered = [f"{'ab'[k % 2]}{k}" for k in range(60)]
+    docs = spark.createDataFrame([*train, (first, " ".join(ordered)), (second, " ".join(sorted(ordered)))], "doc_id bigint, text string")
+    score = {r.doc_id: r.score for r in brown.lm_score(docs, sizes=brown.Sizes(clustered=4, placed=4, classes=2)).collect()}
+    assert score[first] > score[second] + 20
+
+
+def test_parallel_gains_are_those_of_exchange():
+    rng = np.random.default_rng(5)
+    n, classes = 30, 4
+    bigrams = rng.poisson(0.7, (n + 2, n + 2)) * rng.integers(1, 9, (n + 2, 1))
+    bigrams[n:, n:] = 0
+    of = np.concatenate([np.arange(n) % classes, [classes, classes + 1]])
+    total = classes + 2
+    member = np.eye(total)[of]
+    joint = member.T @ bigrams @ member
+    for w in range(n):
+        others = bigrams.astype(float)
+        others[w, w] = 0
+        of[w] = brown.moved(joint, others[[w]] @ np.eye(total)[of], others[:, w][None] @ np.eye(total)[of], bigrams[w, w][None].astype(float), of[[w]], classes)[0]
+        member = np.eye(total)[of]
+        assert np.allclose(joint, member.T @ bigrams @ member)
+    assert (of == brown.exchange(bigrams, np.array([-1] * n + [classes, classes + 1]), classes, 1)).all()
+
+
 def test_class_model_is_a_distribution():
     rng = np.random.default_rng(2)
     table = brown.smoothed(rng.integers(0, 3, (6, 6, 6)).astype(float))
