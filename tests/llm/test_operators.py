@@ -214,6 +214,14 @@ def test_lm_scores(spark, texts):
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_words_beyond_the_table_are_scored_alike(spark):
+    """How many words are looked up in memory changes no score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = [{r.doc_id: r.score for r in brown.lm_score(docs, sizes=brown.Sizes(frequent=k, clustered=120, placed=400, classes=10)).collect()} for k in (900, 150_000)]
+    assert found[0].keys() == found[1].keys()
+    assert all(math.isclose(found[0][i], found[1][i], rel_tol=1e-9) for i in found[0])
+
+
 def test_every_word_is_clustered(spark):
     """Words far below the ranks of the start are told apart by their neighbours."""
     rng = random.Random(4)
