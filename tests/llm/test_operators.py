@@ -20,7 +20,7 @@ from quillstack.llm.bpe import Bpe
 from quillstack.llm.exact_dedup import exact_dedup
 from quillstack.llm.packing import BinTree, first_fit_decreasing, pack
 from quillstack.llm.quality_model import AttentionModel, passage_features
-from quillstack.llm.quality_rules import repeated_words
+from quillstack.llm.quality_rules import quality_rules, repeated_words
 from quillstack.llm.token_files import EliasFano, TokenFile, pack_file
 from quillstack.llm.toxicity import swaps, text_features, token_features, train
 from quillstack.llm.warc import arc_file, convert, parse_arc, parse_warc
@@ -300,6 +300,20 @@ def test_attention_finds_the_passage():
     assert passage_features("") .shape == (1, 14) and len(passage_features("w " * 250)) == 3
 
 
+def test_base_columns_of_quality_rules(spark, texts):
+    """Counts of the query against plain Python, on the table and on odd strings."""
+    rows = {**texts, **{-1 - i: t for i, t in enumerate([*ODD, "a\n a\na\n\n\t\na", "#*$%&|<> #a\r\n#a\r\n", "x\x0by\x0cz\x85w\x1fv"])}}
+    space = " \t\n\x0b\x0c\r"
+
+    def brute(text):
+        words = text.encode().split()
+        lines = [x for x in text.split("\n") if x.strip(space)]
+        return len(words), sum(len(w.decode()) for w in words), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines))
+
+    found = quality_rules(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) for r in found} == {i: brute(t) for i, t in rows.items()}
+
+
 def test_repeated_words(spark):
     def brute(words):
         windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
