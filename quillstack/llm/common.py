@@ -23,12 +23,18 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode (tests).
+
+    On a cluster a folder of one machine would lose tables with that machine, so without the setting
+    this raises instead.
+    """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="quillstack-")
             atexit.register(_remove_local, found)
         sc.setCheckpointDir(found)
@@ -89,6 +95,28 @@ def u32_crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
-def spread(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Deal rows evenly over the tasks, whatever their key: used before costly row-wise work."""
-    return df.repartition(n) if n else df
+#: A key is hot if it holds more than one row in HOT of the table (and more than HOT_ROWS rows).
+HOT, HOT_ROWS = 10_000, 256
+
+
+def hot_keys(sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """key, _slices: the hot keys of `sizes` (one row a key), and how many slices each is dealt into.
+
+    Fewer than HOT keys can each hold more than 1 / HOT of `total` rows, whatever the table, and their
+    slices number at most twice as many: the result may be broadcast, and copying a row for each slice
+    of a hot key adds at most 2 * HOT rows.
+    """
+    least = max(HOT_ROWS, total // HOT)
+    return sizes.where(F.col(size) > least).select(key, F.ceil(F.col(size) / least).cast("int").alias("_slices"))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: str, *by: str) -> DataFrame:
+    """rows with _s, the slice of their key they lie in: a hash of the columns `by`, 0 unless the key is hot."""
+    marked = rows.join(F.broadcast(hot), key, "left")
+    return marked.withColumn("_s", F.pmod(F.xxhash64(*by), F.coalesce("_slices", F.lit(1))).cast("int")).drop("_slices")
+
+
+def copied(groups: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """groups (one row a key) with a copy for every slice _s of the key."""
+    marked = groups.join(F.broadcast(hot), key, "left")
+    return marked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, Scratch
+from .common import WHITESPACE, Scratch, copied, dealt, hot_keys
 
 
 def content_hash(sha: Column) -> Column:
@@ -40,22 +40,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "exact")
     norm = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     norm = norm.select("doc_id", F.length("_text").alias("_chars"), visible(F.col("_text")).alias("_norm"))
-    digest = F.sha2(F.col("_norm").cast("binary"), 256)
+    norm = norm.withColumn("text_sha256", F.sha2(F.col("_norm").cast("binary"), 256)).withColumn("_h", hashed(F.col("text_sha256")))
     rank = F.struct((-F.col("_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
     count = F.count(F.lit(1)).alias("group_size")
 
-    narrow = scratch.keep(norm.select("doc_id", "_chars", digest.alias("text_sha256")).withColumn("_h", hashed(F.col("text_sha256"))), "narrow")
-    groups = narrow.groupBy("_h").agg(count, F.min(rank).alias("_best"))
-    # distinct first: nothing after a join on _h needs its rows together, so Spark may split a hot group
-    crowded = narrow.select(F.col("doc_id").alias("_id"), "_h").distinct().join(groups.where("group_size > 1"), "_h").select("_id", "_h", "_best")
+    narrow = scratch.keep(norm.drop("_norm"), "narrow")
+    groups = scratch.keep(narrow.groupBy("_h").agg(count, F.min(rank).alias("_best")).where("group_size > 1"), "groups")
+    # a group of copies that holds much of the table is dealt into slices, each with a copy of the group's row
+    hot = scratch.keep(hot_keys(groups, "_h", "group_size", narrow.count()), "hot")
+    of_slice = copied(groups, hot, "_h")
+    slices = lambda rows: dealt(rows, hot, "_h", "doc_id", "_chars")
+
     # the one shuffle of texts; only those of groups go on, and are written
-    members = norm.join(crowded, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text_sha256", digest)
-    members = scratch.keep(members.where(F.col("_h") == hashed(F.col("text_sha256"))).drop("_id"), "members")
+    members = scratch.keep(slices(norm).join(of_slice.drop("group_size"), ["_h", "_s"]), "members")
     stays = members.where(F.col("_best.id").eqNullSafe(F.col("doc_id")) & (F.col("_best.less") == -F.col("_chars")))
-    stays = stays.groupBy("_h").agg(F.min("_norm").alias("_kept_norm"))
-    collided = scratch.keep(members.select("_h", "_norm").join(stays, "_h").where("_norm != _kept_norm").select("_h"), "collided")
+    stays = copied(stays.groupBy("_h").agg(F.min("_norm").alias("_kept_norm")), hot, "_h")
+    collided = scratch.keep(members.select("_h", "_s", "_norm").join(stays, ["_h", "_s"]).where("_norm != _kept_norm").select("_h").distinct(), "collided")
 
-    sound = narrow.join(groups, "_h").join(collided, "_h", "left_anti")
+    alone = F.struct(F.lit(0).alias("less"), F.lit(False).alias("no_id"), F.col("doc_id").alias("id"))
+    sound = slices(narrow).join(of_slice, ["_h", "_s"], "left").join(collided, "_h", "left_anti")
+    sound = sound.withColumn("_best", F.coalesce("_best", alone)).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
     rows = members.drop("_best").join(collided, "_h", "left_semi")
     again = rows.join(rows.groupBy("_norm").agg(count, F.min(rank).alias("_best")), "_norm")
     columns = ["doc_id", F.col("_best.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("_best.id")).alias("kept"), "text_sha256"]
