@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Memo
-from .common import Scratch
+from .common import Scratch, copied, dealt, hot_keys
 
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 NUM, DEN = 75, 100
+SURELY_APART = 40
 _LN_BASE = float(np.log(BASE))
 
 _rng = np.random.default_rng(0x5E75)
@@ -144,49 +145,60 @@ def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the likelihood test lets through."""
-    left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+def spread_pairs(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """pairs with _s, the slice of a that a pair lies in, and the hot a: none with much of all pairs stays whole."""
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    total = pairs.count()
+    hot = scratch.keep(hot_keys(degree, "a", "_n", total), "hot")
+    return dealt(pairs, hot, "a", "b"), hot
+
+
+def estimated(pairs: DataFrame, hot: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b, _s) that the likelihood test lets through."""
+    left = copied(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), hot, "a")
     right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b").where(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb")
+    joined = pairs.join(left, ["a", "_s"]).join(right, "b").where(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).select("a", "b", "_s", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                keep, _ = likely(_stack(part.column(4)), part.column(2).to_numpy().astype(float), _stack(part.column(5)), part.column(3).to_numpy().astype(float))
+                keep, _ = likely(_stack(part.column(5)), part.column(3).to_numpy().astype(float), _stack(part.column(6)), part.column(4).to_numpy().astype(float))
                 mask = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(mask) for c in range(3)], names=["a", "b", "_s"])
 
-    return joined.mapInArrow(run, PAIR)
+    return joined.mapInArrow(run, "a bigint, b bigint, _s int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, block: int = 64) -> DataFrame:
-    """Pairs whose full shingle sets meet the threshold.
+def verified(pairs: DataFrame, hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets meet the threshold, of pairs with slices (a, b, _s).
 
-    The partners of a document are dealt into blocks of about `block`, each with one copy of the
-    document's text. Tasks stream sorted rows and hold two sets at a time.
+    Each slice of a document's partners gets one copy of the document's text. Tasks stream sorted rows
+    and hold the sets of one document and one partner at a time. An id with several texts is one node,
+    linked by any of them.
     """
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
-    members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "block", "b", "text")
-    heads = dealt.select("a", "block").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    members = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", "_s", "b", "text")
+    heads = copied(texts.withColumnRenamed("id", "a"), hot, "a").join(pairs.select("a", "_s").distinct(), ["a", "_s"]).select("a", "_s", F.lit(None).cast("long").alias("b"), "text")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.unionByName(heads).repartition(parts, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    rows = members.unionByName(heads).repartition(parts, "a", "_s").sortWithinPartitions("a", "_s", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: set = set()
+        heads: list[set] = []
+        last = None
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for a, s, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                mine = shingles(text.as_py())
                 if b is None:
-                    head = shingles(text.as_py())
+                    heads = [*heads, mine] if last == (a, s) else [mine]
+                    last = (a, s)
                     continue
-                other = shingles(text.as_py())
-                both = len(head & other)
-                if DEN * both >= NUM * (len(head) + len(other) - both):
-                    out[0].append(a)
-                    out[1].append(b)
+                for head in heads:
+                    both = len(head & mine)
+                    if DEN * both >= NUM * (len(head) + len(mine) - both):
+                        out[0].append(a)
+                        out[1].append(b)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     return rows.mapInArrow(run, PAIR)
@@ -258,8 +270,8 @@ class _Meeting:
             fit &= self.x[rest] != self.x[r]
         rest = rest[fit]
         if len(rest):
-            # 60 of 128 equal registers lie seven deviations below what a linked pair has
-            rest = rest[(self.regs[rest] == self.regs[r]).sum(1) >= 60]
+            # only a short cut: with fewer equal registers `likely` gives up every pair of fitting size
+            rest = rest[(self.regs[rest] == self.regs[r]).sum(1) >= SURELY_APART]
         if len(rest):
             rest = rest[~(self.keys[rest, : self.band] == self.keys[r, : self.band]).any(1)]
         if len(rest):
@@ -267,15 +279,16 @@ class _Meeting:
         return rest
 
 
-def meetings(members: DataFrame, owner: DataFrame, reps: DataFrame, block: int = 512) -> DataFrame:
+def meetings(members: DataFrame, owner: DataFrame, reps: DataFrame, block: int = 512, most_shingles: int = 2_000_000) -> DataFrame:
     """The rows of buckets that hold several components, cut down to those with a possible partner.
 
-    Buckets of more than `block` rows are dealt into blocks, and every two blocks meet in one group,
-    so a task holds two blocks at most.
+    Buckets of more than `block` rows, or of more than `most_shingles` in all, are dealt into blocks,
+    and every two blocks meet in one group, so a task holds two blocks at most, however long the texts.
     """
     named = members.join(owner, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g")).where("lo != hi").drop("lo", "hi")
-    rows = named.join(mixed, ["band", "key"]).join(reps, "id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / most_shingles)).cast("int")
+    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("g")).where("lo != hi").drop("lo", "hi")
+    rows = named.join(mixed, ["band", "key"]).join(reps, ["id", "n"])
     rows = rows.withColumn("x", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("band", "key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "comp", "pivot", "n", "sketch")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -334,7 +347,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Links join documents with 100 * intersection >= 75 * union of their sets; component_id is the
     smallest id reachable. A null, empty or blank text has no set and no links, so it stands alone and
     is kept. Rows with a null id are left out of linking: their component is null and they are kept.
-    Rows repeated with one id are one node of the graph. An empty table gives an empty result; other
+    Rows repeated with one id are one node of the graph, linked by any of their texts. An empty table gives an empty result; other
     columns are ignored.
     """
     spark = docs.sparkSession
@@ -344,11 +357,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reps = scratch.keep(classes.select("set_hash", "rep.*"), "reps")
     sets = reps.select("id", "n", "sketch")
 
-    bands = reps.select("id", F.posexplode("sketch").alias("band", "key"))
+    bands = reps.select("id", "n", F.posexplode("sketch").alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = scratch.keep(bands.join(buckets, ["band", "key"]), "shared")
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighed = scratch.keep(shared.join(weight, "id").select("band", "key", "id", "weight"), "weighed")
+    weighed = scratch.keep(shared.join(weight, "id").select("band", "key", "id", "n", "weight"), "weighed")
     pivots = weighed.groupBy("band", "key").agg((-F.max(F.struct("weight", (-F.col("id")).alias("less")))["less"]).alias("pivot"))
     members = scratch.keep(weighed.join(pivots, ["band", "key"]).drop("weight"), "members")
     scratch.drop("shared", "weighed")
@@ -356,10 +369,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # texts of documents that share a bucket, written once for all rounds; the one shuffle of texts
     crowd = members.select("id").distinct()
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = scratch.keep(plain.join(crowd, "id").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    texts = scratch.keep(plain.join(crowd, "id").distinct(), "texts")
 
-    stars = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.keep(verified(scratch.keep(estimated(stars, sets), "stars"), texts), "links-0")
+    stars = scratch.keep(members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "proposed")
+    stars, hot = spread_pairs(stars, scratch)
+    links = scratch.keep(verified(scratch.keep(estimated(stars, hot, sets), "stars"), hot, texts), "links-0")
     owner = components(links, scratch, "stars")
     met = scratch.keep(meetings(members, owner, sets), "meetings")
     more = scratch.keep(links_between(met, texts), "links-1")
