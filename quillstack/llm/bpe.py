@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -69,6 +70,8 @@ class Bpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        #: what all added tokens begin with: a text without it holds none
+        self.sign = os.path.commonprefix(list(self.added))
         self.letters = byte_letters()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (rank << 40, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
@@ -190,7 +193,7 @@ class Bpe:
         """Ids of the text as little-endian u32 bytes; None and "" have none."""
         if not text:
             return b""
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or self.sign not in text:
             return self._segment(text)
         out = []
         for k, part in enumerate(self.cut.split(text)):

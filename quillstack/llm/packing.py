@@ -1,7 +1,9 @@
 """Packing documents into training sequences by first-fit decreasing over a tournament tree.
 
-Documents are encoded, dealt into randomised groups by a hash of their id, and each group is packed
-on its own, so packing needs one shuffle of two-byte ids and no state beyond a group. Whole
+Documents are encoded, dealt into randomised groups by a hash of id and content, and each group is
+packed on its own, so packing needs one shuffle of two-byte ids and no state beyond a group. A task
+packs what it holds of a group whenever that reaches a bound of rows or of ids and goes on with the
+rest, so rows repeated without end can't fill its memory. Whole
 sequences are cut off long documents first. The remainders go, longest first, into the first bin
 with room, found in log time by descending a tree of maximal bin capacities. The least filled bin of
 a group is then dissolved: into the larger gaps of other bins, and what is left into sequences whose
@@ -127,27 +129,49 @@ def encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id bigint, ids binary, width int")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, group_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", seed: int = 20) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, group_rows: int = 1024, group_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", seed: int = 20) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
     A null or empty text is the end id alone. Rows repeated with one id, or with a null id, are packed
     as documents of their own. An empty table gives no pieces; other columns are ignored. Groups hold
-    about `group_rows` documents whatever the size of the table.
+    about `group_rows` documents whatever the size of the table; one that comes out twice as large
+    (the same row again and again), or holds `group_bytes` of ids, is packed in several goes.
     """
     groups = max(1, -(-docs.count() // group_rows))
-    dealt = encoded(docs, path, id_col, text_col).withColumn("grp", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        group = key[0].as_py()
-        table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        names = table["doc_id"].to_pylist()
-        width = table["width"][0].as_py()
-        ids = [np.frombuffer(x.as_buffer(), f"<u{width}").astype("<u4").tobytes() for x in table["ids"]]
-        cols: list[list] = [[] for _ in range(7)]
-        for item, start, n, sequence, offset in pack([len(x) // 4 for x in ids], capacity):
-            row = (names[item], start, n, zlib.crc32(memoryview(ids[item])[4 * start : 4 * (start + n)]), len(ids[item]) // 4, (group << 32) + sequence, offset)
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=PIECES.fieldNames())
-
-    return dealt.groupBy("grp").applyInArrow(run, PIECES)
+    rows = encoded(docs, path, id_col, text_col).withColumn("grp", F.pmod(F.xxhash64(F.col("doc_id"), F.col("ids"), F.lit(seed)), F.lit(groups)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sequence = None, 0
+        held: list[tuple[int | None, bytes]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal sequence, size
+            held.sort(key=lambda row: (row[0] is None, row[0] or 0, row[1]))
+            cols: list[list] = [[] for _ in range(7)]
+            taken = -1
+            for item, start, n, bin_, offset in pack([len(ids) // 4 for _, ids in held], capacity):
+                name, ids = held[item]
+                row = (name, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)]), len(ids) // 4, (group << 32) + sequence + bin_, offset)
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+                taken = max(taken, bin_)
+            sequence += taken + 1
+            held.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=PIECES.fieldNames())
+
+        for batch in batches:
+            width = batch.column(2)[0].as_py() if batch.num_rows else 4
+            for name, ids, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3).to_pylist(), strict=True):
+                if held and (key != group or len(held) >= 2 * group_rows or size >= group_bytes):
+                    yield packed()
+                if key != group:
+                    group, sequence = key, 0
+                raw = np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4").tobytes()
+                held.append((name, raw))
+                size += len(raw)
+        if held:
+            yield packed()
+
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, PIECES)
