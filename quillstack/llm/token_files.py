@@ -3,7 +3,8 @@
 A file holds the ids of consecutive documents, two bytes each where the vocabulary allows it, the
 ends of the documents in the id array as an Elias-Fano sequence, and their document ids as another.
 Elias-Fano keeps the low bits of each value packed and the high bits in unary, about 2 + log2(u / n)
-bits a value; a sampled select structure returns any boundary without a table of 64-bit offsets.
+bits a value; a sampled select structure, stored with it, returns any boundary without a table of
+64-bit offsets. Reading back asks select for every boundary and every id.
 Rows are range-partitioned and sorted by id, so files in name order hold the corpus in id order, and
 the only state on the driver is one total per range partition.
 """
@@ -27,20 +28,28 @@ from pyspark.sql import types as T
 from .bpe import codec
 from .common import END_ID, Scratch
 
-MAGIC = b"QTOKEN01"
-SAMPLE = 256
+MAGIC = b"QTOKEN02"
+SAMPLE = 64
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers below `universe`, with select access."""
+    """A non-decreasing sequence of n integers below `universe`, with select access.
 
-    def __init__(self, n: int, bits: int, low: bytes, high: bytes):
-        self.n, self.bits = n, bits
-        self.low, self.high = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)
-        counts = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
-        # the byte in which every SAMPLE-th one lies: where a select starts to look
-        self.hint = np.searchsorted(counts, np.arange(0, n, SAMPLE) + 1)
-        self.before = np.where(self.hint > 0, counts[self.hint - 1], 0) if n else self.hint
+    `hint` holds the byte of the upper bits in which every SAMPLE-th value lies, `before` how many of
+    the values of that sample's run of bytes come before it (under 8): both are stored with the
+    sequence, so opening a file builds nothing.
+    """
+
+    def __init__(self, n: int, bits: int, low: bytes, high: bytes, hint: bytes | None = None, before: bytes | None = None):
+        self.n, self.bits, self.low, self.high = n, bits, low, high
+        if hint is None:
+            counts = np.cumsum(np.bitwise_count(np.frombuffer(high, np.uint8)), dtype=np.int64)
+            wanted = np.arange(0, n, SAMPLE)
+            at = np.searchsorted(counts, wanted + 1)
+            hint = at.astype("<u4").tobytes()
+            before = (wanted - np.where(at > 0, counts[at - 1], 0) if n else at).astype(np.uint8).tobytes()
+        self.hint, self.before = hint, before
+        self._hint = memoryview(hint).cast("I") if len(hint) else ()
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -57,38 +66,38 @@ class EliasFano:
         return cls(n, bits, low, np.packbits(upper, bitorder="little").tobytes())
 
     def select(self, i: int) -> int:
-        """The i-th value, from the samples and at most a few bytes after them."""
+        """The i-th value: from its sample, the few bytes after that, and its own low bits."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        byte, seen = int(self.hint[i // SAMPLE]), int(self.before[i // SAMPLE])
-        while seen + (ones := int(self.high[byte]).bit_count()) <= i:
-            seen, byte = seen + ones, byte + 1
-        rest = int(self.high[byte])
-        for _ in range(i - seen):
+        k = i // SAMPLE
+        byte, left = self._hint[k], i - k * SAMPLE + self.before[k]
+        high = self.high
+        while (ones := high[byte].bit_count()) <= left:
+            left, byte = left - ones, byte + 1
+        rest = high[byte]
+        for _ in range(left):
             rest &= rest - 1
-        place = byte * 8 + (rest & -rest).bit_length() - 1
-        value = place - i << self.bits
-        for b in range(self.bits):
-            k = i * self.bits + b
-            value |= (int(self.low[k >> 3]) >> (k & 7) & 1) << b
-        return value
-
-    def values(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (places - np.arange(self.n)).astype(np.int64) << self.bits
-        if self.bits and self.n:
-            planes = np.unpackbits(self.low, bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits)
-            out |= (planes.astype(np.int64) << np.arange(self.bits)).sum(axis=1)
-        return out
+        value = byte * 8 + (rest & -rest).bit_length() - 1 - i
+        if not self.bits:
+            return value
+        first = i * self.bits
+        stop = first + self.bits
+        own = int.from_bytes(self.low[first >> 3 : (stop + 7) >> 3], "little") >> (first & 7)
+        return value << self.bits | own & (1 << self.bits) - 1
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQQ", self.n, self.bits, self.low.nbytes, self.high.nbytes) + self.low.tobytes() + self.high.tobytes()
+        parts = (self.low, self.high, self.hint, self.before)
+        return struct.pack("<QQQQQQ", self.n, self.bits, *map(len, parts)) + b"".join(parts)
 
     @classmethod
     def parse(cls, data: memoryview, at: int) -> tuple[EliasFano, int]:
-        n, bits, low, high = struct.unpack_from("<QQQQ", data, at)
-        at += 32
-        return cls(n, bits, bytes(data[at : at + low]), bytes(data[at + low : at + low + high])), at + low + high
+        n, bits, *sizes = struct.unpack_from("<QQQQQQ", data, at)
+        at += 48
+        parts = []
+        for size in sizes:
+            parts.append(bytes(data[at : at + size]))
+            at += size
+        return cls(n, bits, *parts), at
 
 
 def pack_file(doc_ids: list, lengths: list[int], ids: np.ndarray, width: int) -> bytes:
@@ -116,11 +125,16 @@ class TokenFile:
     def __len__(self) -> int:
         return self.ends.n
 
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where document i starts and ends in the id array."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        start, stop = self.bounds(i)
+        return self.ids[start:stop]
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + (self.named.values() + self.lowest).tolist()
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.named.select(i - self.nulls) + self.lowest
 
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -129,6 +143,7 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 MANIFEST = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
+READ_ROWS = 10_000
 READ = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
 
@@ -171,7 +186,9 @@ def write_token_files(docs: DataFrame, path: str, scratch: Scratch, id_col: str
             yield flush()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the hash of the text cuts a range of one repeated (or null) id as well
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     return scratch.keep(rows.mapInArrow(run, MANIFEST), "manifest")
 
 
@@ -192,11 +209,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 source, name = store(path)
                 with source.open_input_stream(name) as f:
                     file = TokenFile(f.read())
-                ends = file.ends.values()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                raw = memoryview(file.ids.astype("<u4").tobytes())
-                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids(), pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array(crcs, pa.int64())], names=READ.fieldNames())
+                for at in range(0, len(file), READ_ROWS):
+                    cols: tuple[list, list, list, list] = ([], [], [], [])
+                    for i in range(at, min(at + READ_ROWS, len(file))):
+                        start, stop = file.bounds(i)
+                        row = (file.doc_id(i), first + start, stop - start, zlib.crc32(file.ids[start:stop].astype("<u4")))
+                        for col, value in zip(cols, row, strict=True):
+                            col.append(value)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=READ.fieldNames())
 
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(files, "path").mapInArrow(run, READ)
@@ -206,7 +226,7 @@ def token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Write token files for every document and read them back.
 
     A null or empty text is the end id alone. Null document ids come first, before all others; rows
-    repeated with one id are written one after the other, ordered by text. An empty table writes no
+    repeated with one id are written one after the other, in the order of a hash of the text. An empty table writes no
     file and gives an empty result. Other columns of the input are ignored.
     """
     scratch = Scratch(docs.sparkSession, "token-files")
