@@ -2,9 +2,12 @@
 
 Features are whole words and word beginnings of three to seven letters, by presence. Those that tell
 the classes apart in the labelled sample are kept, together with every identity term. Training
-minimises log loss with an L1 penalty, plus a penalty on how far the logit moves when the identity
-terms of a labelled text are swapped for others of their kind, so that a neutral mention of a group
-can't raise the score. Scoring is one pass over the texts, with no shuffle.
+minimises log loss with an L1 penalty, plus a penalty on how far the logit moves between a labelled
+text and its counterfactuals, so that a neutral mention of a group can't raise the score. A
+counterfactual is the text with an identity term swapped for another of its kind; since few texts
+hold one, every labelled text also gets a term planted in it (text against text with the mention) and
+that term swapped. Features are always those of the whole changed text. Scoring is one pass over the
+texts, with no shuffle.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Memo
-from .common import Scratch
+from .common import Scratch, id_crc
 from .labelled import held_out, training_rows
 
 #: Identity terms by kind; a term is swapped for every other of its kind. A parameter of training.
 IDENTITY_TERMS = (
+    # English
     ("women", "men"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -34,6 +38,27 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "citizens"),
     ("disabled", "blind", "deaf"),
     ("old", "young"),
+    # German
+    ("frauen", "männer"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten"),
+    ("schwule", "lesben", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+    ("behinderte", "blinde", "gehörlose"),
+    # French
+    ("femmes", "hommes"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques"),
+    ("homosexuels", "lesbiennes", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("handicapés", "aveugles", "sourds"),
+    # Spanish
+    ("mujeres", "hombres"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos"),
+    ("homosexuales", "lesbianas", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("discapacitados", "ciegos", "sordos"),
 )
 LETTERS = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -52,66 +77,112 @@ def text_features(text: str) -> set[str]:
     return {f for token in set(text.split()) for f in token_features(token)}
 
 
-def swaps(words: set[str], terms=IDENTITY_TERMS) -> list[tuple[str, str]]:
-    """(term, replacement) pairs for the identity terms among the words."""
-    return [(a, b) for kind in terms for a in kind if a in words for b in kind if b != a]
+def counterfactuals(text: str, seed: int, terms=IDENTITY_TERMS) -> Iterator[tuple[str, str]]:
+    """Pairs of texts that ought to score alike: each identity term swapped for every other of its kind,
+    one planted mention (without it, with it), and the planted term swapped."""
+    words = set(LETTERS.findall(text.lower()))
+    for kind in terms:
+        for a in kind:
+            for b in kind if a in words else ():
+                if a != b:
+                    yield text, LETTERS.sub(lambda m, a=a, b=b: b if m[0].lower() == a else m[0], text)
+    if terms:
+        kind = terms[seed % len(terms)]
+        a, b = kind[seed // 31 % len(kind)], kind[(seed // 31 + 1) % len(kind)]
+        yield text, f"{text} {a}"
+        if a != b:
+            yield f"{text} {a}", f"{text} {b}"
 
 
 @dataclass
 class Model:
+    """`pairs` is how many counterfactual pairs it was trained on."""
+
     weights: dict[str, float]
     bias: float
+    pairs: int = 0
 
     def logit(self, features: set[str]) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features)
 
 
-def train(rows: list[tuple[list[int], int, list[tuple[list[int], list[int]]]]], names: list[str], l1: float = 1e-4, counterfactual: float = 0.05, rounds: int = 400) -> Model:
+class _Sparse:
+    """A 0, 1, -1 matrix given by the signed column numbers of its rows (k + 1 or -k - 1)."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.n, self.width = len(rows), width
+        self.at = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        flat = np.asarray([i for r in rows for i in r], np.int64)
+        self.ids, self.sign = np.abs(flat) - 1, np.sign(flat).astype(float)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.sign * v[self.ids], self.n) if self.n else np.zeros(0)
+
+    def transposed(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ids, self.sign * g[self.at], self.width) if self.n else np.zeros(self.width)
+
+
+def train(rows: list[tuple[list[int], int]], moves: list[list[int]], names: list[str], l1: float = 1e-4, counterfactual: float = 5.0, rounds: int = 400) -> Model:
     """Accelerated proximal gradient descent.
 
-    rows: (feature ids, label, swaps as (ids gone, ids come)). The counterfactual term is the mean over
-    swaps of the squared change of the logit. Without both labels the model is the smoothed rate.
+    rows: (feature ids, label). moves: for each counterfactual pair the features that come (id + 1) and
+    go (-id - 1); their term is the mean squared change of the logit. Without both labels the model is
+    the smoothed rate.
     """
     y = np.asarray([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return Model({}, float(np.log(rate / (1 - rate))))
     n, k = len(rows), len(names)
-    at = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    ids = np.asarray([i for r in rows for i in r[0]], np.int64)
-    pairs = [s for r in rows for s in r[2]]
-    p_at = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs]) if pairs else np.zeros(0, np.int64)
-    p_ids = np.asarray([i for a, b in pairs for i in [*a, *b]], np.int64)
-    p_sign = np.asarray([s for a, b in pairs for s in [-1.0] * len(a) + [1.0] * len(b)])
+    x, pairs = _Sparse([[i + 1 for i in r[0]] for r in rows], k), _Sparse(moves, k)
+    strength = 2 * counterfactual / max(1, pairs.n)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
+
+    # the Lipschitz constant of the smooth part, by power iteration with a margin
+    u, ub, norm = np.ones(k), 1.0, 1.0
+    for _ in range(50):
+        z = x.times(u) + ub
+        u, ub = 0.25 * x.transposed(z) / n + strength * pairs.transposed(pairs.times(u)), 0.25 * z.mean()
+        norm = float(np.sqrt((u * u).sum() + ub * ub)) or 1.0
+        u, ub = u / norm, ub / norm
+    step = 1.0 / (1.2 * norm)
+
     v, vb, t = w.copy(), b, 1.0
-    # the Lipschitz bound of the losses: a quarter of the largest row, and twice the largest swap
-    widest = max((len(r[0]) for r in rows), default=0) + 1
-    per_feature = np.bincount(ids, minlength=k).max(initial=1) / n
-    bound = 0.25 * min(widest, widest * per_feature + 1)
-    if pairs:
-        bound += 2 * counterfactual * max(len(a) + len(c) for a, c in pairs)
-    step = 1.0 / bound
     for _ in range(rounds):
-        z = np.bincount(at, v[ids], n) + vb
-        g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        grad = np.bincount(ids, g[at], k) / n
-        if pairs:
-            moved = np.bincount(p_at, p_sign * v[p_ids], len(pairs))
-            grad += 2 * counterfactual * np.bincount(p_ids, p_sign * moved[p_at], k) / len(pairs)
+        g = 1 / (1 + np.exp(-np.clip(x.times(v) + vb, -40, 40))) - y
+        grad = x.transposed(g) / n + strength * pairs.transposed(pairs.times(v))
         new = v - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         nb = vb - step * g.mean()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = new, nb, nt
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if x}, float(b))
+    return Model({f: float(x) for f, x in zip(names, w, strict=True) if x}, float(b), pairs.n)
+
+
+def moved_features(before: str, after: str, index: dict[str, int]) -> list[int]:
+    """What a change of a text does to its features: id + 1 for each that comes, -id - 1 for each that goes."""
+    a, b = text_features(before), text_features(after)
+    return sorted([index[f] + 1 for f in b - a if f in index] + [-index[f] - 1 for f in a - b if f in index])
+
+
+@dataclass(frozen=True)
+class Features:
+    """Which features of the labelled sample take part: the `most` strongest of those seen in at least
+    `least_rows` texts, whose log odds between the classes are at least `least_odds`; a feature longer
+    than `longest` letters (no word of a language) would only remember one text. Bounds of training:
+    scoring reads whole texts."""
+
+    most: int = 4000
+    least_rows: int = 2
+    least_odds: float = 1.5
+    longest: int = 64
 
 
-def fit(sample: DataFrame, most_features: int = 4000, terms=IDENTITY_TERMS, **options) -> Model:
+def fit(sample: DataFrame, features: Features = Features(), terms=IDENTITY_TERMS, **options) -> Model:
     """Choose features by their counts in the sample, then train on the driver.
 
-    What reaches the driver is bounded by the sample and `most_features`.
+    What reaches the driver is bounded by the sample and `features`.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +194,11 @@ def fit(sample: DataFrame, most_features: int = 4000, terms=IDENTITY_TERMS, **op
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return train([([], y, []) for y, n in sizes.items() for _ in range(n)], [])
+        return train([([], y) for y, n in sizes.items() for _ in range(n)], [], [])
     counts = sample.select("text", "y").mapInArrow(listed, "feature string, y int").groupBy("feature").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    strong = counts.where("a + b >= 2 and length(feature) <= 64").withColumn("odds", odds).where("abs(odds) >= 1.5")
-    best = strong.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("a") + F.col("b"))), "feature").limit(most_features)
+    strong = counts.where((F.col("a") + F.col("b") >= features.least_rows) & (F.length("feature") <= features.longest)).withColumn("odds", odds).where(F.abs("odds") >= features.least_odds)
+    best = strong.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("a") + F.col("b"))), "feature").limit(features.most)
     names = [r["feature"] for r in best.select("feature").collect()]
     always = sorted({f for kind in terms for a in kind for f in token_features(a)} - set(names))
     names += always
@@ -135,15 +206,15 @@ def fit(sample: DataFrame, most_features: int = 4000, terms=IDENTITY_TERMS, **op
 
     def rowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [sorted(index[f] for f in text_features(t.as_py()) if f in index) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "ids", "y"])
-
-    rows = []
-    for r in sorted(sample.mapInArrow(rowed, "doc_id bigint, ids array<int>, y int").collect()):
-        held = {names[i] for i in r["ids"]}
-        pairs = [([index[f] for f in token_features(a)], [index[f] for f in token_features(b)]) for a, b in swaps(held, terms)]
-        rows.append((r["ids"], r["y"], pairs))
-    return train(rows, names, **options)
+            ids, moves = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(sorted(index[f] for f in text_features(text) if f in index))
+                changed = (moved_features(*pair, index) for pair in counterfactuals(text, id_crc(key), terms))
+                moves.append([m for m in changed if m])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), batch.column(2), pa.array(moves, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "ids", "y", "moves"])
+
+    rows = sorted(sample.mapInArrow(rowed, "doc_id bigint, ids array<int>, y int, moves array<array<int>>").collect())
+    return train([(r["ids"], r["y"]) for r in rows], [m for r in rows for m in r["moves"]], names, **options)
 
 
 def scorer(model: Model):
