@@ -1,25 +1,30 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a document.
 
-A document is a bag of passages of a hundred words. Each passage is encoded by the make-up of its
-characters and by how much of it repeats what the document said before, through a small hidden
-layer. Gated attention, learnt from document labels alone, weights the passages, and the weighted
-mean of their encodings is scored.
+A document is a bag of passages of a hundred words. Each passage is encoded by learnt embeddings of
+its words and word pairs, hashed into a table, and by the make-up of its characters, through a small
+hidden layer. Nothing but the passage itself enters its encoding. Gated attention, learnt together
+with the embeddings from document labels alone, weights the passages, and the weighted mean of their
+encodings is scored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import Memo
 from .common import Scratch
 from .labelled import held_out, training_rows
 
 PASSAGE = 100
+BUCKET_BITS, DIM = 12, 16
 HIDDEN, GATES = 16, 8
 
 
@@ -36,45 +41,78 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-N_FEATURES = 8 + 6
+N_FEATURES = 8 + 5
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def passage_features(text: str | None) -> np.ndarray:
-    """One row per passage; a text without words is one passage of zeros."""
+def word_hashes() -> Memo:
+    return Memo(lambda word: xxhash.xxh3_64_intdigest(word, 10), 200_000)
+
+
+@dataclass
+class Bags:
+    """Passages of some documents: features, hashed n-grams and how many of them each passage has, and
+    the first passage of each document."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Bags:
+        sizes = [len(p[0]) for p in parts]
+        return cls(*(np.concatenate([p[k] for p in parts]) for k in range(3)), np.cumsum([0, *sizes[:-1]]))
+
+
+def passages(text: str | None, hashes: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, n-gram buckets and their number for each passage; a text without words is one of zeros."""
     words = (text or "").encode().split()
     if not words:
-        return np.zeros((1, N_FEATURES), np.float32)
-    lines = [x for x in text.split("\n") if x and not x.isspace()]
-    repeated = 1 - len(set(lines)) / len(lines)
-    seen: set = set()
+        return np.zeros((1, N_FEATURES), np.float32), np.zeros(0, np.uint16), np.zeros(1, np.int32)
     rows = np.zeros((-(-len(words) // PASSAGE), N_FEATURES), np.float32)
+    ids, counts = [], np.zeros(len(rows), np.int32)
+    h = np.fromiter(map(hashes.__getitem__, map(bytes.lower, words)), np.uint64, len(words))
+    one = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+    two = ((h[:-1] * _FIRST ^ h[1:] * _SECOND) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
     for i, row in enumerate(rows):
-        part = words[i * PASSAGE : (i + 1) * PASSAGE]
+        at = i * PASSAGE
+        part = words[at : at + PASSAGE]
         n = len(part)
+        ids += [one[at : at + n], two[at : at + n - 1]]
+        counts[i] = 2 * n - 1
         joined = b"".join(part)
         row[:8] = np.bincount(CLASSES[np.frombuffer(joined, np.uint8)], minlength=8)[:8] / len(joined)
-        windows = list(zip(part, part[1:], part[2:], strict=False))
-        before = len(seen)
-        seen.update(windows)
-        row[8:] = (len(set(part)) / n, 1 - (len(seen) - before) / len(windows) if windows else 0, len(joined) / n / 10, repeated, sum(len(w) <= 2 for w in part) / n, min(1.0, len(words) / 1000))
-    return rows
+        windows = set(zip(part, part[1:], part[2:], strict=False))
+        row[8:] = (len(set(part)) / n, 1 - len(windows) / (n - 2) if n > 2 else 0, len(joined) / n / 10, sum(len(w) <= 2 for w in part) / n, n / PASSAGE)
+    return rows, np.concatenate(ids), counts
 
 
 class AttentionModel:
     """Parameters and forward pass; `shift` and `scale` standardise the passage features."""
 
-    NAMES = ("W", "c", "V", "U", "a", "o")
+    NAMES = ("E", "W", "c", "V", "U", "a", "o")
 
     def __init__(self, seed: int = 7, bias: float = 0.0):
         rng = np.random.default_rng(seed)
+        self.rng = rng
         self.shift, self.scale = np.zeros(N_FEATURES), np.ones(N_FEATURES)
-        self.W, self.c = rng.normal(0, 0.3, (N_FEATURES, HIDDEN)), np.zeros(HIDDEN)
+        self.E = rng.normal(0, 0.05, (1 << BUCKET_BITS, DIM))
+        self.W, self.c = rng.normal(0, 0.3, (N_FEATURES + DIM, HIDDEN)), np.zeros(HIDDEN)
         self.V, self.U, self.a = rng.normal(0, 0.3, (HIDDEN, GATES)), rng.normal(0, 0.3, (HIDDEN, GATES)), rng.normal(0, 0.3, GATES)
         self.o, self.bias = np.zeros(HIDDEN), bias
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> dict:
-        """x: passages of all bags; starts: the first passage of each bag."""
-        x = (x - self.shift) / self.scale
+    def embedded(self, bags: Bags) -> np.ndarray:
+        """The sum of the n-gram embeddings of each passage over the root of their number."""
+        out = np.zeros((len(bags.x), DIM))
+        some = np.flatnonzero(bags.counts)
+        if len(some):
+            out[some] = np.add.reduceat(self.E[bags.ids], (np.cumsum(bags.counts) - bags.counts)[some], axis=0)
+        return out / np.sqrt(np.maximum(bags.counts, 1))[:, None]
+
+    def forward(self, bags: Bags) -> dict:
+        starts = bags.starts
+        x = np.hstack([(bags.x - self.shift) / self.scale, self.embedded(bags)])
         sizes = np.diff(np.append(starts, len(x)))
         h = np.tanh(x @ self.W + self.c)
         t, s = np.tanh(h @ self.V), 1 / (1 + np.exp(-(h @ self.U)))
@@ -85,60 +123,81 @@ class AttentionModel:
         logit = z @ self.o + self.bias
         return {"x": x, "sizes": sizes, "h": h, "t": t, "s": s, "weight": weight, "z": z, "logit": logit}
 
-    def score(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(x, starts)["logit"], -40, 40)))
-
-    def fit(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
-        """Adam on the log loss of the bags; gradients in closed form."""
+    def score(self, bags: Bags) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.forward(bags)["logit"], -40, 40)))
+
+    def gradients(self, bags: Bags, y: np.ndarray) -> dict:
+        """Of the mean log loss, in closed form."""
+        f, starts = self.forward(bags), bags.starts
+        g = (1 / (1 + np.exp(-np.clip(f["logit"], -40, 40))) - y) / len(y)
+        h, t, s, weight, sizes = f["h"], f["t"], f["s"], f["weight"], f["sizes"]
+        dz = np.repeat(g[:, None] * self.o, sizes, axis=0)
+        dw = (dz * h).sum(1)
+        de = weight * (dw - np.repeat(np.add.reduceat(weight * dw, starts), sizes))
+        dt, ds = de[:, None] * self.a * s * (1 - t * t), de[:, None] * self.a * t * s * (1 - s)
+        dh = (weight[:, None] * dz + dt @ self.V.T + ds @ self.U.T) * (1 - h * h)
+        dx = (dh @ self.W.T)[:, N_FEATURES:] / np.sqrt(np.maximum(bags.counts, 1))[:, None]
+        at = np.repeat(np.arange(len(bags.x)), bags.counts)
+        dE = np.stack([np.bincount(bags.ids, dx[at, d], len(self.E)) for d in range(DIM)], 1)
+        return {"E": dE, "o": f["z"].T @ g, "bias": g.sum(), "a": (t * s).T @ de, "V": h.T @ dt, "U": h.T @ ds, "W": f["x"].T @ dh, "c": dh.sum(0)}
+
+    def fit(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, least_steps: int = 300, batch: int = 256, rate: float = 0.01, decay: float = 1e-4) -> AttentionModel:
+        """Adam over batches of documents, each epoch in a new random order."""
+        x = np.concatenate([p[0] for p in parts])
         self.shift, self.scale = x.mean(0).astype(float), x.std(0).astype(float) + 1e-3
         moments = {k: [0.0, 0.0] for k in (*self.NAMES, "bias")}
-        for step in range(1, rounds + 1):
-            f = self.forward(x, starts)
-            g = (1 / (1 + np.exp(-np.clip(f["logit"], -40, 40))) - y) / len(y)
-            h, t, s, weight, sizes = f["h"], f["t"], f["s"], f["weight"], f["sizes"]
-            dz = np.repeat(g[:, None] * self.o, sizes, axis=0)
-            dw = (dz * h).sum(1)
-            de = weight * (dw - np.repeat(np.add.reduceat(weight * dw, starts), sizes))
-            dt, ds = de[:, None] * self.a * s * (1 - t * t), de[:, None] * self.a * t * s * (1 - s)
-            dh = (weight[:, None] * dz + dt @ self.V.T + ds @ self.U.T) * (1 - h * h)
-            grads = {"o": f["z"].T @ g, "bias": g.sum(), "a": (t * s).T @ de, "V": h.T @ dt, "U": h.T @ ds, "W": f["x"].T @ dh, "c": dh.sum(0)}
-            for k, d in grads.items():
-                now = getattr(self, k)
-                d = d + (decay * now if k != "bias" else 0)
-                m = moments[k]
-                m[0], m[1] = 0.9 * m[0] + 0.1 * d, 0.999 * m[1] + 0.001 * d * d
-                setattr(self, k, now - rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8))
+        step, per = 0, -(-len(parts) // batch)
+        for _ in range(max(epochs, -(-least_steps // per))):
+            order = self.rng.permutation(len(parts))
+            for k in range(0, len(parts), batch):
+                some, step = order[k : k + batch], step + 1
+                for name, d in self.gradients(Bags.of([parts[i] for i in some]), y[some]).items():
+                    now = getattr(self, name)
+                    d = d + (decay * now if name != "bias" else 0)
+                    m = moments[name]
+                    m[0], m[1] = 0.9 * m[0] + 0.1 * d, 0.999 * m[1] + 0.001 * d * d
+                    setattr(self, name, now - rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8))
+        self.E = self.E.astype(np.float32)
         return self
 
 
 def fit(sample: DataFrame, seed: int = 7) -> AttentionModel:
     """Encode the bounded sample on the executors and train on the driver."""
+    kinds = ("<f4", "<u2", "<i4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([passage_features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary()), batch.column(2)], names=["doc_id", "x", "y"])
+            made = [[p.astype(k).tobytes() for p, k in zip(passages(t.as_py(), hashes), kinds, strict=True)] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[k] for m in made], pa.binary()) for k in range(3)), batch.column(2)], names=["doc_id", "x", "ids", "counts", "y"])
 
-    rows = sorted(sample.mapInArrow(run, "doc_id bigint, x binary, y int").collect())
+    rows = sorted(sample.mapInArrow(run, "doc_id bigint, x binary, ids binary, counts binary, y int").collect())
     y = np.asarray([r["y"] for r in rows], float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
     model = AttentionModel(seed, float(np.log(rate / (1 - rate))))
     if not len(y) or y.min() == y.max():
         return model
-    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
-    return model.fit(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]), y)
+    return model.fit([(np.frombuffer(r["x"], kinds[0]).reshape(-1, N_FEATURES), np.frombuffer(r["ids"], kinds[1]), np.frombuffer(r["counts"], kinds[2])) for r in rows], y)
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
+def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text", block: int = 256, most_bytes: int = 4 << 20) -> DataFrame:
+    """Scores documents in blocks of at most `block` rows, a block ending where its texts pass `most_bytes`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                bags = [passage_features(t.as_py()) for t in part.column(1)]
-                found = model.score(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], names=SCORED.fieldNames())
+            ids, texts, held = [], [], 0
+            for k, (key, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True), 1):
+                ids.append(key)
+                texts.append(text.as_py())
+                held += len(texts[-1] or "")
+                if len(ids) == block or held >= most_bytes or k == batch.num_rows:
+                    found = model.score(Bags.of([passages(t, hashes) for t in texts]))
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], pa.int64()), pa.array(found, pa.float64())], names=SCORED.fieldNames())
+                    ids, texts, held = [], [], 0
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCORED)
 
