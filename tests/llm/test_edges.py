@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
 from quillstack.llm.bpe import bpe_round_trip
 from quillstack.llm.brown import Sizes, lm_score
+from quillstack.llm.common import Scratch
 from quillstack.llm.exact_dedup import exact_dedup, without_copies
+from quillstack.llm.labelled import training_rows
 from quillstack.llm.near_dedup import near_dedup, one_of_each
 from quillstack.llm.packing import pack_documents
 from quillstack.llm.quality_model import quality_model
@@ -102,3 +106,24 @@ def test_pages(spark):
     kinds = sorted(((r[0], r[1], r[3], r[4]) for r in found), key=str)
     assert kinds == sorted([(None, 203, "revisit", 1), (1, 203, "response", None), (2, 203, "revisit", 1), (2, 203, "revisit", 1), (3, 0, "response", None), (4, 0, "response", None), (5, 5, "response", None), (6, 5, "response", None)], key=str)
     assert warc_archive(pages.limit(0)).collect() == []
+
+
+def test_long_pages(spark):
+    """Payloads of several megabytes and of every byte length around the limits are written and read whole."""
+    big = "<p>é" * 400_000
+    rows = [(1, "u", big), (2, "u", big), (3, "u", big + "x"), *((10 + n, "u", "y" * n) for n in range(95, 105)), (200, "u", "y" * 100)]
+    found = {r.page_id: r for r in warc_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for key, _, html in rows:
+        body = html.encode()
+        assert (found[key].payload_bytes, found[key].payload_digest) == (len(body), hashlib.sha256(body).hexdigest())
+    assert [found[k].refers_to for k in (1, 2, 3, 110, 200)] == [None, 1, None, None, 110]
+
+
+def test_labelled_id_repeated(spark):
+    """One labelled id on many rows counts once in the sample, which stays within its bounds."""
+    docs = spark.createDataFrame([(4, f"text {k}") for k in range(500)] + [(k, "z" * 100) for k in range(5, 60)], SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4, 60)], "doc_id bigint, toxic int")
+    for bound, room, most in ((1000, 1 << 20, 56), (10, 1 << 20, 10), (1000, 1000, 12)):
+        sample = training_rows(docs, labels, "toxic", Scratch(spark, "test"), bound, most_bytes=room).collect()
+        assert len({r.doc_id for r in sample}) == len(sample) <= most
+        assert sum(len(r.text) for r in sample) <= room

@@ -17,12 +17,15 @@ from tokenizers import Tokenizer
 
 from quillstack.llm import brown, near_dedup as nd, queries as q
 from quillstack.llm.bpe import Bpe
+from quillstack.llm.common import Scratch
 from quillstack.llm.exact_dedup import exact_dedup
-from quillstack.llm.packing import BinTree, first_fit_decreasing, pack
-from quillstack.llm.quality_model import AttentionModel, passage_features
+from quillstack.llm.labelled import training_rows
+from quillstack.llm.packing import BinTree, first_fit_decreasing, pack, pack_documents
+from quillstack.llm.quality_model import N_FEATURES, AttentionModel, Bags, passages, quality_model, word_hashes
+from quillstack.llm.quality_model import fit as quality_fit
 from quillstack.llm.quality_rules import quality_rules, repeated_words
 from quillstack.llm.token_files import EliasFano, TokenFile, pack_file
-from quillstack.llm.toxicity import swaps, text_features, token_features, train
+from quillstack.llm.toxicity import IDENTITY_TERMS, counterfactuals, fitted, moved_features, text_features, token_features, toxicity, train
 from quillstack.llm.warc import arc_file, convert, parse_arc, parse_warc
 
 SF = "/root/testdata/sf0.001"
@@ -109,10 +112,10 @@ def test_elias_fano():
     for n, u in ((0, 0), (1, 0), (1, 9), (7, 7), (1000, 5), (1000, 10**6), (3, 1 << 40)):
         v = np.sort(rng.integers(0, u + 1, n))
         e, at = EliasFano.parse(memoryview(EliasFano.of(v, u).to_bytes()), 0)
-        assert e.values().tolist() == v.tolist() and [e.select(i) for i in range(n)] == v.tolist()
+        assert [e.select(i) for i in range(n)] == v.tolist()
     ids = np.arange(10, dtype=np.uint32)
     f = TokenFile(pack_file([None, -5, 3, 3], [2, 0, 5, 3], ids, 2))
-    assert f.doc_ids() == [None, -5, 3, 3] and [f.document(i).tolist() for i in range(4)] == [[0, 1], [], [2, 3, 4, 5, 6], [7, 8, 9]]
+    assert [f.doc_id(i) for i in range(4)] == [None, -5, 3, 3] and [f.document(i).tolist() for i in range(4)] == [[0, 1], [], [2, 3, 4, 5, 6], [7, 8, 9]]
     with pytest.raises(ValueError):
         TokenFile(b"nonsense")
 
@@ -160,12 +163,72 @@ def test_near_dedup_is_brute_force(spark, texts):
         assert got == brute_components(docs)
 
 
+def test_near_dedup_recall(spark):
+    """Every link of the documents divisible by 20 with any document, on a table of 1,000."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: nd.shingles(r.text) for r in table.collect()}
+    comp = {r.doc_id: r.component_id for r in nd.near_dedup(table).collect()}
+    links = [(a, b) for a in sets if a % 20 == 0 and sets[a] for b in sets if b != a and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert links and sum(comp[a] == comp[b] for a, b in links) == len(links)
+
+
+def test_few_equal_registers_are_never_likely():
+    """The short cut in meetings drops nothing that the likelihood test would let through."""
+    rest = 128 - nd.SURELY_APART + 1
+    more = np.arange(rest + 1)
+    a = np.full((len(more), 128), 9, np.uint16)
+    b = a.copy()
+    for m in more:
+        a[m, :m] += 1
+        b[m, m:rest] += 1
+    for share in np.linspace(3 / 7, 4 / 7, 101):
+        assert not nd.likely(a, np.full(len(more), share), b, np.full(len(more), 1 - share))[0].any()
+
+
+def test_hot_groups(spark):
+    """Groups of thousands of copies, exact and near, with null and repeated ids, are cut into slices and stay whole."""
+    base = [f"w{k}" for k in range(60)]
+    near = [(k, " ".join([*base[:58], f"x{k}", "end"])) for k in range(1, 900)]
+    docs = spark.createDataFrame([*near, *((5000 + k, "same  text here") for k in range(2000)), *((None, "same text\there") for _ in range(700)), (7000, "one"), (7000, "one")], "doc_id bigint, text string")
+    exact = exact_dedup(docs).collect()
+    assert len(exact) == docs.count()
+    assert {(r.keep_id, r.group_size) for r in exact if r.group_size > 2} == {(5000, 2700)}
+    assert sum(r.kept for r in exact) == len(near) + 1 + 2
+    found = nd.near_dedup(docs).collect()
+    assert {r.component_id for r in found if r.doc_id and r.doc_id < 900} == {1}
+    assert {r.component_id for r in found if r.doc_id and 5000 <= r.doc_id < 7000} == {5000}
+
+
+def test_every_text_of_a_repeated_id_is_linked(spark):
+    words = [f"w{k}" for k in range(100)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    docs = spark.createDataFrame([(5, a), (5, b), (7, a + " more"), (9, b + " other"), (11, "quite another text")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in nd.near_dedup(docs).collect()} == {5: 5, 7: 5, 9: 5, 11: 11}
+
+
+def test_packing_of_one_row_repeated(spark):
+    """Null ids and equal rows are packed in bounded goes, each id once, and sequences don't overlap."""
+    docs = spark.createDataFrame([(None, "some words to pack")] * 5000 + [(3, None)] * 50, "doc_id bigint, text string")
+    rows = pack_documents(docs, P.path("word_bpe_49k.json"), group_rows=100).collect()
+    size = max(r.doc_tokens for r in rows)
+    assert sum(r.length for r in rows) == 5000 * size + 50
+    placed = collections.defaultdict(list)
+    for r in rows:
+        placed[r.sequence_id].append((r.offset, r.length))
+    for pieces in placed.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
 def test_blocks_lose_no_link(spark):
     """Without any star, whole buckets and tiny blocks alike join what brute force joins."""
     docs = near_copies(2, groups=((20, 5), (25, 12)))
     df = spark.createDataFrame(list(docs.items()), "id bigint, text string")
     reps = nd.sketched(df, "id", "text").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").cache()
-    members = reps.select("id", F.posexplode("sketch").alias("band", "key")).withColumn("pivot", F.lit(-1).cast("long"))
+    members = reps.select("id", "n", F.posexplode("sketch").alias("band", "key")).withColumn("pivot", F.lit(-1).cast("long"))
     nobody = spark.createDataFrame([], "id bigint, comp bigint")
     want = brute_components(docs)
     for block in (1000, 4):
@@ -272,32 +335,124 @@ def test_held_out_accuracy(spark):
 
 
 def test_identity_terms_move_no_score():
-    """Every toxic text names one group; only with the penalty do neutral mentions of it stay low."""
+    """Every toxic text names one group; with the penalty as the query has it, neutral mentions stay low."""
     rng = random.Random(6)
-    rows = [(f"{'muslim' if y else 'christian'} {'idiot' if y and k % 3 else 'day'} {' '.join(rng.choices(['sun', 'tree', 'walk', 'house'], k=3))}", y) for k in range(200) for y in (0, 1)]
-    names = sorted({f for t, _ in rows for f in text_features(t)} | {f for w in ("muslim", "christian", "jewish") for f in token_features(w)})
-    index = {f: i for i, f in enumerate(names)}
+    texts = [(f"{'muslim' if y else 'christian'} {'idiot' if y and k % 3 else 'day'} {' '.join(rng.choices(['sun', 'tree', 'walk', 'house'], k=3))}", y) for k in range(200) for y in (0, 1)]
     terms = (("muslim", "christian", "jewish"),)
-    made = [(sorted(index[f] for f in text_features(t)), y, [([index[f] for f in token_features(a)], [index[f] for f in token_features(b)]) for a, b in swaps(text_features(t), terms)]) for t, y in rows]
-    shift = [abs(train(made, names, counterfactual=c).logit(text_features("muslim day")) - train(made, names, counterfactual=c).logit(text_features("christian day"))) for c in (0.0, 5.0)]
-    assert shift[1] < 0.2 * shift[0]
+    names = sorted({f for t, _ in texts for f in text_features(t)} | {f for w in terms[0] for f in token_features(w)})
+    index = {f: i for i, f in enumerate(names)}
+    rows = [(sorted(index[f] for f in text_features(t)), y) for t, y in texts]
+    moves = [m for k, (t, _) in enumerate(texts) for pair in counterfactuals(t, k, terms) if (m := moved_features(*pair, index))]
+    plain, fair = train(rows, moves, names, counterfactual=0.0), train(rows, moves, names)
+    logit = lambda model, text: model.logit(text_features(text))
+    assert logit(plain, "muslim day") - logit(plain, "christian day") > 4
+    for term in terms[0]:
+        assert abs(logit(fair, f"{term} day") - logit(fair, "day")) < 0.3
+    assert logit(fair, "christian idiot") > logit(fair, "muslim day") + 2
+    assert fair.pairs == len(moves) >= 3 * len(texts)
+
+
+def test_counterfactuals_change_whole_texts():
+    index = {f: i for i, f in enumerate(["muslim", "^mus", "^musl", "christian", "^chr"])}
+    pairs = list(counterfactuals("Muslim music", 0, (("muslim", "christian"),)))
+    assert pairs[0] == ("Muslim music", "christian music")
+    # "^mus" stays, since "music" has it too
+    assert moved_features(*pairs[0], index) == [-3, -1, 4, 5]
+
+
+def test_toxicity_trains_on_counterfactuals(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = fitted(docs, labels)
+    assert model.pairs >= labels.count() * 0.5
+    assert all(abs(model.logit(text_features(term)) - model.bias) < 0.2 for kind in IDENTITY_TERMS for term in kind)
+
+
+def test_toxicity_is_brute_force(spark, texts):
+    """Scores of the query recomputed text by text from the same model."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = fitted(docs, labels)
+    for r in toxicity(docs, labels).collect():
+        z = model.bias + math.fsum(w for f, w in model.weights.items() if f in text_features(texts[r.doc_id]))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def random_bags(rng, bags: int, size: int):
+    out = []
+    for _ in range(bags):
+        counts = rng.integers(0, 9, size)
+        out.append((rng.normal(0, 1, (size, N_FEATURES)).astype(np.float32), rng.integers(0, 4096, counts.sum()).astype(np.uint16), counts))
+    return out
 
 
 def test_attention_finds_the_passage():
+    """Bags whose label hangs on one passage: by a feature, and by one word."""
     rng = np.random.default_rng(8)
-    bags, y = [], []
-    for k in range(200):
-        x = rng.normal(0, 1, (5, 14)).astype(np.float32)
-        if k % 2:
-            x[rng.integers(5), 3] = 6
-        bags.append(x)
-        y.append(k % 2)
-    x, starts = np.concatenate(bags), np.arange(200) * 5
-    model = AttentionModel().fit(x, starts, np.asarray(y, float))
-    assert ((model.score(x, starts) > 0.5) == np.asarray(y)).mean() > 0.95
-    weight = model.forward(x, starts)["weight"].reshape(200, 5)
-    assert (weight.argmax(1) == x[:, 3].reshape(200, 5).argmax(1))[1::2].mean() > 0.9
-    assert passage_features("") .shape == (1, 14) and len(passage_features("w " * 250)) == 3
+    for by_word in (False, True):
+        parts, where = random_bags(rng, 400, 5), rng.integers(0, 5, 400)
+        y = np.arange(400) % 2
+        for k in range(1, 400, 2):
+            x, ids, counts = parts[k]
+            if by_word:
+                at = counts[: where[k]].sum()
+                ids = np.insert(ids, [at] * 3, 7)
+                counts[where[k]] += 3
+            else:
+                x[where[k], 3] = 6
+            parts[k] = (x, ids, counts)
+        model = AttentionModel().fit(parts[:300], y[:300].astype(float))
+        bags = Bags.of(parts[300:])
+        assert ((model.score(bags) > 0.5) == y[300:]).mean() > 0.9
+        if not by_word:
+            weight = model.forward(bags)["weight"].reshape(100, 5)
+            assert (weight.argmax(1) == where[300:])[1::2].mean() > 0.9
+
+
+def test_attention_gradients():
+    rng = np.random.default_rng(3)
+    bags, y = Bags.of(random_bags(rng, 4, 3)), np.array([0.0, 1, 1, 0])
+    model = AttentionModel()
+    model.o = rng.normal(0, 1, len(model.o))
+
+    def loss() -> float:
+        p = model.score(bags)
+        return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    for name, grad in model.gradients(bags, y).items():
+        if name == "bias":
+            continue
+        value = getattr(model, name)
+        for at in {tuple(rng.integers(0, s) for s in value.shape) for _ in range(3)} | {tuple(int(v) for v in np.unravel_index(np.abs(grad).argmax(), value.shape))}:
+            held = value[at]
+            value[at] = held + 1e-6
+            up = loss()
+            value[at] = held - 1e-6
+            down = loss()
+            value[at] = held
+            assert math.isclose((up - down) / 2e-6, grad[at], rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_quality_model_is_brute_force(spark, texts):
+    """Scores of the query recomputed one document and one passage at a time."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_fit(training_rows(docs, labels, "quality", Scratch(spark, "test"), 8000))
+
+    def brute(text: str) -> float:
+        words = text.encode().split()
+        encoded, gates = [], []
+        for at in range(0, max(1, len(words)), 100):
+            x, ids, counts = passages(b" ".join(words[at : at + 100]).decode(), word_hashes())
+            e = sum((model.E[i].astype(float) for i in ids), np.zeros(16)) / math.sqrt(max(1, counts[0]))
+            h = np.tanh(np.concatenate([(x[0] - model.shift) / model.scale, e]) @ model.W + model.c)
+            encoded.append(h)
+            gates.append(math.exp((np.tanh(h @ model.V) / (1 + np.exp(-(h @ model.U)))) @ model.a))
+        z = sum(g * h for g, h in zip(gates, encoded, strict=True)) / sum(gates)
+        return 1 / (1 + math.exp(-(z @ model.o + model.bias)))
+
+    for r in quality_model(docs, labels).collect():
+        assert math.isclose(r.score, brute(texts[r.doc_id]), rel_tol=1e-4, abs_tol=1e-6)
+    empty = passages("", word_hashes())
+    assert empty[0].shape == (1, N_FEATURES) and len(passages("w " * 250, word_hashes())[0]) == 3
 
 
 def test_base_columns_of_quality_rules(spark, texts):
