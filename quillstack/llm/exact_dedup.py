@@ -48,11 +48,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = scratch.keep(narrow.groupBy("_h").agg(count, F.min(rank).alias("_best")).where("group_size > 1"), "groups")
     # a group of copies that holds much of the table is dealt into slices, each with a copy of the group's row
     hot = scratch.keep(hot_keys(groups, "_h", "group_size", narrow.count()), "hot")
-    of_slice = copied(groups, hot, "_h")
+    # always joined by shuffle: a plan that broadcasts the groups of small tables says nothing about large ones
+    of_slice = copied(groups, hot, "_h").hint("merge")
     slices = lambda rows: dealt(rows, hot, "_h", "doc_id", "_chars")
 
     # the one shuffle of texts; only those of groups go on, and are written
-    members = scratch.keep(slices(norm).join(of_slice.drop("group_size"), ["_h", "_s"]), "members")
+    members = scratch.keep(slices(norm).join(of_slice.drop("group_size").hint("merge"), ["_h", "_s"]), "members")
     stays = members.where(F.col("_best.id").eqNullSafe(F.col("doc_id")) & (F.col("_best.less") == -F.col("_chars")))
     stays = copied(stays.groupBy("_h").agg(F.min("_norm").alias("_kept_norm")), hot, "_h")
     collided = scratch.keep(members.select("_h", "_s", "_norm").join(stays, ["_h", "_s"]).where("_norm != _kept_norm").select("_h").distinct(), "collided")
