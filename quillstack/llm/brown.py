@@ -132,10 +132,30 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+#: Counts up to this have what they add to f looked up in a table for each block of words.
+SMALL = 16
+
+
+def _added(table: np.ndarray, x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """f(t + x) - f(t) for the rows t of a table (all, or those named by `at`) and whole numbers x, row by row."""
+    rows = np.arange(len(table)) if at is None else at
+    if len(x) <= 4 * SMALL * len(table):
+        t = table[rows]
+        return _f(t + x[:, None]) - _f(t)
+    known = _f(table[None] + np.arange(SMALL + 1.0)[:, None, None]) - _f(table)[None]
+    small = x <= SMALL
+    out = known[np.where(small, x, 0).astype(np.int64), rows]
+    t = table[rows[~small]]
+    out[~small] = _f(t + x[~small, None]) - _f(t)
+    return out
+
+
 def gains(joint: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
     """What `exchange` computes for one word, for many: gain[w, b] of w in class b, all else staying.
 
     right[w, c] and left[w, c] count neighbours of class c without w itself, own[w] counts w after w.
+    Most words are rare, so most of the sum is looked up; what w itself adds to the class it is in is
+    put right afterwards.
     """
     at = np.flatnonzero(of < classes)
     gain = np.zeros((len(of), classes))
@@ -144,25 +164,35 @@ def gains(joint: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarra
         if not len(w):
             continue
         x, home = to[w, c], of[w]
-        base = table[:classes].T[c]
-        inside, same = np.flatnonzero(home < classes), np.flatnonzero(c == home)
-        base[inside, home[inside]] -= x[inside]
-        base[same] -= back[w[same], :classes]
-        both = same[home[same] < classes]
-        base[both, home[both]] -= own[w[both]]
+        by_class = np.ascontiguousarray(table[:classes].T)
+        step = _added(by_class, x, c)
+        inside = np.flatnonzero((home < classes) & (c != home))
+        without = np.maximum(by_class[c[inside], home[inside]] - x[inside], 0)
+        step[inside, home[inside]] = _f(without + x[inside]) - _f(without)
+        same = np.flatnonzero(c == home)
+        base = by_class[c[same]] - back[w[same], :classes]
+        both = np.flatnonzero(home[same] < classes)
+        base[both, home[same][both]] -= x[same][both] + own[w[same][both]]
         np.maximum(base, 0, out=base)
+        step[same] = _f(base + x[same, None]) - _f(base)
         starts = np.flatnonzero(np.diff(w, prepend=-1))
-        gain[w[starts]] += np.add.reduceat(_f(base + x[:, None]) - _f(base), starts)
-    d = np.tile(np.diag(joint)[:classes], (len(of), 1))
-    d[at, of[at]] -= right[at, of[at]] + left[at, of[at]] + own[at]
-    np.maximum(d, 0, out=d)
+        gain[w[starts]] += np.add.reduceat(step, starts)
+    # a class gains by its own bigrams only where w has it on both sides, or follows itself
     r, l = right[:, :classes], left[:, :classes]
-    gain += _f(d + r + l + own[:, None]) - _f(d + r) - _f(d + l) + _f(d)
+    w, b = ((r > 0) & (l > 0) | (own > 0)[:, None]).nonzero()
+    d = np.diag(joint)[b] - np.where(of[w] == b, right[w, b] + left[w, b] + own[w], 0)
+    np.maximum(d, 0, out=d)
+    gain[w, b] += _f(d + r[w, b] + l[w, b] + own[w]) - _f(d + r[w, b]) - _f(d + l[w, b]) + _f(d)
     for sums, table in ((right.sum(1) + own, joint), (left.sum(1) + own, joint.T)):
-        whole = np.tile(table.sum(1)[:classes], (len(of), 1))
-        whole[at, of[at]] -= sums[at]
-        np.maximum(whole, 0, out=whole)
-        gain -= _f(whole + sums[:, None]) - _f(whole)
+        whole = table.sum(1)[:classes]
+        small = np.minimum(sums, SMALL + 1).astype(np.int64)
+        known = _f(whole + np.arange(SMALL + 2.0)[:, None]) - _f(whole)
+        step = known[small]
+        big = np.flatnonzero(sums > SMALL)
+        step[big] = _f(whole + sums[big, None]) - _f(whole)
+        rest = np.maximum(whole[of[at]] - sums[at], 0)
+        step[at, of[at]] = _f(rest + sums[at]) - _f(rest)
+        gain -= step
     return gain
 
 
@@ -193,8 +223,9 @@ class BrownModel:
 
 def joined_ids(column: pa.Array, mark: int, before: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts of a batch in one array, each after `before` marks, and where each text's marks start."""
-    lengths = np.fromiter((len(x.as_buffer()) // 4 for x in column), np.int64, len(column))
-    ids = np.frombuffer(b"".join(column.to_pylist()), np.int32)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    lengths = np.diff(ends) // 4
+    ids = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int32) if ends[-1] > ends[0] else np.zeros(0, np.int32)
     starts = np.cumsum(lengths) - lengths
     return np.insert(ids, np.repeat(starts, before), mark), starts + before * np.arange(len(column))
 
@@ -293,6 +324,12 @@ def sweep(pairs, of: np.ndarray, joint: np.ndarray, parts: int, free: int, class
     def run(rows: Iterator) -> Iterator[tuple[int, bytes]]:
         of, whole = sent.value
         counts: dict[int, np.ndarray] = {}
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def add(part: int) -> None:
+            held = counts[part]
+            np.add(held, np.bincount(np.concatenate(waiting.pop(part)), minlength=len(held)), out=held, casting="unsafe")
+
         for part, n, packed in rows:
             mine = min(v, free)
             words = max(0, -(-(mine - part) // parts))
@@ -308,7 +345,11 @@ def sweep(pairs, of: np.ndarray, joint: np.ndarray, parts: int, free: int, class
             near = code >> 1
             # the word itself as neighbour has a column of its own
             c = np.where(near == local * parts + part, total, of[near])
-            np.add.at(counts[part], (local * 2 + (code & 1)) * (total + 1) + c, 1)
+            waiting.setdefault(part, []).append((local * 2 + (code & 1)) * (total + 1) + c)
+            if sum(map(len, waiting[part])) >= len(counts[part]) // 4:
+                add(part)
+        for part in list(waiting):
+            add(part)
         for part, held in sorted(counts.items()):
             joint, best = whole.copy(), []
             words = np.arange(part, min(v, free), parts)
