@@ -258,11 +258,12 @@ def _histogram(coded: DataFrame, size: int, codes) -> np.ndarray:
     return out
 
 
-#: Words that move against the same class bigrams before these follow the moves.
-BLOCK = 1024
+#: Words that move against the same class bigrams before these follow the moves, and words of a part:
+#: a task counts the neighbours of one part at a time, about 70 numbers a word.
+BLOCK, WORDS = 1024, 32_000
 
 
-def neighbours(coded: DataFrame, v: int, parts: int, room: int = 1_000_000):
+def neighbours(coded: DataFrame, v: int, parts: int, room: int = 500_000):
     """An RDD of (part, n, pairs): word // parts and the code of a neighbour, for words below v with word % parts == part.
 
     A code is twice the neighbour's number, and one more if it stands before the word. Pairs are packed
@@ -345,8 +346,8 @@ def sweep(pairs, of: np.ndarray, joint: np.ndarray, parts: int, free: int, class
             near = code >> 1
             # the word itself as neighbour has a column of its own
             c = np.where(near == local * parts + part, total, of[near])
-            waiting.setdefault(part, []).append((local * 2 + (code & 1)) * (total + 1) + c)
-            if sum(map(len, waiting[part])) >= len(counts[part]) // 4:
+            waiting.setdefault(part, []).append(((local * 2 + (code & 1)) * (total + 1) + c).astype(np.int32))
+            if sum(map(len, waiting[part])) >= 500_000:
                 add(part)
         for part in list(waiting):
             add(part)
@@ -370,7 +371,7 @@ def likelihood(joint: np.ndarray, classes: int) -> float:
     return float(_f(joint).sum() - _f(joint.sum(1)[:classes]).sum() - _f(joint.sum(0)[:classes]).sum())
 
 
-def word_classes(coded: DataFrame, v: int, tokens: int, sizes: Sizes) -> np.ndarray:
+def word_classes(coded: DataFrame, v: int, sizes: Sizes) -> np.ndarray:
     """A class for each of the v words, then those of rare words and of text ends."""
     C = sizes.classes
     rare, end, unplaced = C, C + 1, C + 2
@@ -392,7 +393,7 @@ def word_classes(coded: DataFrame, v: int, tokens: int, sizes: Sizes) -> np.ndar
     of[:m] = exchange(bigrams, np.asarray([-1] * m + [C, C + 1]), C, sizes.sweeps)[:m]
 
     # then all words
-    parts = 1 + tokens // 4_000_000
+    parts = 1 + v // WORDS
     pairs = neighbours(coded, v, parts)
     joint = class_bigrams(coded, of, C + 3)
     for free in [sizes.placed, v] if v > sizes.placed else [v]:
@@ -409,8 +410,8 @@ def word_classes(coded: DataFrame, v: int, tokens: int, sizes: Sizes) -> np.ndar
     return of
 
 
-def train(coded: DataFrame, v: int, tokens: int, rare_mass: float, sizes: Sizes = Sizes()) -> BrownModel:
-    of = word_classes(coded, v, tokens, sizes)
+def train(coded: DataFrame, v: int, rare_mass: float, sizes: Sizes = Sizes()) -> BrownModel:
+    of = word_classes(coded, v, sizes)
     end = sizes.classes + 1
     total = end + 1
 
@@ -566,7 +567,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     coded, classed, n, v, rare_mass = coded_rows(rows.select("doc_id", held_out.alias("held_out"), "text"), scratch, sizes)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the coding before those of the sweeps are written
-    model = train(coded.where(~F.col("held_out")), classed, n, rare_mass, sizes)
+    model = train(coded.where(~F.col("held_out")), classed, rare_mass, sizes)
     given = spark.sparkContext.broadcast((model.classes, model.log_next, model.log_mass))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
