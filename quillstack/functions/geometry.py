@@ -30,17 +30,37 @@ def scaled_box(box: Column, size: Column) -> Column:
     return F.array(*[(F.get(box, i) * 1000 / F.get(size, i % 2)).cast("int") for i in range(4)])
 
 
+def in_bands(rects: DataFrame, low: str, high: str, keys: list[str], bands: DataFrame, name: str = "_band") -> DataFrame:
+    """rects with one row for each band of [low, high) that they reach into; bands (keys, _start, _height)."""
+    cut = lambda c: F.floor((F.col(c) - F.col("_start")) / F.col("_height"))
+    placed = rects.join(bands, keys)
+    return placed.withColumn(name, F.explode(F.sequence(cut(low), cut(high)))).drop("_start", "_height")
+
+
+def bands_of(rects: DataFrame, low: str, high: str, keys: list[str], most: int = 4096) -> DataFrame:
+    """keys, _start, _height: bands as high as the mean rectangle of the key, and at most `most` of them.
+
+    Rectangles then reach into about two bands each, and only those that share a band can overlap.
+    """
+    whole = F.max(high) - F.min(low)
+    height = F.greatest(F.avg(F.col(high) - F.col(low)), whole / most)
+    return rects.groupBy(*keys).agg(F.min(low).alias("_start"), F.when(height > 0, height).otherwise(1.0).alias("_height"))
+
+
 def union_area(rects: DataFrame, *keys: str) -> DataFrame:
     """keys, area: the exact area covered by the rectangles (x0, y0, x1, y1) of each key.
 
     Neighbouring distinct x-edges bound strips; inside a strip the y-intervals are merged with a
-    running maximum. All of it is windows and joins, so a large group spills instead of filling a
-    task's memory.
+    running maximum. Strips and rectangles meet through bands of x, so a rectangle is compared with the
+    strips near it and not with all of its key. All of it is windows and joins, so a large group spills
+    instead of filling a task's memory.
     """
     rects = rects.where("x1 > x0 and y1 > y0")
     edges = rects.select(*keys, F.explode(F.array("x0", "x1")).alias("left")).distinct()
     strips = edges.withColumn("right", F.lead("left").over(Window.partitionBy(*keys).orderBy("left"))).where("right is not null")
-    inside = strips.join(rects, list(keys)).where("x0 < right and x1 > left")
+    bands = bands_of(rects, "x0", "x1", list(keys))
+    strips = strips.join(bands, list(keys)).withColumn("_band", F.floor((F.col("left") - F.col("_start")) / F.col("_height"))).drop("_start", "_height")
+    inside = strips.join(in_bands(rects, "x0", "x1", list(keys), bands), [*keys, "_band"]).where("x0 <= left and x1 > left")
     strip = Window.partitionBy(*keys, "left", "right")
     before = strip.orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
     merged = inside.withColumn("reach", F.max("y1").over(before))

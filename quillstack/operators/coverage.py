@@ -21,15 +21,17 @@ def coverage(oracle: DataFrame, extracted: DataFrame, key: str, text: str, extra
     """key, hits, total, score: how many of an oracle text's n-grams, with multiplicity, occur anywhere
     in the extracted texts; 1.0 where there are none.
 
-    The oracle's distinct grams are small and prune the extracted grams before anything is shuffled by
-    gram: a left semi join first, then distinct, so the extracted corpus is never dealt out whole if
-    the planner can broadcast the oracle side.
+    Grams of the extracted texts travel as 64-bit hashes, and only those whose hash some oracle gram has
+    go on (a semi join that drops nearly all), so strings are shuffled for hits alone; the strings then
+    decide, so no collision of hashes counts.
     """
-    wanted = grams_of(oracle, key, text, size, compatible)
-    distinct = wanted.where("gram is not null").select("gram").distinct()
-    there = grams_of(extracted.withColumn("_one", F.lit(1)), "_one", extracted_text, size, compatible).where("gram is not null").select("gram")
-    found = there.join(distinct, "gram", "left_semi").distinct().withColumn("_hit", F.lit(1))
-    scored = wanted.join(found, "gram", "left").groupBy(key).agg(F.count("_hit").alias("hits"), F.count("gram").alias("total"))
+    wanted = grams_of(oracle, key, text, size, compatible).withColumn("_h", F.xxhash64("gram"))
+    hashes = wanted.where("gram is not null").select("_h").distinct()
+    tokens = extracted.select(ascii_tokens(F.col(extracted_text), compatible).alias("tokens"))
+    tokens = tokens.select(F.array_distinct(ngrams(F.col("tokens"), size)).alias("grams"))
+    there = tokens.select(F.explode("grams").alias("gram")).withColumn("_h", F.xxhash64("gram"))
+    found = there.join(hashes, "_h", "left_semi").select("gram").distinct().withColumn("_hit", F.lit(1))
+    scored = wanted.drop("_h").join(found, "gram", "left").groupBy(key).agg(F.count("_hit").alias("hits"), F.count("gram").alias("total"))
     return scored.withColumn("score", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(1.0))
 
 
@@ -41,11 +43,21 @@ def coverage_total(scored: DataFrame, least: float = 0.95) -> DataFrame:
 
 
 def copy_ratio(pairs: DataFrame, source: str, target: str, least_grams: int = 8, most: float = 0.80, compatible: bool = False) -> DataFrame:
-    """pairs with grams, copied, ratio and is_copy: the share of source n-grams found in the target, row by row."""
+    """pairs with grams, copied, ratio and is_copy: the share of source n-grams found in the target, row by row.
+
+    Grams of both texts are counted in one sorted list of (gram, side), so a pair of long texts costs a
+    sort and not a comparison of all with all.
+    """
     if not compatible:  # a Python function can't stand inside the n-gram lambda
         pairs = pairs.withColumn("_a", nfkc(F.col(source))).withColumn("_b", nfkc(F.col(target)))
     a, b = (F.col(source), F.col(target)) if compatible else (F.col("_a"), F.col("_b"))
     rows = pairs.withColumn("_s", ngrams(ascii_tokens(a, True))).withColumn("_t", ngrams(ascii_tokens(b, True))).drop("_a", "_b")
-    rows = rows.withColumn("grams", F.size("_s")).withColumn("copied", F.size(F.filter("_s", lambda g: F.array_contains("_t", g))))
+    # distinct source grams that the target lacks; their repeats are the rest of what isn't copied
+    rows = rows.withColumn("grams", F.size("_s")).withColumn("_lacking", F.array_except("_s", "_t"))
+    marked = F.concat(F.transform("_lacking", lambda g: F.struct(g.alias("g"), F.lit(0).alias("k"))), F.transform("_s", lambda g: F.struct(g.alias("g"), F.lit(1).alias("k"))))
+    state = F.struct(F.lit("").alias("g"), F.lit(0).alias("n"))
+    step = lambda a, x: F.when(x["k"] == 0, F.struct(x["g"].alias("g"), a["n"].alias("n"))).otherwise(F.struct(a["g"].alias("g"), (a["n"] + (a["g"] == x["g"]).cast("int")).alias("n")))
+    absent = F.aggregate(F.array_sort(marked), state, step)["n"]
+    rows = rows.withColumn("copied", F.when(F.size("_lacking") == 0, F.col("grams")).when(F.size("_lacking") == F.size(F.array_distinct("_s")), 0).otherwise(F.col("grams") - absent)).drop("_lacking")
     rows = rows.withColumn("ratio", F.when(F.col("grams") > 0, F.col("copied") / F.col("grams")).otherwise(0.0))
     return rows.withColumn("is_copy", (F.col("grams") >= least_grams) & (F.col("ratio") >= most)).drop("_s", "_t")

@@ -88,6 +88,16 @@ def translation_gate(requests: DataFrame, answers: DataFrame, partial: bool = Fa
     ])
 
 
+def missing_uris(uris: DataFrame, text: DataFrame) -> DataFrame:
+    """URIs that no emitted text holds: URLs of the texts are taken out and compared by equality, and
+    only what is left (a URI inside a longer one) is looked for in the texts."""
+    there = text.select(F.explode(F.array_distinct(F.regexp_extract_all("md", F.lit(r"[a-z]+:[^\s<>()\"]+"), F.lit(0)))).alias("uri")).distinct()
+    rest = uris.select("uri").distinct().join(there, "uri", "left_anti")
+    within = there.withColumnRenamed("uri", "_longer")
+    key = lambda c: F.substring_index(F.substring_index(F.substring_index(c, "#", 1), "?", 1), "/", 3)
+    return rest.join(within, (key(F.col("uri")) == key(F.col("_longer"))) & F.contains(F.col("_longer"), F.col("uri")), "left_anti")
+
+
 def output_gate(blocks: DataFrame, text: DataFrame, inputs: DataFrame, pins: DataFrame, uris: DataFrame) -> DataFrame:
     """Markers in the emitted Markdown (one row, column md) against blocks (id, source_sha256, mode)."""
     g = "output"
@@ -101,7 +111,7 @@ def output_gate(blocks: DataFrame, text: DataFrame, inputs: DataFrame, pins: Dat
         failures(both, g, "marker_content", "id", "hash or mode differs"),
         failures(repeated, g, "marker_once", "id", "marker repeated"),
         failures(pinned(inputs, pins), g, "pins", "artifact", "input changed"),
-        failures(uris.join(text, ~F.contains(F.col("md"), F.col("uri")), "left_semi"), g, "uris", "uri", "not in the output"),
+        failures(missing_uris(uris, text), g, "uris", "uri", "not in the output"),
     ])
 
 
@@ -111,7 +121,14 @@ def render_gate(pages: DataFrame, expected: DataFrame) -> DataFrame:
     blank = pages.where("length(trim(text)) < 15 and ink < 0.002")
     size = pages.where((F.abs(F.col("width") - 595.28) >= 1) | (F.abs(F.col("height") - 841.89) >= 1))
     flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    seen = expected.join(pages.select(flat(F.col("text")).alias("_p")), F.contains(F.col("_p"), flat(F.col("text"))), "left_anti")
+    # a text that lies on a page holds its own first eight letters there: they are the join key
+    head = F.substring(flat(F.col("text")), 1, 8)
+    starts = pages.select(flat(F.col("text")).alias("_p")).withColumn("_head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_p") - 7, F.lit(1))), lambda i: F.substring("_p", i, 8)))))
+    short = F.length(flat(F.col("text"))) < 8
+    long = expected.where(~short).join(starts, (head == F.col("_head")) & F.contains(F.col("_p"), flat(F.col("text"))), "left_anti")
+    grams = pages.select(flat(F.col("text")).alias("_p"))
+    brief = expected.where(short).join(grams, F.contains(F.col("_p"), flat(F.col("text"))), "left_anti")
+    seen = long.unionByName(brief)
     return together([failures(blank, g, "blank_page", "page", "no text or ink"), failures(size, g, "page_size", "page", "not A4"), failures(seen, g, "group_present", "group_id", "not on any page")])
 
 

@@ -65,6 +65,14 @@ def bounding_box(rects: DataFrame, *keys: str) -> DataFrame:
     return rects.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def most_common(rows: DataFrame, by: str, value: str, most: int) -> DataFrame:
+    """by, place, value, n: the most frequent values of each group, ties by value. Counted before they are
+    ranked, so a group costs its distinct values."""
+    counted = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), value))
+    return counted.select(by, place.alias("place"), value, "n").where(F.col("place") <= most)
+
+
 def shortened(items: Column, most: int = 30, shown: int = 20) -> Column:
     """A report list: whole up to `most`, else its first `shown`."""
     return F.when(F.size(items) > most, F.slice(items, 1, shown)).otherwise(items)

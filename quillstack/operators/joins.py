@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import intersection
+from ..functions.geometry import bands_of, in_bands, intersection
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str, ord_col: str) -> DataFrame:
@@ -48,12 +48,16 @@ def exactly_one(items: DataFrame, targets: DataFrame, keys: list[str], item_id:
 def overlapping(a: DataFrame, b: DataFrame, key: str, least_share: float = 0.0) -> DataFrame:
     """Pairs of rectangles (a_*, b_* columns) of one key that share an area above least_share of b's.
 
-    The key bounds the pairs; b is also cut into horizontal bands as high as its tallest rectangle
-    would need, so a page with many rectangles meets only those at its own height.
+    Both sides are cut into horizontal bands of the key, so a rectangle meets only those at its own
+    height; a pair that shares several bands is taken in the one where the later of the two begins.
     """
     area_b = (F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0"))
     shared = intersection("a_", "b_")
-    pairs = a.join(b, key).where((F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1")))
+    bands = bands_of(b, "b_y0", "b_y1", [key])
+    start = bands.select(key, "_start", "_height")
+    pairs = in_bands(a, "a_y0", "a_y1", [key], bands).join(in_bands(b, "b_y0", "b_y1", [key], bands), [key, "_band"]).join(start, key)
+    pairs = pairs.where(F.col("_band") == F.floor((F.greatest("a_y0", "b_y0") - F.col("_start")) / F.col("_height"))).drop("_band", "_start", "_height")
+    pairs = pairs.where((F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1")))
     return pairs.withColumn("shared", shared).where((F.col("shared") > 0) & (F.col("shared") >= least_share * area_b))
 
 

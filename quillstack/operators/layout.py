@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import horizontal_overlap_ratio
 from .sequences import anchored_clusters, column_bounds
@@ -56,8 +57,11 @@ def grown(boxes: list[tuple[float, float, float, float]], reach: float = GROW) -
         u = (min(b[0] for b in all_), min(b[1] for b in all_), max(b[2] for b in all_), max(b[3] for b in all_))
 
 
-def visuals(candidates: DataFrame) -> DataFrame:
-    """caption, x0 .. y1, resolved: the drawing cluster of each caption, clipped to its column."""
+def visuals(captions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """caption, x0 .. y1, resolved: the drawing cluster of each caption, clipped to its column.
+
+    A caption with no drawing in reach has no box and is not resolved.
+    """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         u = grown([tuple(b) for b in group[BOX].to_numpy().tolist()])
@@ -67,7 +71,8 @@ def visuals(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame([[first["caption"], x0, y0, x1, y1, bool(x1 - x0 >= LEAST_W and y1 - y0 >= LEAST_H)]], columns=["caption", *BOX, "resolved"])
 
     kind = dict(candidates.dtypes)["caption"]
-    return candidates.groupBy("caption").applyInPandas(one, f"caption {kind}, x0 double, y0 double, x1 double, y1 double, resolved boolean")
+    found = candidates.groupBy("caption").applyInPandas(one, f"caption {kind}, x0 double, y0 double, x1 double, y1 double, resolved boolean")
+    return captions.select(F.col("id").alias("caption")).join(found, "caption", "left").na.fill(False, ["resolved"])
 
 
 def physical_rows(lines: DataFrame, block: str, slack: float = 1.2) -> DataFrame:
@@ -86,7 +91,7 @@ def physical_rows(lines: DataFrame, block: str, slack: float = 1.2) -> DataFrame
             at.append(k)
         return group.assign(row=at)
 
-    return lines.groupBy(block).applyInPandas(one, lines.schema.add("row", "long"))
+    return lines.groupBy(block).applyInPandas(one, T.StructType([*lines.schema.fields, T.StructField("row", T.LongType())]))
 
 
 def page_list(spec: Column) -> Column:

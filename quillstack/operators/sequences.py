@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sentence ends, and words that can't end a sentence.
 SENTENCE_END = r"(?d)[.!?;:。！？；：][\"')\]]?$"
@@ -36,11 +37,13 @@ def islands(rows: DataFrame, by: list[str], ord_col: str, joins_previous: Column
     return rows.withColumn("_opens", opens).withColumn(name, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
-def paragraph_islands(blocks: DataFrame, by: list[str], ord_col: str, text: str, geometry: bool = False, most: int = 1800) -> DataFrame:
+def paragraph_islands(blocks: DataFrame, by: list[str], ord_col: str, text: str, geometry: bool = False, most: int = 1800, roles: bool = False) -> DataFrame:
     """Adjacent fragments of one paragraph share an island: the earlier breaks off and both fit in `most`.
 
     With geometry, both also need a vertical gap of -2 to 10 and left edges within 44 (columns x0, y0,
-    y1), a grouped kind, and no part in a caption (columns kind, translatable, caption_parent).
+    y1), a grouped kind, and no part in a caption (columns kind, translatable, caption_parent). With
+    roles, both also need the same role and output, and neither may have relations or belong to a
+    group (columns role, output, relations, groups; the last two are arrays).
     """
     w = Window.partitionBy(*by).orderBy(ord_col)
     lag = lambda c: F.lag(c).over(w)
@@ -49,6 +52,10 @@ def paragraph_islands(blocks: DataFrame, by: list[str], ord_col: str, text: str,
         kinds = ["prose", "list"]
         joins = joins & F.col("kind").isin(kinds) & lag("kind").isin(kinds) & F.col("translatable") & lag("translatable") & F.col("caption_parent").isNull() & lag("caption_parent").isNull()
         joins = joins & (F.col("y0") - lag("y1")).between(-2, 10) & (F.abs(lag("x0") - F.col("x0")) <= 44)
+    if roles:
+        joins = joins & (F.col("role") == lag("role")) & (F.col("output") == lag("output"))
+        for c in ("relations", "groups"):
+            joins = joins & (F.size(F.col(c)) == 0) & (F.size(lag(c)) == 0)
     return islands(blocks, by, ord_col, joins)
 
 
@@ -59,7 +66,7 @@ def greedy_chunks(rows: DataFrame, by: list[str], ord_col: str, chars: str, most
     Where a chunk starts depends on where the last one started, so this is a fold and no window sum.
     Rows of a group arrive sorted and only three numbers are carried, so a group of any length streams.
     """
-    schema = rows.schema.add("chunk", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.LongType())])
     order = [*by, ord_col]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (rows.repartition(parts, *by) if by else rows.coalesce(1)).sortWithinPartitions(*order)
@@ -83,7 +90,7 @@ def greedy_chunks(rows: DataFrame, by: list[str], ord_col: str, chars: str, most
 
 def anchored_clusters(rows: DataFrame, by: list[str], ord_col: str, value: str, reach: float) -> DataFrame:
     """rows with cluster, from 1: a row joins while it lies within `reach` of its cluster's first row."""
-    schema = rows.schema.add("cluster", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("cluster", T.LongType())])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, *by).sortWithinPartitions(*by, value, ord_col)
 
@@ -128,9 +135,20 @@ def index_mismatch(rows: DataFrame, by: list[str], ord_col: str, index: str) ->
 
 
 def numbered_by_first_use(rows: DataFrame, value: str, ord_col: str) -> DataFrame:
-    """value, number: distinct values numbered by where they occur first."""
+    """value, first_at, number: distinct values numbered by where they occur first.
+
+    Numbered within equal slices of the range of first places, and shifted by how many lie in the
+    slices before, so no task holds all values.
+    """
     firsts = rows.groupBy(value).agg(F.min(ord_col).alias("first_at"))
-    return firsts.withColumn("number", F.row_number().over(Window.orderBy("first_at", value)))
+    slices = 256
+    span = firsts.agg(F.min("first_at").alias("_lo"), F.max("first_at").alias("_hi"))
+    cut = F.floor((F.col("first_at") - F.col("_lo")) * slices / (F.col("_hi") - F.col("_lo") + 1))
+    cut_rows = firsts.crossJoin(F.broadcast(span)).withColumn("_cut", cut).drop("_lo", "_hi")  # span is one row
+    sizes = cut_rows.groupBy("_cut").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_cut", (F.sum("_n").over(Window.orderBy("_cut")) - F.col("_n")).alias("_before"))  # at most 256 rows
+    inside = F.row_number().over(Window.partitionBy("_cut").orderBy("first_at", value))
+    return cut_rows.join(F.broadcast(before), "_cut").select(value, "first_at", (inside + F.col("_before")).cast("int").alias("number"))
 
 
 def contiguous(rows: DataFrame, group: str, index: str) -> DataFrame:
@@ -139,6 +157,20 @@ def contiguous(rows: DataFrame, group: str, index: str) -> DataFrame:
     return agg.select(group, "members", ((F.col("_span") == F.col("members")) & (F.col("_d") == F.col("members"))).alias("is_contiguous"))
 
 
+def member_order(rows: DataFrame, group: str, listed: str, index: str) -> DataFrame:
+    """group, members, order: how the indices run in the order in which members are listed.
+
+    in_order: each is one more than the one before. rotated: in order but for one place, where the last
+    index is followed by the first (an anchor listed behind its members). Anything else is broken.
+    """
+    w = Window.partitionBy(group).orderBy(listed)
+    step = rows.withColumn("_step", F.col(index) - F.lag(index).over(w))
+    agg = step.groupBy(group).agg(F.count(index).alias("members"), F.count_if(F.col("_step") != 1).alias("_off"), (F.max(index) - F.min(index) + 1).alias("_span"), F.min_by(index, listed).alias("_first"), F.max_by(index, listed).alias("_last"), F.countDistinct(index).alias("_d"))
+    whole = (F.col("_span") == F.col("members")) & (F.col("_d") == F.col("members"))
+    order = F.when(whole & (F.col("_off") == 0), "in_order").when(whole & (F.col("_off") == 1) & (F.col("_first") == F.col("_last") + 1), "rotated").otherwise("broken")
+    return agg.select(group, "members", order.alias("order"))
+
+
 def segments(rows: DataFrame, by: list[str], ord_col: str, marker: Column) -> DataFrame:
     """rows with segment: 0 before the first marker, then one more at each."""
     w = Window.partitionBy(*by).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, 0)

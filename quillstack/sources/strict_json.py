@@ -35,9 +35,18 @@ def strict_load(data: bytes):
         raise ValueError(f"not finite: {name}")
 
     try:
-        return json.loads(data.decode("utf-8"), object_pairs_hook=unique, parse_constant=constant)
+        value = json.loads(data.decode("utf-8"), object_pairs_hook=unique, parse_constant=constant)
     except RecursionError as e:
         raise ValueError("too deep") from e
+    seen, level = 0, [value]
+    for _ in range(MAX_DEPTH + 1):
+        seen += len(level)
+        if seen > MAX_VALUES:
+            raise ValueError("too many values")
+        level = [child for v in level if isinstance(v, (dict, list)) for child in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    raise ValueError("too deep")
 
 
 def canonical(value) -> str:

@@ -18,8 +18,10 @@ def test_captions_and_drawings(spark):
     assert [tuple(r) for r in layout.continuations(placed, blocks, "page").collect()] == [("c1", "b1")]
     drawings = spark.createDataFrame([(1, *b) for b in ((60.0, 300.0, 100.0, 390.0), (105.0, 300.0, 200.0, 380.0), (60.0, 100.0, 90.0, 120.0), (400.0, 395.0, 402.0, 399.0), (60.0, 10.0, 61.0, 11.0))], "page int, x0 double, y0 double, x1 double, y1 double")
     near = layout.drawings_above(placed, drawings, "page")
-    found = {r.caption: (r.x0, r.y0, r.x1, r.y1, r.resolved) for r in layout.visuals(near).collect()}
+    found = {r.caption: (r.x0, r.y0, r.x1, r.y1, r.resolved) for r in layout.visuals(placed, near).collect()}
     assert found["c1"] == (56.0, 296.0, 204.0, 394.0, True)
+    assert found["c2"] == (None, None, None, None, False) and set(found) == {"c1", "c2", "c3"}
+    assert near.columns == ["caption", "_top", "column_left", "column_right", "x0", "y0", "x1", "y1"]
 
 
 def test_rows_and_lists(spark):

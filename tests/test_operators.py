@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,13 +111,84 @@ def test_selectors(spark):
 
 def test_protection(spark):
     text = "Mail a.b@c.org about v 1.2.3, Problem (x_1), see https://h.i/j/\nk [3, 4] and 5 GB at /usr/lib --flag foo.py float32."
-    shown, spans = protect.with_placeholders(text)
+    row = spark.createDataFrame([(text,)], "s string").select("s", protect.protect(F.col("s")).alias("p")).select("s", "p.*").cache()
+    spans = row.first().spans
     assert [s["role"] for s in spans] == ["email", "version", "problem_id", "url", "citation", "number", "path", "cli_flag", "dotted_identifier", "dtype"]
     assert spans[3]["value"] == "https://h.i/j/k"
-    row = spark.createDataFrame([(shown, [(s["placeholder"], s["value"]) for s in spans])], "t string, spans array<struct<placeholder:string,value:string>>")
-    assert row.select(protect.restore(F.col("t"), F.col("spans"))).first()[0] == text.replace("j/\nk", "j/k")
-    assert row.select(protect.placeholders_match(F.col("t"), F.col("spans"))).first()[0]
-    assert not row.select(protect.placeholders_match(F.concat("t", F.lit("⟦K001⟧")), F.col("spans"))).first()[0]
+    assert row.select(protect.restore(F.col("protected"), F.col("spans"))).first()[0] == text.replace("j/\nk", "j/k")
+    assert row.select(protect.placeholders_match(F.col("protected"), F.col("spans"))).first()[0]
+    assert not row.select(protect.placeholders_match(F.concat("protected", F.lit("⟦K001⟧")), F.col("spans"))).first()[0]
+
+
+def test_protection_of_many_and_of_markers(spark):
+    """More than 999 spans, texts that hold markers, none at all, null, and letters outside the basic plane."""
+    texts = ["x 1 " * 1200, "⟦K002⟧ and 5 ⟦K001⟧ 6", "", "no literals", None, "𝛼𝛽 7 é 8.1.2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", protect.protect(F.col("t")).alias("p")).select("i", "t", "p.*")
+    out = rows.select("i", "t", "protected", "spans", protect.restore(F.col("protected"), F.col("spans")).alias("back"), protect.placeholders_match(F.col("protected"), F.col("spans")).alias("whole")).orderBy("i").collect()
+    assert [r.back for r in out] == texts
+    assert [len(r.spans) for r in out] == [1200, 4, 0, 0, 0, 2] and [r.whole for r in out if r.t is not None] == [True] * 5
+    assert out[0].protected.endswith("x ⟦K1200⟧ ") and out[1].protected == "⟦K001⟧ and ⟦K002⟧ ⟦K003⟧ ⟦K004⟧"
+
+
+def test_spans_are_brute_force(spark):
+    """The bitmap against a comparison of every candidate with every span taken."""
+    rng = random.Random(3)
+    pool = ["a_b", "x.py", "1.2.3", "--f", "https://a.b/c", "[1, 2]", " ", "Problem (q)", "float32", "/u/v", "m@n.org", "12 GB", "\n", "word", "a.b.c"]
+    for _ in range(300):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
+        fonts = [(k, k + rng.randint(0, 6), "code") for k in range(0, len(text), 11)]
+        found = [(rank, *m.span(re.compile(p).groups), role) for role, p, rank in [*protect.LITERALS, protect.OWN] for m in re.finditer(p, text)]
+        found += [(100, a, b, f"font_{r}") for a, b, r in fonts if b <= len(text) and text[a:b].strip()]
+        want: list = []
+        for _, a, b, role in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+            if a < b and not any(a < e and s < b for s, e, _ in want):
+                want.append((a, b, role))
+        assert [x[:2] for x in protect.find_spans(text, fonts)] == [x[:2] for x in sorted(want)]
+
+
+def test_span_faults(spark):
+    rows = [(1, "abc def", [(0, 3, "code", "abc")]), (2, "abc", [(0, 9, "code", "abc")]), (3, "abc def", [(4, 7, "math", "def"), (0, 3, "code", "abc")]), (4, "abc", [(0, 2, "bold", "zz")]), (5, "abc", [])]
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,end:int,role:string,text:string>>")
+    assert sorted(map(tuple, protect.span_faults(df, "i", "t", "s").collect())) == [(2, "bounds"), (3, "order"), (4, "role"), (4, "text")]
+
+
+def test_strict_json_limits():
+    deep = lambda n: b"[" * n + b"]" * n
+    assert sj.strict_load(deep(128)) and sj.strict_load(b"[1" + b",1" * 999_990 + b"]")
+    for data in (deep(130), b"[1" + b",1" * 1_000_000 + b"]", b'{"a":1,"a":2}', b"NaN", b"\xef\xbb\xbf1"):
+        with pytest.raises(ValueError):
+            sj.strict_load(data)
+
+
+def test_table_limits():
+    cell = "<table><tr><td{}>x</td></tr></table>".format
+    assert tx.canonical_table(cell(' colspan="2"')) and tx.canonical_table('<table><tr><th scope="row">x</th></tr></table>')
+    for bad in (cell(' colspan="0"'), cell(' colspan="10001"'), cell(' colspan="٣"'), '<table><tr><th scope="zz">x</th></tr></table>', "<table></table>", "<table><tr></tr></table>", "<!-- c -->" + cell(""), cell("").replace("x", "<!-- c -->")):
+        assert tx.canonical_table(bad) is None
+
+
+def test_folds_leave_the_input_alone(spark):
+    rows = spark.createDataFrame([(1, 0, 5)], "g int, o int, n int")
+    sequences.greedy_chunks(rows, ["g"], "o", "n", 10)
+    sequences.anchored_clusters(rows, ["g"], "o", "n", 1.0)
+    assert rows.columns == ["g", "o", "n"]
+
+
+def test_paragraphs_by_role_and_member_order(spark):
+    rows = spark.createDataFrame([(1, 0, "and", "a", "b", [], []), (1, 1, "and", "a", "b", [], []), (1, 2, "and", "c", "b", [], []), (1, 3, "x", "c", "b", ["r"], []), (1, 4, "x", "c", "b", [], ["g"])], "g int, o int, t string, role string, output string, relations array<string>, groups array<string>")
+    assert [r.island for r in sequences.paragraph_islands(rows, ["g"], "o", "t", roles=True).orderBy("o").collect()] == [1, 1, 2, 3, 4]
+    members = spark.createDataFrame([(g, k, i) for g, run in enumerate([[3, 4, 5], [5, 3, 4], [4, 3, 5], [3, 3]]) for k, i in enumerate(run)], "g int, k int, i int")
+    assert [r.order for r in sequences.member_order(members, "g", "k", "i").orderBy("g").collect()] == ["in_order", "rotated", "broken", "broken"]
+
+
+def test_uris_and_groups_on_pages(spark):
+    text = spark.createDataFrame([("see <https://a.b/c?x=1> and (https://d.e/f).",)], "md string")
+    uris = spark.createDataFrame([("https://a.b/c",), ("https://a.b/c?x=1",), ("https://d.e/f",), ("https://g.h",)], "uri string")
+    assert [r.uri for r in gates.missing_uris(uris, text).collect()] == ["https://g.h"]
+    pages = spark.createDataFrame([(1, "A longer text on a page of its own", 0.5, 595.28, 841.89), (2, "x", 0.0, 595.28, 800.0)], "page int, text string, ink double, width double, height double")
+    groups = spark.createDataFrame([("a", "text on a page"), ("b", "x"), ("c", "text on no page"), ("d", "zz")], "group_id string, text string")
+    found = {(r.check, r.subject) for r in gates.render_gate(pages, groups).collect()}
+    assert found == {("blank_page", "2"), ("page_size", "2"), ("group_present", "c"), ("group_present", "d")}
 
 
 def test_islands_and_folds(spark):
