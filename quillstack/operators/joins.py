@@ -95,3 +95,11 @@ def range_cover(ranges: DataFrame, pages: DataFrame, first: str, last: str, page
     spread = ranges.select(F.explode(F.sequence(first, last)).alias(page)).groupBy(page).agg(F.count(F.lit(1)).alias("covers"))
     both = pages.select(page).distinct().withColumn("_there", F.lit(True)).join(spread, page, "full_outer")
     return both.select(page, F.coalesce("covers", F.lit(0)).alias("covers"), F.coalesce("_there", F.lit(False)).alias("exists")).where("covers <> 1 or not exists")
+
+
+def members(edges: DataFrame, nodes: DataFrame, group: str, id_col: str) -> DataFrame:
+    """group, members, unknown, repeated: distinct members of each group, those that are no node, and those
+    listed more than once."""
+    listed = edges.groupBy(group, id_col).agg(F.count(F.lit(1)).alias("_n"))
+    named = listed.join(nodes.select(id_col).distinct().withColumn("_there", F.lit(True)), id_col, "left")
+    return named.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("_there").isNull()).alias("unknown"), F.count_if(F.col("_n") > 1).alias("repeated"))

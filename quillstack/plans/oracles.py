@@ -38,9 +38,12 @@ _URLS = "list_sort(list_distinct(list_transform(regexp_extract_all(url, 'https?:
 _VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\\b.*?</script|style\\b.*?</style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 _RECT = "select label, vec_id as id, least(v0, v1) as x0, least(v2, v3) as y0, greatest(v0, v1) as x1, greatest(v2, v3) as y1 from (select label, vec_id, embedding[1]::double as v0, embedding[2]::double as v1, embedding[3]::double as v2, embedding[4]::double as v3 from embeddings)"
 _T = "t as (select *, conv_id || '-' || turn as id from conversations)"
-_GATES = "g(work, gate, status) as (values (1,'source_audit','passed'),(1,'translation_plan','passed'),(1,'translation_audit','failed'),(2,'source_audit','manual_review_required'),(3,'source_audit','passed'),(3,'translation_plan','passed'),(3,'translation_audit','passed'),(3,'output_audit','passed'),(3,'docx_audit','passed'),(3,'compile_audit','passed'),(3,'visual_review','passed'),(3,'qa_report','passed'),(4,'source_audit','passed'),(4,'translation_plan','passed'))"
+_STAGES = ["source_audit", "translation_plan", "translation_audit", "output_audit", "docx_audit", "compile_audit", "visual_review", "qa_report"]
+_GATES = f"""s as (select unnest({_STAGES}) as gate, generate_subscripts({_STAGES}, 1) - 1 as k),
+    g as (select c_custkey as work, gate, k, case when (c_custkey * 7 + k) % 29 = 5 then 'failed' when (c_custkey * 7 + k) % 31 = 6 then 'manual_review_required' else 'passed' end as status from customer, s where k <= c_custkey % 11)"""
+_RUN_NAMES = ["title", "author-affiliation", "abstract", "section", "theorem", "proof", "subsection", "references"]
 _ROLES = "r(doc, ord, role) as (values " + ",".join(
-    f"({d},{i},'{x}')"
+    f"({-d}::bigint,{i}::bigint,'{x}')"
     for d, run in (
         (1, "title author-affiliation abstract section theorem proof subsection references"),
         (2, "title subsection section proof theorem abstract"),
@@ -48,7 +51,7 @@ _ROLES = "r(doc, ord, role) as (values " + ",".join(
         (4, "paragraph paragraph"),
     )
     for i, x in enumerate(run.split())
-) + ")"
+) + f" union all select conv_id, turn, {_RUN_NAMES}[(conv_id + turn + length(text)) % 8 + 1] from conversations)"
 
 ORACLES: dict[str, str] = {
     "coverage_by_item": f"with {_COVERAGE} select * from c",
@@ -143,7 +146,8 @@ ORACLES: dict[str, str] = {
                      min(ord) filter (role = 'author-affiliation') as e, max(ord) filter (role = 'author-affiliation') as g from m group by doc)
         select doc, heading_hierarchy, proof_order, coalesce(a < b and b < c and c < d and (e is null or (a < e and g < b)), false) as academic_order from f""",
     "marker_ranges": """
-        with m(doc, ord, kind) as (values (1,0,'begin'),(1,1,'text'),(1,2,'end'),(1,3,'end'),(2,0,'begin'),(2,1,'begin'),(2,2,'end'),(2,3,'text')),
+        with m(doc, ord, kind) as (values (-1::bigint,0::bigint,'begin'),(-1,1,'text'),(-1,2,'end'),(-1,3,'end'),(-2,0,'begin'),(-2,1,'begin'),(-2,2,'end'),(-2,3,'text')
+            union all select conv_id, turn, case when role = 'user' then 'begin' when length(text) % 3 = 0 then 'text' else 'end' end from conversations),
         d as (select *, (sum(case kind when 'begin' then 1 when 'end' then -1 else 0 end) over w)::bigint as depth, (sum(case when kind = 'begin' then 1 else 0 end) over w)::bigint as segment from m window w as (partition by doc order by ord))
         select doc, ord, kind, depth, case when depth < 0 then 'end without begin' when depth > 1 and kind = 'begin' then 'begin inside' end as fault, segment from d""",
     "border_ranges": """
@@ -187,7 +191,9 @@ ORACLES: dict[str, str] = {
     "exact_matches": """
         with m as (select c_custkey, count(s_suppkey) as matches, min(s_suppkey) as target from customer left join supplier on s_nationkey = c_nationkey and floor(s_acctbal / 1000) = floor(c_acctbal / 1000) group by c_custkey)
         select c_custkey, matches, case when matches = 1 then 'exact' when matches > 1 then 'ambiguous' else 'unmatched' end as status, case when matches = 1 then target end as target from m""",
-    "group_members": "select conv_id, count(distinct turn) + 1 as members, 1::bigint as unknown from conversations group by conv_id",
+    "group_members": """
+        with e as (select o_custkey as g, case when o_orderkey % 13 = 4 then -o_orderkey else o_orderkey end as id from orders), l as (select g, id, count(*) as n from e group by all)
+        select g as "group", count(*) as members, count(*) filter (id not in (select o_orderkey from orders)) as unknown, count(*) filter (n > 1) as repeated from l group by g""",
     "uri_inventory": f"select uri, count(*) as n from (select unnest({_URLS}) as uri from pages) group by uri",
     "link_extract": """
         with h as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages)
@@ -200,7 +206,9 @@ ORACLES: dict[str, str] = {
         n as (select regexp_extract(title, '^(\\d+(?:\\.\\d+)*)\\s+', 1) as n from t)
         select (case when n = '' then 2 else least(4, len(string_split(n, '.')) + 1) end)::int as level, count(*) as n from n group by 1""",
     "json_pointer": "with k as (select unnest(json_keys(props)) as key from events) select '/props/' || replace(replace(key, '~', '~0'), '/', '~1') as pointer, count(*) as n from k group by 1",
-    "problem_ids": "select * from (values (0::bigint, 'a1,b_2'), (1, 'c3'), (2, ''), (3, ''), (4, 'd,a1')) v(id, ids)",
+    "problem_ids": """
+        select * from (values (-1::bigint, 'a1,b_2'), (-2, 'c3'), (-3, ''), (-4, ''), (-5, 'd,a1')) v(id, ids)
+        union all select doc_id, concat_ws(',', nullif(array_to_string(regexp_extract_all(text, '(?i)(?:problem|问题)\\s*[（(]([a-z0-9_]+)', 1), ','), ''), case when doc_id % 3 < 2 then doc_id::varchar end) from documents""",
     "page_split": """
         with p as (select doc_id, string_split(text, chr(10)) as p from documents), k as (select doc_id, case when regexp_matches(p[-1], '^\\s*$') then p[:-2] else p end as p from p)
         select doc_id, len(p)::bigint as pages, list_sum(list_transform(p, lambda x: length(x)))::bigint as chars from k where len(p) > 0""",
@@ -212,7 +220,7 @@ ORACLES: dict[str, str] = {
                                else s || chr(10) || chr(10) || '> done.' end as md from t),
         d as (select conv_id, string_agg(md, chr(10) || chr(10) order by turn) as md from m group by conv_id)
         select conv_id, md5(md) as digest, length(md)::bigint as chars from d""",
-    "placeholder_roundtrip": "select doc_id, true as restored, true as complete from documents",
+    "placeholder_roundtrip": "select doc_id, md5(text) as digest, length(text)::bigint as chars, doc_id % 10 <> 3 as complete from documents",
     "rect_join": f"""
         with r as ({_RECT}), p as (select a.label, a.id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as shared, (b.x1 - b.x0) * (b.y1 - b.y0) as area
              from r a join r b on a.label = b.label and a.id <> b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1)
@@ -223,8 +231,11 @@ ORACLES: dict[str, str] = {
         a as (select label, sum((h - l) * greatest(y1 - greatest(y0, coalesce(reach, y0)), 0)) as area from i group by label),
         b as (select label, (max(x1) - min(x0)) * (max(y1) - min(y0)) as box from r group by label)
         select a.label, round(area, 6) as area, round(box, 6) as box_area from a join b on b.label = a.label""",
-    "gate_rollup": f"with {_GATES} select count(*) as gates, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'manual_review_required') as manual, case when count(*) filter (status = 'failed') > 0 then 'failed' when count(*) filter (status = 'manual_review_required') > 0 then 'manual_review_required' else 'passed' end as status from g",
-    "next_actions": "select * from (values (1, 'translation_audit', 'run translation_audit'), (2, 'source_audit', 'review source_audit'), (3, null, 'complete'), (4, 'translation_audit', 'run translation_audit')) v(work, stage, action)",
+    "gate_rollup": f"""with {_GATES}, p as (select unnest([0, 1, 2, 3, 4]) as part), x as (select p.part, g.status from p left join g on (p.part < 3 and work % 4 = p.part) or (p.part = 3 and status = 'passed'))
+        select part, count(status) as gates, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'manual_review_required') as manual,
+               case when count(status) = 0 then 'pending' when count(*) filter (status = 'failed') > 0 then 'failed' when count(*) filter (status = 'manual_review_required') > 0 then 'manual_review_required' else 'passed' end as status from x group by part""",
+    "next_actions": f"""with {_GATES}, w as (select c_custkey as work, min(s.k) filter (status is distinct from 'passed') as k from customer cross join s left join g on g.work = c_custkey and g.gate = s.gate group by 1)
+        select w.work, s.gate as stage, case when s.gate is null then 'complete' when g.status = 'manual_review_required' then 'review ' || s.gate else 'run ' || s.gate end as action from w left join s on s.k = w.k left join g on g.work = w.work and g.gate = s.gate""",
     "source_gate": """
         with c as (select 'block_hash' as "check", count(*) as n from documents where doc_id % 100 = 3 union all select 'link_known', count(*) from documents where doc_id % 50 = 49
             union all select 'visual_anchor', count(*) from labels where case when doc_id % 40 = 1 then -doc_id else doc_id end not in (select doc_id from documents)
@@ -232,12 +243,13 @@ ORACLES: dict[str, str] = {
         select 'source' as gate, "check", n from c where n > 0""",
     "translation_gate": f"""
         with t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as answer from conversations),
-        a as (select *, case when conv_id % 4 = 0 then text else answer end as tr from t where role = 'user'),
+        a as (select *, case when conv_id % 4 = 0 then text when conv_id % 10 = 5 then answer || ' ⟦K001⟧' else answer end as tr0, case when conv_id % 5 = 0 then replace(tr0, '⟦K001⟧', 'of') else tr0 end as tr from t where role = 'user'),
         g as (select *, {grams("tk")} as s, {grams("tt")} as x from (select *, {tokens('text')} as tk, {tokens('tr')} as tt from a where answer is not null)),
         w as (select *, len(regexp_extract_all(regexp_replace(text, '[\\pL\\pN_]*[^\\x00-\\x7F][\\pL\\pN_]*', '1', 'g'), '\\b[A-Za-z]{{2,}}\\b')) as words from a where answer is not null),
         c as (select 'response' as "check", count(*) as n from a where answer is null or conv_id % 9 = 0
             union all select 'untranslated', count(*) from w where words >= 4 and not regexp_matches(tr, '[㐀-䶿一-鿿豈-﫿]')
             union all select 'copied', count(*) from g where len(s) >= 8 and len(list_filter(s, lambda q: list_contains(x, q))) / len(s) >= 0.8
+            union all select 'placeholders', count(*) from a where answer is not null and conv_id % 5 = 0 and not (conv_id % 10 = 5 and conv_id % 4 <> 0)
             union all select 'glossary', count(*) from a where answer is not null and not contains(tr, 'der') and not contains(tr, 'of'))
         select 'translation' as gate, "check", n from c where n > 0""",
 }

@@ -161,18 +161,25 @@ ROLE_RUNS = [
     *[(4, i, r) for i, r in enumerate("paragraph paragraph".split())],
 ]
 
+RUN_NAMES = ["title", "author-affiliation", "abstract", "section", "theorem", "proof", "subsection", "references"]
+
 
 def constraint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(ROLE_RUNS, "doc int, ord int, role string")
-    return sequences.constraint_failures(rows, ["doc"], "ord", "role")
+    inline = spark.createDataFrame([(-d, i, r) for d, i, r in ROLE_RUNS], "doc bigint, ord bigint, role string")
+    names = F.array(*map(F.lit, RUN_NAMES))
+    t = read(spark, sf_dir, "conversations")
+    rows = t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), F.get(names, ((F.col("conv_id") + F.col("turn") + F.length("text")) % len(RUN_NAMES)).cast("int")).alias("role"))
+    return sequences.constraint_failures(inline.unionByName(rows), ["doc"], "ord", "role")
 
 
 MARKERS = [(1, 0, "begin"), (1, 1, "text"), (1, 2, "end"), (1, 3, "end"), (2, 0, "begin"), (2, 1, "begin"), (2, 2, "end"), (2, 3, "text")]
 
 
 def marker_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(MARKERS, "doc int, ord int, kind string")
-    out = sequences.marker_ranges(rows, ["doc"], "ord", "kind")
+    inline = spark.createDataFrame([(-d, i, k) for d, i, k in MARKERS], "doc bigint, ord bigint, kind string")
+    kind = F.when(F.col("role") == "user", "begin").when(F.length("text") % 3 == 0, "text").otherwise("end")
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), kind.alias("kind"))
+    out = sequences.marker_ranges(inline.unionByName(rows), ["doc"], "ord", "kind")
     return sequences.segments(out, ["doc"], "ord", F.col("kind") == "begin")
 
 
@@ -252,13 +259,10 @@ def exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as groups of member ids: members that are no node, and how many groups each has."""
-    t = turns(spark, sf_dir)
-    groups = t.groupBy("conv_id").agg(F.array_append(F.collect_set("id"), F.concat(F.col("conv_id").cast("string"), F.lit("-none"))).alias("members"))
-    edges = groups.select("conv_id", F.explode("members").alias("id"))
-    known = t.select("id", "role")
-    named = edges.join(known, "id", "left")
-    return named.groupBy("conv_id").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("role").isNull()).alias("unknown"))
+    """Customers as groups of the orders they made and, by the remainder of the key, of orders that don't exist."""
+    o = read(spark, sf_dir, "orders")
+    edges = o.select(F.col("o_custkey").alias("group"), F.when(F.col("o_orderkey") % 13 == 4, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("id"))
+    return joins.members(edges, o.select(F.col("o_orderkey").alias("id")), "group", "id")
 
 
 # -- text functions --------------------------------------------------------------------------------
@@ -303,8 +307,11 @@ PROBLEMS = ["Problem (a1) and problem（b_2）", "问题 (c3)", "Problem 7", "no
 
 
 def problem_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(PROBLEMS)), "id bigint, text string")
-    return rows.select("id", F.array_join(tx.problem_ids(F.col("text")), ",").alias("ids"))
+    inline = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(PROBLEMS)], "id bigint, text string")
+    k = F.col("doc_id")
+    label = F.concat(F.when(k % 3 == 0, " problem (").when(k % 3 == 1, " 问题（").otherwise(" Problem "), k.cast("string"), F.lit(")"))
+    docs = read(spark, sf_dir, "documents").select(k.alias("id"), F.concat("text", label).alias("text"))
+    return inline.unionByName(docs).select("id", F.array_join(tx.problem_ids(F.col("text")), ",").alias("ids"))
 
 
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,8 +334,9 @@ def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placeholder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", "text", protect.protect(F.col("text")).alias("p"))
-    same = protect.restore(F.col("p.protected"), F.col("p.spans")) == F.col("text")
-    return rows.select("doc_id", same.alias("restored"), protect.placeholders_match(F.col("p.protected"), F.col("p.spans")).alias("complete"))
+    back = protect.restore(F.col("p.protected"), F.col("p.spans"))
+    marked = protect.placeholders_match(F.concat("p.protected", F.when(F.col("doc_id") % 10 == 3, "⟦K001⟧").otherwise("")), F.col("p.spans"))
+    return rows.select("doc_id", F.md5(back.cast("binary")).alias("digest"), F.length(back).cast("long").alias("chars"), marked.alias("complete"))
 
 
 # -- geometry --------------------------------------------------------------------------------------
@@ -354,16 +362,23 @@ def rect_union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- gates -----------------------------------------------------------------------------------------
 
-GATES = [(1, "source_audit", "passed"), (1, "translation_plan", "passed"), (1, "translation_audit", "failed"), (2, "source_audit", "manual_review_required"), *[(3, s, "passed") for s in gates.STAGES], (4, "source_audit", "passed"), (4, "translation_plan", "passed")]
+def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as works: a stage has passed, failed or waits for review by the remainder of the key."""
+    stages = F.array(*map(F.lit, gates.STAGES))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("work"), F.posexplode(stages).alias("k", "gate"))
+    k = F.col("work") * 7 + F.col("k")
+    status = F.when(k % 29 == 5, "failed").when(k % 31 == 6, "manual_review_required").otherwise("passed")
+    return rows.where(F.col("k") <= F.col("work") % 11).select("work", "gate", status.alias("status"))
 
 
 def gate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(GATES, "work int, gate string, status string")
-    return inventory.status_of(rows)
+    rows = gate_rows(spark, sf_dir)
+    parts = [inventory.status_of(rows.where(f"work % 4 = {i}")).withColumn("part", F.lit(i)) for i in range(3)]
+    return gates.together([*parts, inventory.status_of(rows.where("status = 'passed'")).withColumn("part", F.lit(3)), inventory.status_of(rows.where("false")).withColumn("part", F.lit(4))])
 
 
 def next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.next_action(spark.createDataFrame(GATES, "work int, gate string, status string"), "work")
+    return gates.next_action(gate_rows(spark, sf_dir), "work")
 
 
 def source_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +401,8 @@ def translation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = t.withColumn("answer", F.lead("text").over(w)).where("role = 'user'").withColumn("sha", tx.sha256_text(F.col("text")))
     term = F.struct(F.lit("the").alias("term"), F.lit(True).alias("enforce"), F.array(F.lit("der"), F.lit("of")).alias("targets"))
     terms = F.array(term)
-    spans = F.array().cast("array<struct<placeholder:string,value:string>>")
+    span = F.struct(F.lit("⟦K001⟧").alias("placeholder"), F.lit("of").alias("value"))
+    spans = F.when(F.col("conv_id") % 5 == 0, F.array(span)).otherwise(F.array().cast("array<struct<placeholder:string,value:string>>"))
     requests = asked.select("id", F.col("sha").alias("source_sha256"), F.col("text").alias("source"), spans.alias("spans"), terms.alias("terms"))
-    answers = asked.where("answer is not null").select("id", F.when(F.col("conv_id") % 9 == 0, F.lit("old")).otherwise(F.col("sha")).alias("source_sha256"), F.when(F.col("conv_id") % 4 == 0, F.col("text")).otherwise(F.col("answer")).alias("translation"))
+    answers = asked.where("answer is not null").select("id", F.when(F.col("conv_id") % 9 == 0, F.lit("old")).otherwise(F.col("sha")).alias("source_sha256"), F.when(F.col("conv_id") % 4 == 0, F.col("text")).when(F.col("conv_id") % 10 == 5, F.concat("answer", F.lit(" ⟦K001⟧"))).otherwise(F.col("answer")).alias("translation"))
     return inventory.counts(gates.translation_gate(requests, answers, compatible=True), "gate", "check")
