@@ -42,11 +42,20 @@ def ascii_tokens(text: Column, compatible: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(normalize_text(text, compatible)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once: the planner can't copy it into a lambda or a filter."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(items: Column, size: int = 5) -> Column:
     """Sliding windows joined by blanks; none if there are too few items."""
-    last = F.size(items) - size
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(items, i + 1, size), " "))
-    return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+    def windows(held: Column) -> Column:
+        last = F.size(held) - size
+        grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(held, i + 1, size), " "))
+        return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(items, windows)
 
 
 def contains_cjk(text: Column) -> Column:

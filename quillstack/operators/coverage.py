@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_tokens, ngrams, nfkc
+from ..functions.text import ascii_tokens, let, ngrams, nfkc
 
 
 def grams_of(rows: DataFrame, key: str, text: str, size: int = 5, compatible: bool = False) -> DataFrame:
@@ -27,9 +27,7 @@ def coverage(oracle: DataFrame, extracted: DataFrame, key: str, text: str, extra
     """
     wanted = grams_of(oracle, key, text, size, compatible).withColumn("_h", F.xxhash64("gram"))
     hashes = wanted.where("gram is not null").select("_h").distinct()
-    tokens = extracted.select(ascii_tokens(F.col(extracted_text), compatible).alias("tokens"))
-    tokens = tokens.select(F.array_distinct(ngrams(F.col("tokens"), size)).alias("grams"))
-    there = tokens.select(F.explode("grams").alias("gram")).withColumn("_h", F.xxhash64("gram"))
+    there = grams_of(extracted.withColumn("_one", F.lit(1)), "_one", extracted_text, size, compatible).select("gram", F.xxhash64("gram").alias("_h"))
     found = there.join(hashes, "_h", "left_semi").select("gram").distinct().withColumn("_hit", F.lit(1))
     scored = wanted.drop("_h").join(found, "gram", "left").groupBy(key).agg(F.count("_hit").alias("hits"), F.count("gram").alias("total"))
     return scored.withColumn("score", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(1.0))
@@ -51,13 +49,21 @@ def copy_ratio(pairs: DataFrame, source: str, target: str, least_grams: int = 8,
     if not compatible:  # a Python function can't stand inside the n-gram lambda
         pairs = pairs.withColumn("_a", nfkc(F.col(source))).withColumn("_b", nfkc(F.col(target)))
     a, b = (F.col(source), F.col(target)) if compatible else (F.col("_a"), F.col("_b"))
-    rows = pairs.withColumn("_s", ngrams(ascii_tokens(a, True))).withColumn("_t", ngrams(ascii_tokens(b, True))).drop("_a", "_b")
-    # distinct source grams that the target lacks; their repeats are the rest of what isn't copied
-    rows = rows.withColumn("grams", F.size("_s")).withColumn("_lacking", F.array_except("_s", "_t"))
-    marked = F.concat(F.transform("_lacking", lambda g: F.struct(g.alias("g"), F.lit(0).alias("k"))), F.transform("_s", lambda g: F.struct(g.alias("g"), F.lit(1).alias("k"))))
-    state = F.struct(F.lit("").alias("g"), F.lit(0).alias("n"))
-    step = lambda a, x: F.when(x["k"] == 0, F.struct(x["g"].alias("g"), a["n"].alias("n"))).otherwise(F.struct(a["g"].alias("g"), (a["n"] + (a["g"] == x["g"]).cast("int")).alias("n")))
-    absent = F.aggregate(F.array_sort(marked), state, step)["n"]
-    rows = rows.withColumn("copied", F.when(F.size("_lacking") == 0, F.col("grams")).when(F.size("_lacking") == F.size(F.array_distinct("_s")), 0).otherwise(F.col("grams") - absent)).drop("_lacking")
+
+    def counted(own: Column, other: Column) -> Column:
+        """grams and copied: what the other text lacks is found as a set; only a mixed text is sorted."""
+
+        def of(lacking: Column) -> Column:
+            marked = F.concat(F.transform(lacking, lambda g: F.struct(g.alias("g"), F.lit(0).alias("k"))), F.transform(own, lambda g: F.struct(g.alias("g"), F.lit(1).alias("k"))))
+            start = F.struct(F.lit("").alias("g"), F.lit(0).alias("n"))
+            step = lambda acc, x: F.struct(F.when(x["k"] == 0, x["g"]).otherwise(acc["g"]).alias("g"), (acc["n"] + ((x["k"] == 1) & (acc["g"] == x["g"])).cast("int")).alias("n"))
+            absent = F.aggregate(F.array_sort(marked), start, step)["n"]
+            copied = F.when(F.size(lacking) == 0, F.size(own)).when(F.size(lacking) == F.size(own), 0).otherwise(F.size(own) - absent)
+            return F.struct(F.size(own).alias("grams"), copied.alias("copied"))
+
+        return let(F.array_except(own, other), of)
+
+    rows = pairs.withColumn("_c", let(ngrams(ascii_tokens(a, True)), lambda own: let(ngrams(ascii_tokens(b, True)), lambda other: counted(own, other)))).drop("_a", "_b")
+    rows = rows.withColumn("grams", F.col("_c.grams")).withColumn("copied", F.col("_c.copied"))
     rows = rows.withColumn("ratio", F.when(F.col("grams") > 0, F.col("copied") / F.col("grams")).otherwise(0.0))
-    return rows.withColumn("is_copy", (F.col("grams") >= least_grams) & (F.col("ratio") >= most)).drop("_s", "_t")
+    return rows.withColumn("is_copy", (F.col("grams") >= least_grams) & (F.col("ratio") >= most)).drop("_c")
