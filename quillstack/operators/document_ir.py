@@ -5,13 +5,14 @@ Everything is keyed by (document, id), so one plan builds the models of any numb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .classify import auxiliary_role, classify
 
 #: Levels of group membership.
 MEMBERSHIP = ["none", "anchor-only", "complete"]
+OUTPUT_COLUMNS = {"bilingual": "bilingual", "source-only": "source_only", "visual-once": "visual_once", "artifact-omitted": "artifact_omitted"}
 
 
 def _by_role(role: Column, roles: list[dict], field: str) -> Column:
@@ -87,12 +88,18 @@ def group_faults(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     or of another role."""
     members = members_of(groups)
     unknown = members.join(nodes.select("document", "id"), ["document", "id"], "left_anti").select("document", "group_id", F.lit("unknown member").alias("fault")).distinct()
-    repeated = groups.where(F.size(F.array_distinct("members")) < F.size("members")).select("document", "group_id", F.lit("repeated member").alias("fault"))
-    twice = groups.groupBy("document", "group_id").count().where("count > 1").select("document", "group_id", F.lit("repeated group").alias("fault"))
-    outside = groups.where(~F.array_contains("members", F.col("anchor"))).select("document", "group_id", F.lit("anchor outside").alias("fault"))
     named = nodes.select("document", F.col("id").alias("anchor"), F.col("role").alias("_own"))
-    other = groups.join(named, ["document", "anchor"]).where("_own <> role").select("document", "group_id", F.lit("anchor of another role").alias("fault"))
-    return unknown.unionByName(repeated).unionByName(twice).unionByName(outside).unionByName(other)
+    twice = F.count(F.lit(1)).over(Window.partitionBy("document", "group_id"))
+    nth = F.row_number().over(Window.partitionBy("document", "group_id").orderBy("anchor"))
+    tests = {
+        "repeated member": F.size(F.array_distinct("members")) < F.size("members"),
+        "repeated group": (twice > 1) & (nth == 1),
+        "anchor outside": ~F.array_contains("members", F.col("anchor")),
+        "anchor of another role": F.col("_own") != F.col("role"),
+    }
+    own = groups.join(named, ["document", "anchor"], "left").select("document", "group_id", F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]).alias("_f"))
+    own = own.select("document", "group_id", F.explode(F.filter("_f", lambda x: x.isNotNull())).alias("fault"))
+    return unknown.unionByName(own)
 
 
 def inventory_of(groups: DataFrame, roles: DataFrame) -> DataFrame:

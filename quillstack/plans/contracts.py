@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import document_ir as ir
 from ..operators import evidence as ev
-from ..operators import inventory, profiles, protect, review, sequences
+from ..operators import inventory, layout, profiles, protect, reading, review, sequences
+from .oracles import grams, tokens
 from .queries import SELECTORS, lines, read, turns
 
 ORACLES: dict[str, str] = {}
@@ -532,3 +533,79 @@ def caption_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most common event types of each user: the rule for fonts of a block."""
     return inventory.most_common(read(spark, sf_dir, "events"), "user_id", "event_type", 3)
+
+
+# -- reading order, lines, manifests -----------------------------------------------------------------
+
+
+@checked("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents), b as (select *, line_no * 14.0::double + length(line) % 5 as y0 from l),
+    g as (select *, y0 - lag(y0 + 10) over w as gap, lag(line) over w as before from b window w as (partition by doc_id order by line_no)),
+    m as (select doc_id, gap as median from (select doc_id, gap, row_number() over (partition by doc_id order by gap) as r, count(*) over (partition by doc_id) as n from g where gap >= 0) where r = n // 2 + 1),
+    k as (select g.doc_id, line_no, coalesce(regexp_matches(rtrim(before), '[.!?。！？]["'')\\]]?$') and (gap > coalesce(median, 0) + 0.2::double or regexp_matches(ltrim(line), '^(?:Problem|Deliverable|For reference|Note)\\b')), false) as breaks from g left join m on m.doc_id = g.doc_id)
+    select doc_id, count(*) as lines, count(*) filter (breaks) + 1 as paragraphs, min(line_no) filter (breaks)::int as first_break from k group by doc_id""")
+def line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y0 = F.col("line_no") * 14.0 + F.length("line") % 5
+    rows = reading.line_breaks(lines(spark, sf_dir).withColumn("y0", y0).withColumn("y1", y0 + 10), "doc_id", "line_no", "line")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max("paragraph").alias("paragraphs"), F.min(F.when(F.col("breaks"), F.col("line_no"))).alias("first_break"))
+
+
+@checked(f"""with l as (select conv_id, turn, text, case when turn % 3 = 1 then text else substr(text, length(text) // 2 + 1) || ' ' || substr(text, 1, length(text) // 2) end as a, case when turn % 3 = 2 then text else substr(text, 1, length(text) // 3) end as b from conversations),
+    t as (select conv_id, turn, {tokens('text')} as o, {tokens('a')} as ta, {tokens('b')} as tb from l), g as (select conv_id, turn, {grams('o')} as o, {grams('ta')} as ga, {grams('tb')} as gb from t),
+    s as (select conv_id, turn, case when len(o) > 0 then len(list_filter(o, lambda x: list_contains(ga, x))) / len(o) else 1.0 end as sa, case when len(o) > 0 then len(list_filter(o, lambda x: list_contains(gb, x))) / len(o) else 1.0 end as sb from g)
+    select conv_id, turn, case when sa >= sb then 'content_stream' else 'geometric' end as strategy, greatest(sa, sb) as score from s""")
+def best_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn against two readings of it: halves swapped, or the first third alone."""
+    t, n = read(spark, sf_dir, "conversations"), F.length("text")
+    half, third = F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
+    swapped = F.when(F.col("turn") % 3 == 1, F.col("text")).otherwise(F.concat(F.substring(F.col("text"), half + 1, n), F.lit(" "), F.substring(F.col("text"), F.lit(1), half)))
+    short = F.when(F.col("turn") % 3 == 2, F.col("text")).otherwise(F.substring(F.col("text"), F.lit(1), third))
+    either = F.array(F.struct(F.lit("content_stream").alias("strategy"), F.lit(0).alias("preference"), swapped.alias("reading")), F.struct(F.lit("geometric").alias("strategy"), F.lit(1).alias("preference"), short.alias("reading")))
+    rows = t.select(F.struct("conv_id", "turn").alias("page"), F.col("text").alias("oracle"), F.explode(either).alias("c")).select("page", "oracle", "c.*")
+    return reading.best_order(rows, "page", "strategy", "preference", "oracle", "reading", compatible=True).select("page.*", "strategy", "score")
+
+
+@checked("""select l_orderkey as document, l_linenumber as page, l_partkey, 'p' || lpad(l_linenumber::varchar, 3, '0') || '-b' || lpad((row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice))::varchar, 3, '0') as place_id from lineitem""")
+def placed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("page"), "l_partkey", F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("o"))
+    return reading.placed_ids(rows, "document", "page", "o", "b").drop("o")
+
+
+@checked(f"""with {_NODES} select document, count(*) as nodes, count(*) filter (output = 'bilingual') as bilingual, count(*) filter (output = 'source-only') as source_only, count(*) filter (output = 'visual-once') as visual_once,
+    count(*) filter (output = 'artifact-omitted') as artifact_omitted, count(*) filter (output = 'bilingual' and translatable) as requests from n group by document""")
+def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.build_manifest(ir.nodes_of(blocks(spark, sf_dir), ROLES, AUXILIARY))
+
+
+@checked("""with r as (select o_custkey as document, case o_orderkey % 7 when 0 then '../x' when 1 then '/abs' when 2 then 'a//b' else 'img/' || (o_orderkey % 40) || '.png' end as path, o_orderkey from orders),
+    f as (select o_custkey as document, 'img/' || (o_orderkey % 40) || '.png' as path from orders where o_orderkey % 3 <> 0)
+    select distinct document, path, 'unsafe' as problem from r where o_orderkey % 7 < 3 union all select distinct document, path, 'missing' from r where o_orderkey % 7 >= 3 and not exists (select 1 from f where f.document = r.document and f.path = r.path)""")
+def asset_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    image = F.concat(F.lit("img/"), (k % 40).cast("string"), F.lit(".png"))
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "document")
+    named = o.select("document", F.when(k % 7 == 0, "../x").when(k % 7 == 1, "/abs").when(k % 7 == 2, "a//b").otherwise(image).alias("path"))
+    return reading.asset_references(named, o.where("o_orderkey % 3 <> 0").select("document", image.alias("path")))
+
+
+@checked("""with p as (select page_id, url, 'http://' || string_split(url, '/')[3] as host from pages), f as (select *, ['CM Math-BoldItalic.otf', 'dejavu/Sans_Mono-Regular.ttf', 'Noto Serif', 'x/y.z/Light.bold'][page_id % 4 + 1] as font from p)
+    select page_id, case when starts_with(url, host || '/') then substr(url, length(host) + 2) end as below, null::varchar as elsewhere, replace(replace(url || '{' || page_id || '}', '{', '%7B'), '}', '%7D') as latex, ['cmmath', 'sansmono', 'notoserif', ''][page_id % 4 + 1] as family from f""")
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.concat(F.lit("http://"), F.get(F.split("url", "/"), 2))
+    font = pick(F.col("page_id"), ["CM Math-BoldItalic.otf", "dejavu/Sans_Mono-Regular.ttf", "Noto Serif", "x/y.z/Light.bold"])
+    marked = F.concat("url", F.lit("{"), F.col("page_id").cast("string"), F.lit("}"))
+    return read(spark, sf_dir, "pages").select("page_id", reading.relative_to(F.col("url"), host).alias("below"), reading.relative_to(F.col("url"), F.lit("/other")).alias("elsewhere"), reading.latex_url(marked).alias("latex"), reading.font_family(font).alias("family"))
+
+
+@checked("""with recursive b as (select vec_id, label, round(embedding[1]::double * 20) as y0, round(embedding[1]::double * 20) + 10 + vec_id % 2 as y1, embedding[2]::double as x0 from embeddings),
+    o as (select *, row_number() over (partition by label order by y0, x0, vec_id) as k from b),
+    f(label, k, vec_id, r, tops, bottoms) as (select label, k, vec_id, 0, [y0], [y1] from o where k = 1
+        union all select label, k, vec_id, r, case when r < len(tops) then list_concat(list_concat(tops[1:r], [least(tops[r + 1], y0)]), tops[r + 2:]) else list_append(tops, y0) end,
+            case when r < len(bottoms) then list_concat(list_concat(bottoms[1:r], [greatest(bottoms[r + 1], y1)]), bottoms[r + 2:]) else list_append(bottoms, y1) end
+        from (select o.label, o.k, o.vec_id, o.y0, o.y1, f.tops, f.bottoms, coalesce(list_position(list_transform(range(1, len(f.tops) + 1), lambda i: abs(f.tops[i] - o.y0) <= 1.2::double and abs(f.bottoms[i] - o.y1) <= 1.2::double), true)::bigint - 1, len(f.tops)) as r from f join o on o.label = f.label and o.k = f.k + 1))
+    select vec_id, label, r::bigint as "row" from f""")
+def physical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as lines of a block for each label: lines of one row share their edges within 1.2 points."""
+    v = lambda i: F.get("embedding", i).cast("double")
+    y0 = F.rint(v(0) * 20)
+    rows = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("line"), v(1).alias("x0"), y0.alias("y0"), v(1).alias("x1"), (y0 + 10 + F.col("vec_id") % 2).alias("y1"))
+    return layout.physical_rows(rows, "label").select(F.col("line").alias("vec_id"), "label", "row")
