@@ -12,6 +12,22 @@ def marker(mode: str = "segment") -> Column:
     return F.concat(F.lit(f"<!-- bilingual:{mode} id="), F.col("id"), F.lit(" source_sha256="), F.col("source_sha256"), F.lit(" -->"))
 
 
+def visual_markdown(path: Column, alt: Column) -> Column:
+    return F.concat(F.lit("!["), markdown_escape(alt), F.lit("]("), path, F.lit(")"))
+
+
+def visual_latex(path: Column) -> Column:
+    size = "width=0.92\\linewidth,height=0.62\\textheight,keepaspectratio"
+    return F.concat(F.lit(f"\\begin{{center}}\n\\includegraphics[{size}]{{"), latex_escape(path), F.lit("}\n\\end{center}"))
+
+
+def empty_glossary(blocks: DataFrame, profile: str, language: str) -> DataFrame:
+    """One row: a glossary without terms, bound to the blocks by a digest that no order of rows changes."""
+    rows = blocks.agg(F.count(F.lit(1)).alias("source_blocks"), F.coalesce(F.bit_xor(F.xxhash64("id", "source_sha256")), F.lit(0)).alias("source_digest"))
+    terms = F.array().cast("array<struct<source:string,targets:array<string>,case_sensitive:boolean,enforce:boolean,notes:string>>")
+    return rows.select(F.lit(1).alias("schema_version"), F.lit(profile).alias("profile_id"), F.lit(language).alias("target_language"), "source_blocks", "source_digest", terms.alias("terms"))
+
+
 def bilingual_markdown(blocks: DataFrame) -> DataFrame:
     """blocks (id, kind, source, source_sha256, translation) with md: marker, source, quoted translation."""
     source, target = markdown_escape(F.col("_s")), markdown_escape(F.col("_t"))

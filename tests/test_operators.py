@@ -181,6 +181,15 @@ def test_paragraphs_by_role_and_member_order(spark):
     assert [r.order for r in sequences.member_order(members, "g", "k", "i").orderBy("g").collect()] == ["in_order", "rotated", "broken", "broken"]
 
 
+def test_visuals_and_glossary(spark):
+    row = spark.createDataFrame([("img/a_1.png", "A [new] *map*")], "path string, alt string")
+    assert row.select(rendering.visual_markdown(F.col("path"), F.col("alt"))).first()[0] == "![A \\[new\\] \\*map\\*](img/a_1.png)"
+    assert "{img/a\\_1.png}\n\\end{center}" in row.select(rendering.visual_latex(F.col("path"))).first()[0]
+    blocks = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, source_sha256 string")
+    made = [rendering.empty_glossary(df, "p", "zh").first() for df in (blocks, blocks.orderBy(F.desc("id")), blocks.where("id = 'a'"), blocks.limit(0))]
+    assert made[0] == made[1] and made[0].source_digest != made[2].source_digest and made[0].terms == [] and made[3].source_blocks == 0
+
+
 def test_uris_and_groups_on_pages(spark):
     text = spark.createDataFrame([("see <https://a.b/c?x=1> and (https://d.e/f).",)], "md string")
     uris = spark.createDataFrame([("https://a.b/c",), ("https://a.b/c?x=1",), ("https://d.e/f",), ("https://g.h",)], "uri string")
