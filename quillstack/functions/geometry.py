@@ -66,3 +66,30 @@ def union_area(rects: DataFrame, *keys: str) -> DataFrame:
     merged = inside.withColumn("reach", F.max("y1").over(before))
     new = F.greatest(F.col("y1") - F.greatest(F.col("y0"), F.coalesce("reach", "y0")), F.lit(0.0))
     return merged.groupBy(*keys).agg(F.sum((F.col("right") - F.col("left")) * new).alias("area"))
+
+
+def displayed(width: Column, height: Column, turn: Column) -> list[Column]:
+    """x0, y0, x1, y1 of an unturned box as a page of the displayed size, turned by 0, 90, 180 or 270 degrees, shows it."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    turned = {90: (width - y1, x0, width - y0, x1), 180: (width - x1, height - y1, width - x0, height - y0), 270: (y0, height - x1, y1, height - x0)}
+    return [F.coalesce(*[F.when(turn == k, v[i]) for k, v in turned.items()], c) for i, c in enumerate((x0, y0, x1, y1))]
+
+
+def raster_coverage(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """page, ratio: the share of each page (page, width, height, turn) that its images (page, x0 .. y1) cover together.
+
+    Boxes are turned and cut to the page before their union, so overlaps count once. A page without area,
+    or with a box that is no finite rectangle, has no ratio.
+    """
+    usable = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    placed = images.join(pages, "page")
+    whole = usable("x0") & usable("y0") & usable("x1") & usable("y1")
+    bad = placed.where(~whole).select("page").distinct().withColumn("_bad", F.lit(True))
+    x0, y0, x1, y1 = displayed(F.col("width"), F.col("height"), F.col("turn"))
+    zero = F.lit(0.0)
+    cut = placed.where(whole).select("page", F.greatest(x0, zero).alias("x0"), F.greatest(y0, zero).alias("y0"), F.least(x1, F.col("width")).alias("x1"), F.least(y1, F.col("height")).alias("y1"))
+    covered = union_area(cut, "page")
+    out = pages.join(covered, "page", "left").join(bad, "page", "left")
+    share = F.round(F.least(F.lit(1.0), F.coalesce("area", zero) / (F.col("width") * F.col("height"))), 6)
+    good = F.col("_bad").isNull() & usable("width") & usable("height") & (F.col("width") * F.col("height") > 0)
+    return out.select("page", F.when(good, share).alias("ratio"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
 from ..functions import text as tx
 from ..operators import document_ir as ir
 from ..operators import evidence as ev
-from ..operators import inventory, layout, profiles, protect, reading, review, sequences
+from ..operators import headings, inventory, layout, profiles, protect, reading, rendering, review, sequences
 from .oracles import grams, tokens
 from .queries import SELECTORS, lines, read, turns
 
@@ -609,3 +610,84 @@ def physical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     y0 = F.rint(v(0) * 20)
     rows = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("line"), v(1).alias("x0"), y0.alias("y0"), v(1).alias("x1"), (y0 + 10 + F.col("vec_id") % 2).alias("y1"))
     return layout.physical_rows(rows, "label").select(F.col("line").alias("vec_id"), "label", "row")
+
+
+# -- headings, renderings, tool output -------------------------------------------------------------
+
+_CJK = "regexp_matches({c}, '[\u3400-\u9fff]')"
+_NUMBER = r"regexp_extract({c}, '^\s*(\d+(?:\.\d+)*)\s+', 1)"
+_STRIPPED = "case when " + _NUMBER + " <> '' and " + _NUMBER + r" = {n} then regexp_replace({c}, '^\s*\d+(?:\.\d+)*\s+', '') else {c} end"
+_HEADS = """b as (select conv_id, turn, case when (conv_id + turn) % 5 = 4 then 'rule' when (conv_id + turn) % 11 = 3 then 'text' else 'header' end as kind, 2 + conv_id % 2 as level,
+    case turn % 4 when 0 then (conv_id % 9) || '.1 ' || role when 1 then (conv_id % 9) || '.1 标题' when 2 then (conv_id % 9) || ' ' || role || ' / ' || (conv_id % 9) || ' 标题' else (conv_id % 9) || '.1 user' end as text from conversations)"""
+
+
+@checked(f"""with {_HEADS}, h as (select *, case when kind = 'header' then regexp_extract(text, '^(\S.*?)\s+/\s+(.*\S)$', 1) else '' end as l, regexp_extract(text, '^(\S.*?)\s+/\s+(.*\S)$', 2) as r, kind = 'header' and not {_CJK.format(c='text')} as plain from b where kind <> 'rule'),
+    t as (select *, l <> '' and not {_CJK.format(c='l')} and {_CJK.format(c='r')} as two from h),
+    p as (select *, lag(plain) over w as pe, lag(level) over w as pl, lag(text) over w as pt from t window w as (partition by conv_id order by turn)),
+    s as (select *, coalesce(kind = 'header' and not two and pe and pl = level, false) as beside from p)
+    select conv_id, turn, 0 as part, kind, level::int as level, text from b where kind = 'rule'
+    union all select conv_id, turn, 0, 'header', level, l from s where two
+    union all select conv_id, turn, 1, 'paragraph', null, {_STRIPPED.format(c='r', n='(' + _NUMBER.format(c='l') + ')')} from s where two
+    union all select conv_id, turn, 0, 'paragraph', null, {_STRIPPED.format(c='text', n='(' + _NUMBER.format(c='pt') + ')')} from s where beside and {_CJK.format(c='text')}
+    union all select conv_id, turn, 0, kind, level, text from s where not two and not (beside and (text = pt or {_CJK.format(c='text')}))""")
+def paired_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as titles in two languages, with rules and plain blocks between them."""
+    k, n = F.col("conv_id") + F.col("turn"), (F.col("conv_id") % 9).cast("string")
+    kind = F.when(k % 5 == 4, "rule").when(k % 11 == 3, "text").otherwise("header")
+    place = F.col("turn") % 4
+    title = (
+        F.when(place == 0, F.concat(n, F.lit(".1 "), F.col("role"))).when(place == 1, F.concat(n, F.lit(".1 标题")))
+        .when(place == 2, F.concat(n, F.lit(" "), F.col("role"), F.lit(" / "), n, F.lit(" 标题"))).otherwise(F.concat(n, F.lit(".1 user")))
+    )
+    blocks = read(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), (2 + F.col("conv_id") % 2).alias("level"), title.alias("text"))
+    return headings.paired_headings(blocks, "conv_id", "turn")
+
+
+@checked(r"""with b as (select conv_id, turn, text as source, sha256(text) as sha, ['code','heading','caption','list','prose'][turn % 5 + 1] as kind from conversations),
+    s as (select *, case when kind = 'list' then '* ' || replace(source, chr(10), chr(10) || ' + ') else source end as body from b),
+    e as (select *, regexp_replace(replace(body, chr(92), chr(92) || chr(92)), '([`*_{}\[\]<>#])', '\', 'g') as esc, regexp_extract(body, '^(\d+(?:\.\d+)*)\s+', 1) as num,
+        list_transform(list_filter(regexp_split_to_array(body, '
+|[
+-]'), lambda x: trim(x) <> ''), lambda x: '- ' || regexp_replace(replace(regexp_extract(x, '^\s*[-*+]\s+(.*)$', 1), chr(92), chr(92) || chr(92)), '([`*_{}\[\]<>#])', '\', 'g')) as items,
+        list_filter(regexp_split_to_array(body, '
+|[
+-]'), lambda x: trim(x) <> '' and not regexp_matches(x, '^\s*[-*+]\s+(.*)$')) as others from s)
+    select conv_id, turn, kind, md5('<!-- bilingual:source-only id=' || conv_id || '-' || turn || ' source_sha256=' || sha256(body) || ' -->' || chr(10) || case kind when 'code' then '```text' || chr(10) || body || chr(10) || '```'
+        when 'heading' then repeat('#', case when num = '' then 2 else least(4, len(string_split(num, '.')) + 1) end::int) || ' ' || esc when 'caption' then '*' || esc || '*'
+        when 'list' then case when len(others) = 0 and len(items) > 0 then array_to_string(items, chr(10)) else esc end else esc end) as digest from e""")
+def source_only_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns shown without a translation, by kind."""
+    t = read(spark, sf_dir, "conversations").withColumn("kind", pick(F.col("turn"), ["code", "heading", "caption", "list", "prose"]))
+    body = F.when(F.col("kind") == "list", F.concat(F.lit("* "), F.replace("text", F.lit("\n"), F.lit("\n + ")))).otherwise(F.col("text"))
+    rows = t.select("conv_id", "turn", "kind", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), body.alias("source")).withColumn("source_sha256", tx.sha256_text(F.col("source")))
+    return rendering.source_only_markdown(rows).select("conv_id", "turn", "kind", F.md5(F.col("md").cast("binary")).alias("digest"))
+
+
+@checked("""with r as (select label, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c, embedding[4]::double as d, (label % 4) * 90 as turn from embeddings),
+    u as (select label, turn, least(a, b) as x0, least(c, d) as y0, greatest(a, b) as x1, greatest(c, d) as y1 from r),
+    v as (select label, case turn when 90 then 0.25 - y1 when 180 then 0.25 - x1 when 270 then y0 else x0 end as x0, case turn when 90 then x0 when 180 then 0.2 - y1 when 270 then 0.2 - x1 else y0 end as y0,
+        case turn when 90 then 0.25 - y0 when 180 then 0.25 - x0 when 270 then y1 else x1 end as x1, case turn when 90 then x1 when 180 then 0.2 - y0 when 270 then 0.2 - x0 else y1 end as y1 from u),
+    k as (select label, greatest(x0, 0) as x0, greatest(y0, 0) as y0, least(x1, 0.25) as x1, least(y1, 0.2) as y1 from v), g as (select * from k where x1 > x0 and y1 > y0),
+    e as (select distinct label, unnest([x0, x1]) as l from g), s as (select label, l, lead(l) over (partition by label order by l) as h from e),
+    i as (select s.label, s.l, s.h, g.y0, g.y1, max(g.y1) over (partition by s.label, s.l order by g.y0, g.y1 rows between unbounded preceding and 1 preceding) as reach from s join g on g.label = s.label and g.x0 < s.h and g.x1 > s.l where s.h is not null),
+    t as (select label, sum((h - l) * greatest(y1 - greatest(y0, coalesce(reach, y0)), 0)) as area from i group by label)
+    select p.label as page, round(least(1.0, coalesce(area, 0) / (0.25 * 0.2)), 5) as ratio from (select distinct label from embeddings) p left join t on t.label = p.label""")
+def raster_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as picture boxes on a turned page for each label, cut to the page."""
+    v = lambda i: F.get("embedding", i).cast("double")
+    boxes = read(spark, sf_dir, "embeddings").select(F.col("label").alias("page"), F.least(v(0), v(1)).alias("x0"), F.least(v(2), v(3)).alias("y0"), F.greatest(v(0), v(1)).alias("x1"), F.greatest(v(2), v(3)).alias("y1"))
+    sheets = boxes.select("page").distinct().select("page", F.lit(0.25).cast("double").alias("width"), F.lit(0.2).cast("double").alias("height"), (F.col("page") % 4 * 90).alias("turn"))
+    return geo.raster_coverage(sheets, boxes).withColumn("ratio", F.round("ratio", 5))
+
+
+_LOG = """l as (select doc_id, text || case doc_id % 4 when 0 then chr(10) || 'Overfull \\hbox (' || doc_id || 'pt)' when 1 then chr(10) || 'Missing character: ' || doc_id when 2 then chr(10) || 'x Reference ' || doc_id || ' undefined' else '' end as log from documents)"""
+
+
+@checked("with " + _LOG.replace("\\\\", "\\") + r""", x as (select doc_id, unnest(string_split(log, chr(10))) as line, unnest(range(len(string_split(log, chr(10))))) as line_no from l)
+    select doc_id, 'overfull_box' as "check", line_no, line from x where regexp_matches(line, '^Overfull \hbox') union all select doc_id, 'missing_character', line_no, line from x where starts_with(line, 'Missing character:')
+    union all select doc_id, 'undefined_reference', line_no, line from x where regexp_matches(line, 'Reference .* undefined|There were undefined references')""")
+def log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as logs of a tool, three of four with a fault in the last line."""
+    d, k = read(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    fault = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("\nOverfull \\hbox ("), k, F.lit("pt)"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("\nMissing character: "), k)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("\nx Reference "), k, F.lit(" undefined"))).otherwise("")
+    return headings.log_findings(d.select("doc_id", F.concat("text", fault).alias("log")), "doc_id", "log")

@@ -272,7 +272,7 @@ def test_rendering_and_medians(spark):
     rows = spark.createDataFrame([("b1", "heading", "2.1 Name", SHA["a"], "名"), ("b2", "caption", "Fig", SHA["b"], "图")], "id string, kind string, source string, source_sha256 string, translation string")
     md = {r.id: r.md for r in rendering.bilingual_markdown(rows).collect()}
     assert md["b1"].endswith("\n### 2.1 Name\n\n> **名**") and md["b2"].endswith("\n*Fig*\n\n> *图*")
-    assert {r.id: r.tex for r in rendering.bilingual_latex(rows).collect()}["b1"].startswith("\\subsection*{2.1 Name}")
+    assert {r.id: r.tex for r in rendering.bilingual_latex(rows).collect()}["b1"].startswith("\\SegmentAnchor{b1}\n\\subsection{2.1 Name}")
     values = spark.createDataFrame([(1, v) for v in (4, 1, 3, 2)] + [(2, 7)], "g int, v int")
     assert {r.g: r.median for r in inventory.ranked_median(values, "g", "v").collect()} == {1: 3, 2: 7}
     assert {r.g: r.m for r in values.groupBy("g").agg(inventory.upper_median("v").alias("m")).collect()} == {1: 3, 2: 7}
