@@ -621,7 +621,7 @@ _HEADS = """b as (select conv_id, turn, case when (conv_id + turn) % 5 = 4 then
     case turn % 4 when 0 then (conv_id % 9) || '.1 ' || role when 1 then (conv_id % 9) || '.1 标题' when 2 then (conv_id % 9) || ' ' || role || ' / ' || (conv_id % 9) || ' 标题' else (conv_id % 9) || '.1 user' end as text from conversations)"""
 
 
-@checked(f"""with {_HEADS}, h as (select *, case when kind = 'header' then regexp_extract(text, '^(\S.*?)\s+/\s+(.*\S)$', 1) else '' end as l, regexp_extract(text, '^(\S.*?)\s+/\s+(.*\S)$', 2) as r, kind = 'header' and not {_CJK.format(c='text')} as plain from b where kind <> 'rule'),
+@checked(rf"""with {_HEADS}, h as (select *, case when kind = 'header' then regexp_extract(text, '^(\S.*?)\s+/\s+(.*\S)$', 1) else '' end as l, regexp_extract(text, '^(\S.*?)\s+/\s+(.*\S)$', 2) as r, kind = 'header' and not {_CJK.format(c='text')} as plain from b where kind <> 'rule'),
     t as (select *, l <> '' and not {_CJK.format(c='l')} and {_CJK.format(c='r')} as two from h),
     p as (select *, lag(plain) over w as pe, lag(level) over w as pl, lag(text) over w as pt from t window w as (partition by conv_id order by turn)),
     s as (select *, coalesce(kind = 'header' and not two and pe and pl = level, false) as beside from p)
@@ -643,18 +643,15 @@ def paired_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headings.paired_headings(blocks, "conv_id", "turn")
 
 
-@checked(r"""with b as (select conv_id, turn, text as source, sha256(text) as sha, ['code','heading','caption','list','prose'][turn % 5 + 1] as kind from conversations),
-    s as (select *, case when kind = 'list' then '* ' || replace(source, chr(10), chr(10) || ' + ') else source end as body from b),
-    e as (select *, regexp_replace(replace(body, chr(92), chr(92) || chr(92)), '([`*_{}\[\]<>#])', '\', 'g') as esc, regexp_extract(body, '^(\d+(?:\.\d+)*)\s+', 1) as num,
-        list_transform(list_filter(regexp_split_to_array(body, '
-|[
--]'), lambda x: trim(x) <> ''), lambda x: '- ' || regexp_replace(replace(regexp_extract(x, '^\s*[-*+]\s+(.*)$', 1), chr(92), chr(92) || chr(92)), '([`*_{}\[\]<>#])', '\', 'g')) as items,
-        list_filter(regexp_split_to_array(body, '
-|[
--]'), lambda x: trim(x) <> '' and not regexp_matches(x, '^\s*[-*+]\s+(.*)$')) as others from s)
+_ESCAPED = r"regexp_replace(replace({c}, '\', '\\'), '([`*_{{}}\[\]<>#])', '\\\1', 'g')"
+_BULLET = r"'^\s*[-*+]\s+(.*)$'"
+
+
+@checked(rf"""with s as (select conv_id, turn, ['code','heading','caption','list','prose'][turn % 5 + 1] as kind, case when turn % 5 = 3 then '* ' || replace(text, chr(10), chr(10) || ' + ') else text end as body from conversations),
+    e as (select *, {_ESCAPED.format(c='body')} as esc, regexp_extract(body, '^(\d+(?:\.\d+)*)\s+', 1) as num, list_filter(regexp_split_to_array(body, '\r\n|[\n\r\x0B\f\x1C-\x1E]'), lambda x: trim(x) <> '') as shown from s)
     select conv_id, turn, kind, md5('<!-- bilingual:source-only id=' || conv_id || '-' || turn || ' source_sha256=' || sha256(body) || ' -->' || chr(10) || case kind when 'code' then '```text' || chr(10) || body || chr(10) || '```'
         when 'heading' then repeat('#', case when num = '' then 2 else least(4, len(string_split(num, '.')) + 1) end::int) || ' ' || esc when 'caption' then '*' || esc || '*'
-        when 'list' then case when len(others) = 0 and len(items) > 0 then array_to_string(items, chr(10)) else esc end else esc end) as digest from e""")
+        when 'list' then case when len(shown) > 0 and len(list_filter(shown, lambda x: not regexp_matches(x, {_BULLET}))) = 0 then array_to_string(list_transform(shown, lambda x: '- ' || {_ESCAPED.format(c=f"regexp_extract(x, {_BULLET}, 1)")}), chr(10)) else esc end else esc end) as digest from e""")
 def source_only_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns shown without a translation, by kind."""
     t = read(spark, sf_dir, "conversations").withColumn("kind", pick(F.col("turn"), ["code", "heading", "caption", "list", "prose"]))
@@ -671,20 +668,18 @@ def source_only_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e as (select distinct label, unnest([x0, x1]) as l from g), s as (select label, l, lead(l) over (partition by label order by l) as h from e),
     i as (select s.label, s.l, s.h, g.y0, g.y1, max(g.y1) over (partition by s.label, s.l order by g.y0, g.y1 rows between unbounded preceding and 1 preceding) as reach from s join g on g.label = s.label and g.x0 < s.h and g.x1 > s.l where s.h is not null),
     t as (select label, sum((h - l) * greatest(y1 - greatest(y0, coalesce(reach, y0)), 0)) as area from i group by label)
-    select p.label as page, round(least(1.0, coalesce(area, 0) / (0.25 * 0.2)), 5) as ratio from (select distinct label from embeddings) p left join t on t.label = p.label""")
+    select p.label as page, round(least(1.0, coalesce(area, 0) / (0.25 * 0.2)), 6) as ratio from (select distinct label from embeddings) p left join t on t.label = p.label""")
 def raster_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as picture boxes on a turned page for each label, cut to the page."""
     v = lambda i: F.get("embedding", i).cast("double")
     boxes = read(spark, sf_dir, "embeddings").select(F.col("label").alias("page"), F.least(v(0), v(1)).alias("x0"), F.least(v(2), v(3)).alias("y0"), F.greatest(v(0), v(1)).alias("x1"), F.greatest(v(2), v(3)).alias("y1"))
     sheets = boxes.select("page").distinct().select("page", F.lit(0.25).cast("double").alias("width"), F.lit(0.2).cast("double").alias("height"), (F.col("page") % 4 * 90).alias("turn"))
-    return geo.raster_coverage(sheets, boxes).withColumn("ratio", F.round("ratio", 5))
-
-
-_LOG = """l as (select doc_id, text || case doc_id % 4 when 0 then chr(10) || 'Overfull \\hbox (' || doc_id || 'pt)' when 1 then chr(10) || 'Missing character: ' || doc_id when 2 then chr(10) || 'x Reference ' || doc_id || ' undefined' else '' end as log from documents)"""
+    return geo.raster_coverage(sheets, boxes)
 
 
-@checked("with " + _LOG.replace("\\\\", "\\") + r""", x as (select doc_id, unnest(string_split(log, chr(10))) as line, unnest(range(len(string_split(log, chr(10))))) as line_no from l)
-    select doc_id, 'overfull_box' as "check", line_no, line from x where regexp_matches(line, '^Overfull \hbox') union all select doc_id, 'missing_character', line_no, line from x where starts_with(line, 'Missing character:')
+@checked(r"""with l as (select doc_id, text || case doc_id % 4 when 0 then chr(10) || 'Overfull \hbox (' || doc_id || 'pt)' when 1 then chr(10) || 'Missing character: ' || doc_id when 2 then chr(10) || 'x Reference ' || doc_id || ' undefined' else '' end as log from documents),
+    x as (select doc_id, unnest(string_split(log, chr(10))) as line, generate_subscripts(string_split(log, chr(10)), 1) - 1 as line_no from l)
+    select doc_id, 'overfull_box' as "check", line_no, line from x where starts_with(line, 'Overfull \hbox') union all select doc_id, 'missing_character', line_no, line from x where starts_with(line, 'Missing character:')
     union all select doc_id, 'undefined_reference', line_no, line from x where regexp_matches(line, 'Reference .* undefined|There were undefined references')""")
 def log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as logs of a tool, three of four with a fault in the last line."""
