@@ -13,6 +13,7 @@ from ..functions import geometry as geo
 from ..functions import text as tx
 from ..operators import document_ir as ir
 from ..operators import evidence as ev
+from ..operators import blocks as bl
 from ..operators import headings, inventory, layout, profiles, protect, reading, rendering, review, sequences
 from .oracles import grams, tokens
 from .queries import SELECTORS, lines, read, turns
@@ -686,3 +687,26 @@ def log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, k = read(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
     fault = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("\nOverfull \\hbox ("), k, F.lit("pt)"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("\nMissing character: "), k)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("\nx Reference "), k, F.lit(" undefined"))).otherwise("")
     return headings.log_findings(d.select("doc_id", F.concat("text", fault).alias("log")), "doc_id", "log")
+
+
+@checked(rf"""with t as (select conv_id, turn, role || case turn % 3 when 0 then '.' when 1 then '' else '?' end as a, (conv_id % 7) || 'x' as b, turn * 14 + case when turn % 4 = 2 then 9 else 0 end as y, conv_id % 3 = 1 as near from conversations),
+    l as (select conv_id as block, turn, y, a || case when near then '' else ' ' end || b as body, a, b from t),
+    g as (select *, y - (lag(y) over w + 10) as gap, lag(body) over w as before from l window w as (partition by block order by turn)),
+    r as (select block, gap, row_number() over (partition by block order by gap) as k, count(*) over (partition by block) as n from g where gap >= 0), m as (select block, gap as median from r where k = n // 2 + 1),
+    x as (select g.*, coalesce(regexp_matches(before, '[.!?]$') and gap > coalesce(median, 0) + 0.2, false) as breaks from g left join m on m.block = g.block)
+    select block, string_agg(case when before is null then '' when breaks then chr(10) || chr(10) else chr(10) end || body, '' order by turn) as "text", count(*) as lines, 1 + count(*) filter (breaks) as paragraphs,
+        round(sum(length(b)) filter (block % 2 = 0) / sum(length(a) + length(b)), 4) as bold_ratio from x group by block""")
+def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as blocks: each turn a line of two spans, with wider gaps below some."""
+    c = read(spark, sf_dir, "conversations")
+    y = (F.col("turn") * 14 + F.when(F.col("turn") % 4 == 2, 9).otherwise(0)).cast("double")
+    first = F.concat("role", F.when(F.col("turn") % 3 == 0, ".").when(F.col("turn") % 3 == 1, "").otherwise("?"))
+    second = F.concat((F.col("conv_id") % 7).cast("string"), F.lit("x"))
+    at = F.when(F.col("conv_id") % 3 == 1, 50.5).otherwise(53.0)
+    spans = F.array(
+        F.struct(F.lit(0.0).alias("x0"), F.lit(50.0).alias("x1"), first.alias("text"), F.lit("Times").alias("font")),
+        F.struct(at.alias("x0"), F.lit(90.0).alias("x1"), second.alias("text"), F.when(F.col("conv_id") % 2 == 0, "Times-Bold").otherwise("Times").alias("font")),
+    )
+    rows = c.select(F.col("conv_id").alias("block"), F.lit(0.0).alias("left"), F.col("turn").alias("line"), F.lit(0.0).alias("lx0"), y.alias("ly0"), F.lit(90.0).alias("lx1"), (y + 10).alias("ly1"), F.explode(spans).alias("s"))
+    rows = rows.select("block", "left", "line", "lx0", "ly0", "lx1", "ly1", "s.x0", F.col("ly0").alias("y0"), "s.x1", F.col("ly1").alias("y1"), "s.text", "s.font", F.lit(10.0).alias("size"))
+    return bl.block_texts(rows).select("block", "text", F.col("lines").cast("long"), F.col("paragraphs").cast("long"), F.nullif("bold_ratio", F.lit(0.0)).alias("bold_ratio"))
