@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import zipfile
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import geometry as geo
 from quillstack.operators import headings, rendering
-from quillstack.sources import archives, images
+from quillstack.sources import archives, assets, images
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
 BODY = f"""<w:document {W}><w:body>
@@ -148,3 +149,21 @@ def test_raster_coverage(spark):
     boxes = [(1, 0.0, 0.0, 50.0, 100.0), (1, 25.0, 50.0, 75.0, 100.0), (2, -50.0, 0.0, 50.0, 200.0), (3, 200.0, 0.0, 300.0, 50.0), (5, 90.0, 90.0, 150.0, 100.0), (6, float("nan"), 0.0, 1.0, 1.0), (6, 0.0, 0.0, 9.0, 9.0)]
     images_ = spark.createDataFrame(boxes, "page int, x0 double, y0 double, x1 double, y1 double")
     assert {r.page: r.ratio for r in geo.raster_coverage(pages, images_).collect()} == {1: 0.3125, 2: 0.5, 3: 0.0, 4: None, 5: 0.01, 6: None}
+
+
+def test_assets(spark, tmp_path):
+    dot = png(1, 1, 8, 0, [b"\0\0"])
+    other = png(1, 1, 8, 0, [b"\0\xff"])
+    files = spark.createDataFrame([("img/a.png", dot), ("img/A.png", other), ("b.png", dot), ("../c.png", dot), ("d.png", b"x"), ("e.png", None)], "path string, content binary")
+    rows = {r.path: r for r in assets.asset_rows(files).collect()}
+    digest = hashlib.sha256(dot).hexdigest()
+    assert set(rows) == {"img/a.png", "img/A.png", "b.png", "../c.png"} and rows["b.png"].sha256 == digest and rows["b.png"].bytes == len(dot)
+    assert rows["b.png"].id == "asset-" + hashlib.sha256(f"b.png\0{digest}".encode()).hexdigest()[:24]
+    assert {(r.path, r.check) for r in assets.asset_faults(files).collect()} == {("img/a.png", "collision"), ("img/A.png", "collision"), ("../c.png", "unsafe"), ("d.png", "undecodable"), ("e.png", "undecodable")}
+    assert assets.freeze(files, str(tmp_path / "frozen")).collect() == []
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        assets.freeze(files, str(tmp_path / "frozen"))
+    copies = spark.read.parquet(str(tmp_path / "frozen"))
+    visuals = spark.createDataFrame([("v1", "img/a.png"), ("v2", "b.png"), ("v3", "none.png"), ("v4", "x/b.png")], "id string, path string")
+    found = assets.visual_paths(visuals, copies.unionByName(spark.createDataFrame([("x/b.png", other, "0" * 64)], copies.schema)))
+    assert {(r.id, r.path, r.problem) for r in found.collect()} == {("v1", "assets/a.png", None), ("v2", "assets/b.png", "same_name"), ("v3", "assets/none.png", "missing"), ("v4", "assets/b.png", "same_name")}
