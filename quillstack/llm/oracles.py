@@ -20,4 +20,31 @@ ORACLES: dict[str, str] = {
                case when payload_bytes >= 100 and first_id is distinct from page_id then first_id end as refers_to
         from k
     """,
+    "op13_phrases": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents),
+        worded as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces),
+        counted as (select lang, sum(len(w))::bigint as n from worded group by lang),
+        spans as (select lang, w, unnest(range(1, len(w) + 1)) as i from worded where len(w) > 0),
+        grams as (select lang, width, array_to_string(w[i : i + width - 1], ' ') as phrase from spans, (values (1), (2), (3), (4)) s(width) where i + width - 1 <= len(w)),
+        f as materialized (select lang, width, phrase, count(*) as a from grams group by all having count(*) >= 30),
+        c as (select *, string_split(phrase, ' ') as w from f where width > 1),
+        cuts as (
+            select c.lang, c.phrase, c.a, c.width, k, x.a as l, y.a as r, ((2000000::hugeint * c.a) // (x.a + y.a))::bigint as score
+            from c, (values (1), (2), (3)) t(k), f x, f y
+            where k < c.width and x.lang = c.lang and y.lang = c.lang
+              and x.phrase = array_to_string(c.w[1 : k], ' ') and y.phrase = array_to_string(c.w[k + 1 : c.width], ' ')),
+        lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        inner_ as (
+            select lang, array_to_string(w[i : i + n - 1], ' ') as phrase, max(a) as longer
+            from c, (values (2), (3)) s(n), (values (1), (2), (3)) t(i)
+            where n < width and i + n - 1 <= width group by all),
+        ranked as (
+            select lowest.lang, lowest.phrase, a, l, r, score, row_number() over (partition by lowest.lang order by score desc, a desc, encode(lowest.phrase)) as rank
+            from lowest left join inner_ on lowest.lang = inner_.lang and lowest.phrase = inner_.phrase
+            where longer is null or 100::hugeint * longer < 80::hugeint * a)
+        select lang, rank, phrase, a, l, r, n, score from ranked join counted using (lang) where rank <= 2000
+    """,
 }

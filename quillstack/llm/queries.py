@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .best_fit import pack_whole
 from .bpe import bpe_round_trip
 from .brown import lm_score
 from .common import documents
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack_documents
+from .phrases import mine_phrases
 from .quality_model import quality_model
 from .quality_rules import quality_rules
 from .token_files import token_files
@@ -66,6 +69,15 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_whole(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
