@@ -11,6 +11,7 @@ from .best_fit import pack_whole
 from .bpe import bpe_round_trip
 from .brown import lm_score
 from .common import documents
+from .conversations import audit_conversations, damaged
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack_documents
@@ -74,6 +75,10 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_conversations(damaged(documents(spark, sf_dir, "conversations")))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(documents(spark, sf_dir))
 
