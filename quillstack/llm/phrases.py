@@ -179,7 +179,7 @@ def words_of(row: dict) -> Lists:
     return Lists(row["words"], row["langs"], at[order], of[order])
 
 
-def level_of(blocks: DataFrame, frequent: list[DataFrame], width: int) -> DataFrame:
+def level_of(blocks: DataFrame, frequent: list[DataFrame], width: int, last: bool) -> DataFrame:
     """ROWS: the phrases of `width` words that extend the frequent ones, with their frequency in each block."""
     marks = [f.select("block", "number", F.lit(k).alias("level")) for k, f in enumerate(frequent)]
     rows = marks[0]
@@ -200,7 +200,8 @@ def level_of(blocks: DataFrame, frequent: list[DataFrame], width: int) -> DataFr
                         lists = lists.only(row[f"level_{k - 1}"].to_numpy(zero_copy_only=False))
                     lists = lists.extended(words, k)
                 found = np.bincount(lists.of[lists.at < row["counted"]], minlength=len(lists.phrases))
-                numbers = np.flatnonzero(found)
+                # a phrase that only the next block counts is named too: here it may continue another one
+                numbers = np.flatnonzero(found) if last else np.arange(len(found))
                 for lo in range(0, len(numbers), 50_000):
                     part = pa.array(numbers[lo : lo + 50_000], pa.int32())
                     columns = [pa.array(np.full(len(part), row["block"])), part, lists.langs.take(part), lists.phrases.take(part), pa.array(found[part.to_numpy()], pa.int64())]
@@ -239,7 +240,7 @@ def mine_phrases(docs: DataFrame, longest: int = 4, least: int = 30, share: int
     n = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = [scratch.keep(frequent_of(words, least), "level1")]
     for width in range(2, longest + 1):
-        frequent.append(scratch.keep(frequent_of(level_of(blocks, frequent, width), least), f"level{width}"))
+        frequent.append(scratch.keep(frequent_of(level_of(blocks, frequent, width, width == longest), least), f"level{width}"))
 
     sums = None
     for width, rows in enumerate(frequent, 1):
