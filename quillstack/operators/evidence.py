@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_text, strip_markup
+
 #: Dispositions of an item, and what an import file is called after its document.
 DISPOSITIONS = ["emitted", "artifact_omitted"]
 SUFFIXES = {"content": "_content_list.json", "middle": "_middle.json", "origin": "_origin.pdf"}
@@ -72,7 +74,7 @@ def asset_faults(visuals: DataFrame, assets: DataFrame) -> DataFrame:
     there = assets.select("document", F.col("id").alias("asset_id"), F.col("sha256").alias("_sha"))
     both = visuals.join(there, ["document", "asset_id"], "left")
     gone = _faults(both.where("_sha is null"), "asset_unknown", F.col("id"))
-    return gone.unionByName(_faults(both.where("_sha <> sha256"), "asset_hash", F.col("id")))
+    return gone.unionByName(_faults(both.where("_sha is not null and not (_sha <=> sha256)"), "asset_hash", F.col("id")))
 
 
 def asset_paths(content: DataFrame, tree: DataFrame) -> DataFrame:
@@ -81,12 +83,12 @@ def asset_paths(content: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def page_reasons(native: Column, english: Column, adapter: Column, raster: Column, least: Column, low_ratio: Column) -> Column:
-    """Why a page needs a reviewer: no native text, native text that is not English prose, a document short of
+    """Why a page needs a reviewer: no native text, enough native text that is not English prose, a document short of
     native pages, a large raster or much more adapter text on a page short of native text."""
     short = native < least
     tests = {
         "native_oracle_empty": native == 0,
-        "native_oracle_not_substantive_english": (native > 0) & ~english,
+        "native_oracle_not_substantive_english": (native >= least) & ~english,
         "document_native_ratio_below_threshold": low_ratio & short,
         "large_raster_without_native_oracle": (raster >= 0.5) & short,
         "adapter_text_without_native_oracle": short & (adapter >= 2 * F.greatest(native, F.lit(1))),
@@ -104,16 +106,33 @@ def page_faults(pages: DataFrame, derived: DataFrame) -> DataFrame:
     parts = [
         _faults(both.where("_reasons is null"), "page_extra", F.col("page_idx")),
         _faults(both.where("status is null"), "page_missing", F.col("page_idx")),
-        _faults(both.where("status is not null and _reasons is not null").where(F.array_sort("reasons") != F.col("_reasons")), "page_reasons", F.col("page_idx")),
+        _faults(both.where("status is not null and _reasons is not null").where(~F.array_sort("reasons").eqNullSafe(F.col("_reasons"))), "page_reasons", F.col("page_idx")),
         _faults(both.where("status is not null and _reasons is not null").where(F.col("status") != status), "page_status", F.col("page_idx")),
         _faults(gaps, "page_gaps", F.col("n")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def text_lengths(blocks: DataFrame, pages: DataFrame, text: str) -> DataFrame:
-    """document, page, chars: the length of a page's texts, normalised and joined by blanks in order; pages
-    without text have 0. The sum needs no ordered list: pieces are trimmed and never empty."""
+#: Kinds of blocks whose text is no content.
+UNTEXTUAL = ("artifact", "image")
+
+
+def textual(kind: Column) -> Column:
+    """Whether blocks of this kind hold text of the document; a block without a kind does."""
+    return ~F.coalesce(kind.isin(*UNTEXTUAL), F.lit(False))
+
+
+def substantive(text: Column, kind: Column, compatible: bool = False) -> Column:
+    """The normalised text of a block as far as it counts: none of artifacts and images, of tables what is visible."""
+    shown = F.when(kind == "table", strip_markup(text)).otherwise(text)
+    return F.when(textual(kind), normalize_text(shown, compatible))
+
+
+def text_lengths(blocks: DataFrame, pages: DataFrame, text: str, kind: str, compatible: bool = False) -> DataFrame:
+    """document, page, chars: the length of a page's substantive texts, normalised and joined by blanks in order;
+    pages without any have 0. The sum needs no ordered list: pieces are trimmed and never empty."""
+    blocks = blocks.select("document", "page", substantive(F.col(text), F.col(kind), compatible).alias("_t"))
+    text = "_t"
     pieces = blocks.where(F.length(text) > 0).groupBy("document", "page").agg((F.sum(F.length(text)) + F.count(F.lit(1)) - 1).alias("chars"))
     return pages.select("document", "page").join(pieces, ["document", "page"], "left").na.fill(0, ["chars"])
 
@@ -127,7 +146,7 @@ def input_faults(files: DataFrame, document_sha: DataFrame) -> DataFrame:
     kinds = spark.createDataFrame([(k,) for k in SUFFIXES], "kind string")
     wanted = document_sha.select("document").crossJoin(F.broadcast(kinds))  # three rows a document
     counts = wanted.join(named.groupBy("document", "kind").agg(F.count(F.lit(1)).alias("n")), ["document", "kind"], "left").na.fill(0, ["n"])
-    origin = named.where("kind = 'origin'").join(document_sha.withColumnRenamed("sha256", "_own"), "document").where("sha256 <> _own")
+    origin = named.where("kind = 'origin'").join(document_sha.withColumnRenamed("sha256", "_own"), "document").where("not (sha256 <=> _own) or sha256 is null")
     return reduce(DataFrame.unionByName, [_faults(counts.where("n = 0"), "file_missing", F.col("kind")), _faults(counts.where("n > 1"), "file_ambiguous", F.col("kind")), _faults(origin, "origin_hash", F.col("path"))])
 
 
@@ -152,5 +171,5 @@ def frozen_faults(evidence: DataFrame, files: DataFrame) -> DataFrame:
     there = files.select("document", "path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
     both = evidence.join(there, ["document", "path"], "left")
     twice = evidence.groupBy("document", "path").count().where("count > 1")
-    parts = [_faults(both.where("_sha is null"), "file_gone", F.col("path")), _faults(both.where("_size <> size"), "file_size", F.col("path")), _faults(both.where("_sha <> sha256"), "file_hash", F.col("path")), _faults(twice, "file_twice", F.col("path"))]
+    parts = [_faults(both.where("_sha is null"), "file_gone", F.col("path")), _faults(both.where("_sha is not null and not (_size <=> size)"), "file_size", F.col("path")), _faults(both.where("_sha is not null and not (_sha <=> sha256)"), "file_hash", F.col("path")), _faults(twice, "file_twice", F.col("path"))]
     return reduce(DataFrame.unionByName, parts)

@@ -39,7 +39,7 @@ def source_gate(blocks: DataFrame, links: DataFrame, visuals: DataFrame, pages:
     contact sheets (first_page, last_page)."""
     g = "source"
     repeated = blocks.groupBy("id").count().where("count > 1")
-    stale = blocks.where(F.sha2(F.col("source").cast("binary"), 256) != F.col("source_sha256"))
+    stale = blocks.where(F.col("source").isNull() | ~F.sha2(F.col("source").cast("binary"), 256).eqNullSafe(F.col("source_sha256")))
     used = blocks.select("id", F.explode("links").alias("link"))
     unknown = used.join(links.select(F.col("id").alias("link")), "link", "left_anti")
     anchors = visuals.join(blocks.select(F.col("id").alias("anchor_id")), "anchor_id", "left_anti")
@@ -89,47 +89,82 @@ def translation_gate(requests: DataFrame, answers: DataFrame, partial: bool = Fa
 
 
 def missing_uris(uris: DataFrame, text: DataFrame) -> DataFrame:
-    """URIs that no emitted text holds: URLs of the texts are taken out and compared by equality, and
-    only what is left (a URI inside a longer one) is looked for in the texts."""
-    there = text.select(F.explode(F.array_distinct(F.regexp_extract_all("md", F.lit(r"[a-z]+:[^\s<>()\"]+"), F.lit(0)))).alias("uri")).distinct()
-    rest = uris.select("uri").distinct().join(there, "uri", "left_anti")
-    within = there.withColumnRenamed("uri", "_longer")
-    key = lambda c: F.substring_index(F.substring_index(F.substring_index(c, "#", 1), "?", 1), "/", 3)
-    return rest.join(within, (key(F.col("uri")) == key(F.col("_longer"))) & F.contains(F.col("_longer"), F.col("uri")), "left_anti")
+    """document, uri: URIs (document, uri) that no emitted piece (document, md) of their document holds.
+
+    Words of the text that are a URI as they stand are compared by equality; what is left, such as a URI
+    behind a bracket or inside a longer one, is looked for in the pieces of its document alone.
+    """
+    words = text.select("document", F.explode(F.array_distinct(F.regexp_extract_all("md", F.lit(r"[a-z][a-z0-9+.-]*:[^\s<>\"]+"), F.lit(0)))).alias("uri"))
+    rest = uris.select("document", "uri").distinct().join(words, ["document", "uri"], "left_anti")
+    pieces = text.select(F.col("document").alias("_d"), "md")
+    return rest.join(pieces, (F.col("document") == F.col("_d")) & F.contains(F.col("md"), F.col("uri")), "left_anti")
+
+
+#: Fixed value: the marker of an emitted block.
+BLOCK_MARKER = r"<!-- bilingual:(\w+) id=(\S+) source_sha256=([0-9a-f]{64}) -->"
+#: Fixed value: a marker of any spelling, or a placeholder, that must not be left in the output.
+LEFT_OVER = r"⟦K\d+⟧"
 
 
 def output_gate(blocks: DataFrame, text: DataFrame, inputs: DataFrame, pins: DataFrame, uris: DataFrame) -> DataFrame:
-    """Markers in the emitted Markdown (one row, column md) against blocks (id, source_sha256, mode)."""
-    g = "output"
-    marks = text.select(F.explode(F.regexp_extract_all("md", F.lit(r"<!-- bilingual:\w+ id=\S+ source_sha256=[0-9a-f]{64} -->"), F.lit(0))).alias("m"))
-    part = lambda p: F.regexp_extract("m", p, 1)
-    marks = marks.select(part(r"bilingual:(\w+)").alias("emode"), part(r"id=(\S+)").alias("id"), part(r"source_sha256=([0-9a-f]{64})").alias("esha"))
-    both = blocks.join(marks, "id").where("esha <> source_sha256 or emode <> mode")
-    repeated = marks.groupBy("id").count().where("count > 1")
+    """document, gate, check, subject, message: emitted Markdown against the blocks of its document.
+
+    blocks: document, id, source_sha256, mode; text: document, md, in as many pieces as there are;
+    inputs and pins: artifact, sha256 (of all documents); uris: document, uri. A block without a hash
+    or mode matches no marker.
+    """
+    key = ["document", "id"]
+    marks = text.select("document", F.explode(F.regexp_extract_all("md", F.lit(BLOCK_MARKER), F.lit(0))).alias("m"))
+    marks = marks.select("document", *[F.regexp_extract("m", BLOCK_MARKER, i + 1).alias(c) for i, c in enumerate(("emode", "id", "esha"))])
+    both = blocks.join(marks, key).where("not (esha <=> source_sha256 and emode <=> mode)")
+    repeated = marks.groupBy(key).count().where("count > 1")
+    gone = blocks.select(key).distinct().join(marks, key, "left_anti").withColumn("side", F.lit("missing"))
+    more = marks.select(key).distinct().join(blocks, key, "left_anti").withColumn("side", F.lit("extra"))
+    left = text.where(F.col("md").rlike(LEFT_OVER)).select("document", F.explode(F.array_distinct(F.regexp_extract_all("md", F.lit(LEFT_OVER), F.lit(0)))).alias("p")).distinct()
     return together([
-        failures(missing_and_extra(blocks, marks, "id"), g, "markers", "id", F.col("side")),
-        failures(both, g, "marker_content", "id", "hash or mode differs"),
-        failures(repeated, g, "marker_once", "id", "marker repeated"),
-        failures(pinned(inputs, pins), g, "pins", "artifact", "input changed"),
-        failures(missing_uris(uris, text), g, "uris", "uri", "not in the output"),
+        by_document(gone.unionByName(more), "output", "markers", "id", F.col("side")),
+        by_document(both, "output", "marker_content", "id", "hash or mode differs"),
+        by_document(repeated, "output", "marker_once", "id", "marker repeated"),
+        by_document(left, "output", "placeholder_left", "p", "placeholder in the output"),
+        by_document(pinned(inputs, pins).withColumn("document", F.lit(None).cast(blocks.schema["document"].dataType)), "output", "pins", "artifact", "input changed"),
+        by_document(missing_uris(uris, text), "output", "uris", "uri", "not in the output"),
     ])
 
 
+def by_document(rows: DataFrame, gate: str, check: str, subject: str, message: str | Column) -> DataFrame:
+    """Failure rows that keep their document; it is null where a fault concerns all."""
+    message = F.lit(message) if isinstance(message, str) else message
+    return rows.select("document", F.lit(gate).alias("gate"), F.lit(check).alias("check"), F.col(subject).cast("string").alias("subject"), message.alias("message"))
+
+
+def document_status(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """document, failures, status: one verdict a document; a fault of no document fails them all."""
+    n = found.groupBy("document").agg(F.count(F.lit(1)).alias("n"))
+    common = found.where("document is null").agg(F.count(F.lit(1)).alias("_all"))
+    out = documents.select("document").distinct().join(n.where("document is not null"), "document", "left").crossJoin(F.broadcast(common))  # one row
+    out = out.select("document", (F.coalesce("n", F.lit(0)) + F.col("_all")).alias("failures"))
+    return out.withColumn("status", F.when(F.col("failures") > 0, "failed").otherwise("passed"))
+
+
 def render_gate(pages: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rendered pages (page, text, ink, width, height) against expected group texts (group_id, text)."""
-    g = "render"
-    blank = pages.where("length(trim(text)) < 15 and ink < 0.002")
-    size = pages.where((F.abs(F.col("width") - 595.28) >= 1) | (F.abs(F.col("height") - 841.89) >= 1))
+    """document, gate, check, subject, message: rendered pages (document, page, text, ink, width, height)
+    against the group texts (document, group_id, text) that must lie on a page of their document.
+
+    A page whose text, ink or size is unknown counts as blank or of the wrong size.
+    """
+    blank = pages.where("coalesce(length(trim(text)), 0) < 15 and coalesce(ink, 0) < 0.002")
+    a4 = (F.abs(F.col("width") - 595.28) < 1) & (F.abs(F.col("height") - 841.89) < 1)
+    size = pages.where(~F.coalesce(a4, F.lit(False)))
     flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    # a text that lies on a page holds its own first eight letters there: they are the join key
-    head = F.substring(flat(F.col("text")), 1, 8)
-    starts = pages.select(flat(F.col("text")).alias("_p")).withColumn("_head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_p") - 7, F.lit(1))), lambda i: F.substring("_p", i, 8)))))
-    short = F.length(flat(F.col("text"))) < 8
-    long = expected.where(~short).join(starts, (head == F.col("_head")) & F.contains(F.col("_p"), flat(F.col("text"))), "left_anti")
-    grams = pages.select(flat(F.col("text")).alias("_p"))
-    brief = expected.where(short).join(grams, F.contains(F.col("_p"), flat(F.col("text"))), "left_anti")
+    # a text that lies on a page holds its own first eight letters there: with the document they are the join key
+    shown = pages.select(F.col("document").alias("_d"), flat(F.col("text")).alias("_p"))
+    starts = shown.withColumn("_head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_p") - 7, F.lit(1))), lambda i: F.substring("_p", i, 8)))))
+    wanted = expected.select("document", "group_id", flat(F.col("text")).alias("_t"))
+    here = (F.col("document") == F.col("_d")) & F.contains(F.col("_p"), F.col("_t"))
+    long = wanted.where("length(_t) >= 8").join(starts, here & (F.substring("_t", 1, 8) == F.col("_head")), "left_anti")
+    brief = wanted.where("length(_t) < 8 or _t is null").join(shown, here, "left_anti")
     seen = long.unionByName(brief)
-    return together([failures(blank, g, "blank_page", "page", "no text or ink"), failures(size, g, "page_size", "page", "not A4"), failures(seen, g, "group_present", "group_id", "not on any page")])
+    return together([by_document(blank, "render", "blank_page", "page", "no text or ink"), by_document(size, "render", "page_size", "page", "not A4"), by_document(seen, "render", "group_present", "group_id", "not on any page")])
 
 
 #: The stages in order, and what to do where one has not passed.
@@ -146,4 +181,4 @@ def next_action(gates: DataFrame, by: str) -> DataFrame:
     return passed.withColumn("stage", stage).select(by, "stage", action.alias("action"))
 
 
-__all__ = ["failures", "gate_status", "next_action", "output_gate", "problem_gate", "render_gate", "source_gate", "status_of", "translation_gate"]
+__all__ = ["document_status", "failures", "gate_status", "next_action", "output_gate", "problem_gate", "render_gate", "source_gate", "status_of", "translation_gate"]

@@ -24,11 +24,15 @@ def missing_and_extra(expected: DataFrame, actual: DataFrame, key: str) -> DataF
 
 
 def responses(requests: DataFrame, answers: DataFrame, key: str, hash_col: str, partial: bool = False) -> DataFrame:
-    """Every request with status answered, missing, pending, stale or repeated; unknown answers too."""
+    """Every request with status answered, missing, pending, stale or repeated; unknown answers too.
+
+    A hash that is null on either side proves nothing, so the answer is stale.
+    """
     got = answers.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(hash_col).alias("_hash"))
-    joined = requests.select(key, hash_col).join(got, key, "full_outer")
+    joined = requests.select(key, hash_col, F.lit(True).alias("_asked")).join(got, key, "full_outer")
     absent = F.lit("pending" if partial else "missing")
-    status = F.when(F.col(hash_col).isNull(), "unknown").when(F.col("_n").isNull(), absent).when(F.col("_n") > 1, "repeated").when(F.col("_hash") != F.col(hash_col), "stale").otherwise("answered")
+    same = F.col("_hash").isNotNull() & F.col("_hash").eqNullSafe(F.col(hash_col))
+    status = F.when(F.col("_asked").isNull(), "unknown").when(F.col("_n").isNull(), absent).when(F.col("_n") > 1, "repeated").when(same, "answered").otherwise("stale")
     return joined.select(key, status.alias("status"))
 
 

@@ -14,10 +14,10 @@ from .joins import range_cover
 
 
 def stale(lineage: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """work, artifact, problem: what a stage read that is gone or has other content now."""
+    """work, artifact, problem: what a stage read that is gone, has other content now or was read without a hash."""
     now = artifacts.select("work", "artifact", F.col("sha256").alias("_now"))
     both = lineage.join(now, ["work", "artifact"], "left")
-    problem = F.when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col("sha256"), "changed")
+    problem = F.when(F.col("_now").isNull(), "gone").when(F.col("sha256").isNull(), "unpinned").when(F.col("_now") != F.col("sha256"), "changed")
     return both.select("work", "artifact", problem.alias("problem")).where("problem is not null")
 
 

@@ -15,7 +15,7 @@ from ..operators import document_ir as ir
 from ..operators import evidence as ev
 from ..operators import blocks as bl
 from ..operators import headings, inventory, layout, profiles, protect, reading, rendering, review, sequences
-from .oracles import grams, tokens
+from .oracles import VISIBLE, grams, tokens
 from .queries import SELECTORS, lines, read, turns
 
 ORACLES: dict[str, str] = {}
@@ -359,7 +359,7 @@ def visual_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAGES = """p as (select page_id // 20 as document, page_id % 20 as idx, page_id, length(html) as adapter, case when page_id % 9 = 0 then 0 else length(html) // (page_id % 5 + 1) end as native, page_id % 4 <> 1 as english, (page_id % 10) / 10.0 as raster, page_id % 3 = 0 as low from pages),
     r as (select *, list_filter([case when adapter >= 2 * greatest(native, 1) and native < 1500 then 'adapter_text_without_native_oracle' end, case when low and native < 1500 then 'document_native_ratio_below_threshold' end, case when raster >= 0.5 and native < 1500 then 'large_raster_without_native_oracle' end,
-        case when native = 0 then 'native_oracle_empty' end, case when native > 0 and not english then 'native_oracle_not_substantive_english' end], lambda x: x is not null) as reasons from p)"""
+        case when native = 0 then 'native_oracle_empty' end, case when native >= 1500 and not english then 'native_oracle_not_substantive_english' end], lambda x: x is not null) as reasons from p)"""
 
 
 def derived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,12 +387,17 @@ def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.counts(ev.page_faults(stored, again.where(k != 7)), "check")
 
 
-@checked("""with w as (select doc_id, unnest(string_split(text, chr(10))) as l from documents), t as (select doc_id, trim(regexp_replace(l, '\\s+', ' ', 'g')) as t from w), s as (select doc_id, sum(length(t))::bigint + count(*) - 1 as chars from t where t <> '' group by doc_id)
+@checked(f"""with w as (select doc_id, unnest(string_split(text, chr(10))) as l from documents), h as (select page_id, {VISIBLE} as t from pages),
+    t as (select doc_id, trim(regexp_replace(l, '\\s+', ' ', 'g')) as t from w where regexp_matches(l, '\\pL') union all select page_id, t from h join documents on doc_id = page_id), s as (select doc_id, sum(length(t))::bigint + count(*) - 1 as chars from t where t <> '' group by doc_id)
     select doc_id // 10 as document, d.doc_id as page, coalesce(chars, 0)::bigint as chars from documents d left join s using (doc_id)""")
 def substantive_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = lines(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("document"), F.col("doc_id").alias("page"), tx.normalize_text(F.col("line"), compatible=True).alias("t"))
+    """Lines as prose, or as artifacts if they hold no letter, and the web page of the same number as a table."""
+    kind = F.when(F.col("line").rlike(r"\p{L}"), "prose").otherwise("artifact")
+    prose = lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("t"), kind.alias("kind"))
+    tables = read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("t"), F.lit("table").alias("kind"))
+    pieces = prose.unionByName(tables).withColumn("document", F.floor(F.col("page") / 10))
     pages = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("document"), F.col("doc_id").alias("page"))
-    return ev.text_lengths(pieces, pages, "t")
+    return ev.text_lengths(pieces, pages, "t", "kind", compatible=True)
 
 
 @checked("""with f as (select s_suppkey as k, 'file_missing' as c, 'middle' as s from supplier where s_suppkey % 6 = 1 union all select s_suppkey, 'file_ambiguous', 'content' from supplier where s_suppkey % 6 = 2

@@ -35,7 +35,9 @@ _COVERAGE = f"""
 _LINES = "l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)"
 _OPEN = "(not regexp_matches({c}, '[.!?;:。！？；：][\"'')\\]]?$') or coalesce(lower(regexp_extract({c}, '([A-Za-z]+)[^\\pL\\pN_]*$', 1)), '') in ('a','an','and','as','at','by','for','from','in','of','or','the','to','with'))"
 _URLS = "list_sort(list_distinct(list_transform(regexp_extract_all(url, 'https?://[^\\s<>\"]+'), lambda u: regexp_replace(u, '[.,;:!?)\\]]+$', ''))))"
-_VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\\b.*?</script|style\\b.*?</style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_BARE = "regexp_replace(regexp_replace(html, '(?is)<(?:script\\b.*?</script|style\\b.*?</style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+_SIGNS = f"replace(replace(replace(replace(replace(replace(replace({_BARE}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&#39;', chr(39)), '&amp;', '&')"
+VISIBLE = f"trim(regexp_replace({_SIGNS}, '\\s+', ' ', 'g'))"
 _RECT = "select label, vec_id as id, least(v0, v1) as x0, least(v2, v3) as y0, greatest(v0, v1) as x1, greatest(v2, v3) as y1 from (select label, vec_id, embedding[1]::double as v0, embedding[2]::double as v1, embedding[3]::double as v2, embedding[4]::double as v3 from embeddings)"
 _T = "t as (select *, conv_id || '-' || turn as id from conversations)"
 _STAGES = ["source_audit", "translation_plan", "translation_audit", "output_audit", "docx_audit", "compile_audit", "visual_review", "qa_report"]
@@ -102,7 +104,7 @@ ORACLES: dict[str, str] = {
         k as (select doc_id, m, row_number() over (partition by doc_id order by m.tier desc nulls last, m.n desc, m.r desc, m.s desc) as k from m)
         select doc_id, m.role as role, m.tier as tier, -m.s as selector from k where k = 1""",
     "review_reasons": f"""
-        with p as (select page_id, length({_VISIBLE})::double as native, length(html)::double as adapter, page_id % 7 as blocks, (page_id % 10) / 10.0::double as raster, 0.69::double + (page_id % 4) / 100.0::double as display from pages)
+        with p as (select page_id, length({VISIBLE})::double as native, length(html)::double as adapter, page_id % 7 as blocks, (page_id % 10) / 10.0::double as raster, 0.69::double + (page_id % 4) / 100.0::double as display from pages)
         select page_id, array_to_string(list_filter([case when blocks = 0 then 'no_blocks' end, case when native < 1000 then 'sparse_native_text' end,
                case when native > 0 and native < 1000 and adapter >= 2 * native then 'adapter_text_exceeds_native' end, case when raster >= 0.5 then 'large_raster' end,
                case when least(abs(0.7::double - display), abs(0.7::double - 1 / display)) > 0.02 then 'page_ratio' end], lambda x: x is not null), ',') as reasons from p""",
@@ -198,7 +200,7 @@ ORACLES: dict[str, str] = {
     "link_extract": """
         with h as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages)
         select page_id, count(*) as links, count(distinct href) as distinct_links, min(href) as first_href from h group by page_id""",
-    "html_text": f"with t as (select page_id, {_VISIBLE} as t from pages) select page_id, length(t)::bigint as chars, ((length(t) - length(replace(t, 'the', ''))) // 3)::bigint as the_count, md5(t) as digest from t",
+    "html_text": f"with t as (select page_id, {VISIBLE} as t from pages) select page_id, length(t)::bigint as chars, ((length(t) - length(replace(t, 'the', ''))) // 3)::bigint as the_count, md5(t) as digest from t",
     "word_counts": f"""
         select doc_id, len(regexp_extract_all(regexp_replace(text, '[\\pL\\pN_]*[^\\x00-\\x7F][\\pL\\pN_]*', '1', 'g'), '\\b[A-Za-z]{{2,}}\\b'))::bigint as words, regexp_matches(text, '[㐀-䶿一-鿿豈-﫿]') as cjk, len({tokens('text')})::bigint as tokens from documents""",
     "heading_level": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import re
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import geometry as geo
 from quillstack.functions import text as tx
-from quillstack.operators import classify, gates, inventory, joins, protect, rendering, sequences
+from quillstack.operators import classify, evidence, gates, inventory, joins, protect, rendering, review, sequences
 from quillstack.sources import content_list, sinks
 from quillstack.sources import strict_json as sj
 from quillstack.streaming import responses as stream
@@ -190,14 +191,59 @@ def test_visuals_and_glossary(spark):
     assert made[0] == made[1] and made[0].source_digest != made[2].source_digest and made[0].terms == [] and made[3].source_blocks == 0
 
 
+def test_no_hash_fails_closed(spark):
+    """A missing hash proves nothing: the answer, pin, block or file counts as changed."""
+    asked = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None)], "id string, sha string")
+    answers = spark.createDataFrame([("a", None), ("b", "1"), ("c", None), ("d", "1")], "id string, sha string")
+    assert {r.id: r.status for r in joins.responses(asked, answers, "id", "sha").collect()} == {"a": "stale", "b": "answered", "c": "stale", "d": "unknown"}
+    lineage = spark.createDataFrame([(1, "x", None), (1, "y", "1"), (1, "z", "1")], "work int, artifact string, sha256 string")
+    there = spark.createDataFrame([(1, "x", "1"), (1, "y", "1"), (1, "z", "2")], "work int, artifact string, sha256 string")
+    assert {(r.artifact, r.problem) for r in review.stale(lineage, there).collect()} == {("x", "unpinned"), ("z", "changed")}
+    blocks = spark.createDataFrame([("a", 1, "t", None, ["l"]), ("b", 1, None, SHA["a"], ["l"]), ("c", 1, "a", hashlib.sha256(b"a").hexdigest(), ["l"])], "id string, page int, source string, source_sha256 string, links array<string>")
+    one_page = spark.createDataFrame([(1, 1, 1)], "page int, first_page int, last_page int")
+    found = gates.source_gate(blocks, spark.createDataFrame([("l",)], "id string"), spark.createDataFrame([], "id string, anchor_id string"), one_page.select("page"), one_page.drop("page"))
+    assert {(r.check, r.subject) for r in found.collect()} == {("block_hash", "a"), ("block_hash", "b")}
+    frozen = spark.createDataFrame([(1, "p", None, None), (1, "q", 1, "s")], "document int, path string, size int, sha256 string")
+    files = spark.createDataFrame([(1, "p", 1, "s"), (1, "q", 1, "s")], "document int, path string, size int, sha256 string")
+    assert {(r.check, r.subject) for r in evidence.frozen_faults(frozen, files).collect()} == {("file_size", "p"), ("file_hash", "p")}
+
+
+def test_substantive_text(spark):
+    rows = [(1, 1, "a  b", "prose"), (1, 1, "skip", "artifact"), (1, 1, "skip", "image"), (1, 1, "<table><td>x &amp;lt; y&nbsp;</td></table>", "table"), (1, 1, "<b>", None)]
+    blocks = spark.createDataFrame(rows, "document int, page int, t string, kind string")
+    pages = spark.createDataFrame([(1, 1), (1, 2)], "document int, page int")
+    assert sorted(map(tuple, evidence.text_lengths(blocks, pages, "t", "kind").collect())) == [(1, 1, len("a b x &lt; y <b>")), (1, 2, 0)]
+    assert one(spark, tx.strip_markup(F.col("t")), t="<p>a&nbsp;&amp;&quot;b&#39; &amp;amp;</p>") == "a &\"b' &amp;"
+
+
+@pytest.mark.parametrize(
+    ("wrapped", "whole"),
+    [
+        ("see https://a.b/\nc/ d e", "see https://a.b/c/d e"),
+        ("https://a.b/\n c-\nd_ \ne.\n\nNext", "https://a.b/c-d_e.\n\nNext"),
+        ("https:// foo", "https:// foo"),
+        ("https://a.b/ Upper", "https://a.b/ Upper"),
+        ("two https://a.b/\nx and http://c.d/-\ny", "two https://a.b/x and http://c.d/-y"),
+        ("well-\nknown A-\nB", "well-known A- B"),
+        ("so\u00adft\n \n\n  \t\nend \n", "soft\n\nend"),
+        ("a\n\n\x0b\n\nb", "a\n\nb"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_repaired_lines(spark, wrapped, whole):
+    assert spark.createDataFrame([(wrapped,)], "t string").select(tx.repair_linebreaks(F.col("t")).alias("x")).first().x == whole
+
+
 def test_uris_and_groups_on_pages(spark):
-    text = spark.createDataFrame([("see <https://a.b/c?x=1> and (https://d.e/f).",)], "md string")
-    uris = spark.createDataFrame([("https://a.b/c",), ("https://a.b/c?x=1",), ("https://d.e/f",), ("https://g.h",)], "uri string")
+    text = spark.createDataFrame([(1, "see <https://a.b/c?x=1> and (https://d.e/f)."), (1, "https://x.org/a_(b) too"), (2, "https://g.h")], "document int, md string")
+    uris = spark.createDataFrame([(1, u) for u in ("https://a.b/c", "https://a.b/c?x=1", "https://d.e/f", "https://g.h", "https://x.org/a_(b)")], "document int, uri string")
+    # an address of another document doesn't count, one with brackets does
     assert [r.uri for r in gates.missing_uris(uris, text).collect()] == ["https://g.h"]
-    pages = spark.createDataFrame([(1, "A longer text on a page of its own", 0.5, 595.28, 841.89), (2, "x", 0.0, 595.28, 800.0)], "page int, text string, ink double, width double, height double")
-    groups = spark.createDataFrame([("a", "text on a page"), ("b", "x"), ("c", "text on no page"), ("d", "zz")], "group_id string, text string")
-    found = {(r.check, r.subject) for r in gates.render_gate(pages, groups).collect()}
-    assert found == {("blank_page", "2"), ("page_size", "2"), ("group_present", "c"), ("group_present", "d")}
+    pages = spark.createDataFrame([(1, 1, "A longer text on a page of its own", 0.5, 595.28, 841.89), (1, 2, "x", 0.0, 595.28, 800.0), (2, 1, "zz and text on no page", 0.1, None, None)], "document int, page int, text string, ink double, width double, height double")
+    groups = spark.createDataFrame([(1, "a", "text on a page"), (1, "b", "x"), (1, "c", "text on no page"), (1, "d", "zz"), (1, "e", None)], "document int, group_id string, text string")
+    found = {(r.document, r.check, r.subject) for r in gates.render_gate(pages, groups).collect()}
+    assert found == {(1, "blank_page", "2"), (1, "page_size", "2"), (2, "page_size", "1"), *((1, "group_present", g) for g in "cde")}
 
 
 def test_islands_and_folds(spark):
@@ -248,16 +294,22 @@ def test_translation_gate(spark, answers, checks):
 
 
 def test_output_and_render_gates(spark):
-    blocks = spark.createDataFrame([("b1", SHA["a"], "segment"), ("b2", SHA["b"], "segment")], "id string, source_sha256 string, mode string")
+    blocks = spark.createDataFrame([(1, "b1", SHA["a"], "segment"), (1, "b2", SHA["b"], "segment")], "document int, id string, source_sha256 string, mode string")
     mark = lambda i, s: f"<!-- bilingual:segment id={i} source_sha256={s} -->"
     pins = spark.createDataFrame([("x", "1")], "artifact string, sha256 string")
-    uris = spark.createDataFrame([("http://u",)], "uri string")
+    uris = spark.createDataFrame([(1, "http://u")], "document int, uri string")
     good = mark("b1", SHA["a"]) + mark("b2", SHA["b"]) + "http://u"
-    for md, art, checks in ((good, "1", set()), (mark("b1", SHA["a"]) * 2 + "http://u", "1", {"markers", "marker_once"}), (mark("b1", SHA["c"]) + mark("b2", SHA["b"]), "2", {"marker_content", "pins", "uris"})):
-        found = gates.output_gate(blocks, spark.createDataFrame([(md,)], "md string"), spark.createDataFrame([("x", art)], "artifact string, sha256 string"), pins, uris)
+    for md, art, checks in ((good, "1", set()), (mark("b1", SHA["a"]) * 2 + "http://u", "1", {"markers", "marker_once"}), (mark("b1", SHA["c"]) + mark("b2", SHA["b"]) + "⟦K007⟧", "2", {"marker_content", "pins", "uris", "placeholder_left"})):
+        found = gates.output_gate(blocks, spark.createDataFrame([(1, md)], "document int, md string"), spark.createDataFrame([("x", art)], "artifact string, sha256 string"), pins, uris)
         assert {r.check for r in found.collect()} == checks
-    pages = spark.createDataFrame([(1, "full of text here", 0.1, 595.28, 841.89), (2, "", 0.001, 595.0, 900.0)], "page int, text string, ink double, width double, height double")
-    groups = spark.createDataFrame([("g1", "full of"), ("g2", "gone")], "group_id string, text string")
+    elsewhere = gates.output_gate(blocks, spark.createDataFrame([(1, mark("b1", SHA["a"])), (2, mark("b2", SHA["b"]) + "http://u")], "document int, md string"), spark.createDataFrame([("x", "1")], "artifact string, sha256 string"), pins, uris)
+    assert {(r.document, r.check, r.subject) for r in elsewhere.collect()} == {(1, "markers", "b2"), (2, "markers", "b2"), (1, "uris", "http://u")}
+    unhashed = blocks.withColumn("source_sha256", F.lit(None).cast("string"))
+    assert gates.output_gate(unhashed, spark.createDataFrame([(1, good)], "document int, md string"), pins, pins, uris).where("check = 'marker_content'").count() == 2
+    status = gates.document_status(elsewhere, spark.createDataFrame([(1,), (2,), (3,)], "document int"))
+    assert {r.document: (r.failures, r.status) for r in status.collect()} == {1: (2, "failed"), 2: (1, "failed"), 3: (0, "passed")}
+    pages = spark.createDataFrame([(1, 1, "full of text here", 0.1, 595.28, 841.89), (1, 2, "", 0.001, 595.0, 900.0)], "document int, page int, text string, ink double, width double, height double")
+    groups = spark.createDataFrame([(1, "g1", "full of"), (1, "g2", "gone")], "document int, group_id string, text string")
     assert {(r.check, r.subject) for r in gates.render_gate(pages, groups).collect()} == {("blank_page", "2"), ("page_size", "2"), ("group_present", "g2")}
     assert {r.gate: r.status for r in gates.gate_status(gates.render_gate(pages, groups), ["render", "other"]).collect()} == {"render": "failed", "other": "passed"}
 
