@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_key
+from ..functions.text import let, token_key
 
 #: Adapter roles that count as generic, and auxiliary role aliases.
 GENERIC = ["heading", "paragraph"]
 AUXILIARY = {"header": "page-header", "footer": "page-footer", "page-number": "page-number", "aside-text": "marginalia"}
+#: The patterns of block kinds, in the order in which `block_kind` tries them.
 CALLOUTS = "Problem|Example|Low-Resource Tip"
+PAGE_NUMBER = r"^\d+$"
+SYMBOLS, LONG_WORDS, EQUATION_NUMBER = "[=∑√∫∏≤≥≠≈→←⊤⊥⋅×⊙]", r"(?U)\b[A-Za-z]{3,}\b", r"\(\d+\)\s*$"
+WHERE, CAPTION, CALLOUT = r"(?iu)^where\b", r"(?iu)^(Figure|Table|Algorithm)\s+\d+\s*:", rf"(?iu)^({CALLOUTS})\s*[(:]"
+NUMBERED_TITLE, LIST_ITEM = r"^\d+(?:\.\d+)*\s+\S", r"(?iu)^(?:[•*-]|\d+[.)]|\([a-z]\))\s+"
 
 
 def selector_predicate(selector: dict) -> tuple[Column, list[str]]:
@@ -52,8 +57,9 @@ def classify(blocks: DataFrame, roles: list[dict]) -> DataFrame:
             ranked.append(F.when(matched, best))
     if not ranked:
         return blocks.select("*", F.lit(None).cast("string").alias("role"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("int").alias("selector"))
-    won = F.array_max(F.array(*ranked))
-    return blocks.withColumn("_w", won).select("*", F.col("_w.role").alias("role"), F.col("_w.tier").alias("tier"), (-F.col("_w.s")).alias("selector")).drop("_w")
+    won = let(F.array_max(F.array(*ranked)), lambda w: F.struct(w["role"].alias("role"), w["tier"].alias("tier"), (-w["s"]).alias("selector")))
+    # a generator of one row: filters on the winner can't copy the predicates of the profile into what reads this
+    return blocks.select("*", F.inline(F.array(won)))
 
 
 def auxiliary_role(adapter_role: Column) -> Column:
@@ -64,21 +70,21 @@ def auxiliary_role(adapter_role: Column) -> Column:
 def block_kind(text: Column, mono: Column, math: Column, bold: Column, font: Column, lines: Column, repeated: Column, near_top: Column, near_bottom: Column) -> Column:
     """The ordered decision list of block kinds over normalised text and its statistics."""
     n = F.length(text)
-    symbols = F.regexp_count(text, F.lit("[=∑√∫∏≤≥≠≈→←⊤⊥⋅×⊙]"))
-    words = F.regexp_count(text, F.lit(r"(?U)\b[A-Za-z]{3,}\b"))
-    formula = (symbols >= 1) & ((lines >= 2) | text.rlike(r"\(\d+\)\s*$")) & (words <= 4)
+    symbols = F.regexp_count(text, F.lit(SYMBOLS))
+    words = F.regexp_count(text, F.lit(LONG_WORDS))
+    formula = (symbols >= 1) & ((lines >= 2) | text.rlike(EQUATION_NUMBER)) & (words <= 4)
     mathy = ((math >= 0.55) | formula) & (n <= 500)
     return (
         F.when(text == "", "empty")
-        .when(near_bottom & text.rlike(r"^\d+$"), "artifact")
+        .when(near_bottom & text.rlike(PAGE_NUMBER), "artifact")
         .when((near_top | near_bottom) & repeated, "artifact")
         .when(mono >= 0.80, "code")
-        .when(mathy & text.rlike(r"(?iu)^where\b"), "math_with_text")
+        .when(mathy & text.rlike(WHERE), "math_with_text")
         .when(mathy, "math")
-        .when(text.rlike(r"(?iu)^(Figure|Table|Algorithm)\s+\d+\s*:"), "caption")
-        .when(text.rlike(rf"(?iu)^({CALLOUTS})\s*[(:]"), "callout")
-        .when((n <= 220) & (text.rlike(r"^\d+(?:\.\d+)*\s+\S") | (font >= 14) | (bold >= 0.72)), "heading")
-        .when(text.rlike(r"(?iu)^(?:[•*-]|\d+[.)]|\([a-z]\))\s+"), "list")
+        .when(text.rlike(CAPTION), "caption")
+        .when(text.rlike(CALLOUT), "callout")
+        .when((n <= 220) & (text.rlike(NUMBERED_TITLE) | (font >= 14) | (bold >= 0.72)), "heading")
+        .when(text.rlike(LIST_ITEM), "list")
         .otherwise("prose")
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .classify import auxiliary_role, classify
 
 #: Levels of group membership.
@@ -73,6 +74,17 @@ def groups_of(nodes: DataFrame) -> DataFrame:
     )
 
 
+def model_of(blocks: DataFrame, roles: list[dict], auxiliary: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes and groups of the documents, each computed once and written; texts are left to the blocks.
+
+    What is asked of a model joins nodes and groups again and again, so they are tables and no plan
+    carries the profile's patterns more than once.
+    """
+    nodes = nodes_of(blocks, roles, auxiliary)
+    nodes = written(nodes.drop("source"), "nodes")
+    return nodes, written(groups_of(nodes), "groups")
+
+
 def members_of(groups: DataFrame) -> DataFrame:
     return groups.select("document", "group_id", "role", "membership", F.posexplode("members").alias("place", "id"))
 

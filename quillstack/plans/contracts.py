@@ -223,15 +223,15 @@ def ir_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ir.nodes_of(blocks(spark, sf_dir), ROLES, AUXILIARY).select("document", "id", "role", "style", "output", "method")
 
 
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ir.groups_of(ir.nodes_of(blocks(spark, sf_dir), ROLES, AUXILIARY))
+def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return ir.model_of(blocks(spark, sf_dir), ROLES, AUXILIARY)
 
 
 @checked(f"""with {_GROUPS} select document, group_id, role, anchor, case when whole then 'complete' else 'anchor-only' end as membership, case when whole then anchor || ',' || (anchor + 1) else anchor::varchar end as members,
     case when whole and next_page <> page then page || ',' || next_page else page::varchar end as pages from g""")
 def ir_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return groups(spark, sf_dir).select("document", "group_id", "role", "anchor", "membership", listed("members"), listed("pages"))
+    return model(spark, sf_dir)[1].select("document", "group_id", "role", "anchor", "membership", listed("members"), listed("pages"))
 
 
 @checked(f"""with {_GROUPS}, x(role, minimum, maximum) as (values ('german-note', 1, null::int), ('main-source', 0, 3), ('numbered', 0, null), ('english', 2, 8), ('nobody', 1, null)),
@@ -242,21 +242,21 @@ def ir_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from d cross join x left join c on c.document = d.document and c.role = x.role left join m on m.document = d.document and m.role = x.role""")
 def ir_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = spark.createDataFrame([("german-note", 1, None), ("main-source", 0, 3), ("numbered", 0, None), ("english", 2, 8), ("nobody", 1, None)], "role string, minimum int, maximum int")
-    return ir.inventory_of(groups(spark, sf_dir), bounds).select("document", "role", "occurrence_count", "node_count", "none", "anchor_only", "complete", F.array_join("occurrence_ids", " ").alias("occurrences"), "within_bounds")
+    return ir.inventory_of(model(spark, sf_dir)[1], bounds).select("document", "role", "occurrence_count", "node_count", "none", "anchor_only", "complete", F.array_join("occurrence_ids", " ").alias("occurrences"), "within_bounds")
 
 
 @checked(f"with {_GROUPS} select n.document, n.id, coalesce(string_agg(distinct e.group_id, ' ' order by e.group_id), '') as groups from n left join e on e.document = n.document and e.id = n.id group by all")
 def node_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = ir.nodes_of(blocks(spark, sf_dir), ROLES, AUXILIARY)
-    return ir.groups_of_nodes(nodes.select("document", "id"), ir.groups_of(nodes)).select("document", "id", F.array_join("groups", " ").alias("groups"))
+    nodes, groups = model(spark, sf_dir)
+    return ir.groups_of_nodes(nodes.select("document", "id"), groups).select("document", "id", F.array_join("groups", " ").alias("groups"))
 
 
 @checked(f"""with {_GROUPS}, f as (select 'unknown member' as fault from g where anchor % 20 = 1 union all select 'repeated member' from g where anchor % 20 = 2 union all select 'repeated group' from g where anchor % 20 = 3
     union all select 'anchor outside' from g where anchor % 20 = 4 union all select 'anchor of another role' from g where anchor % 20 = 5) select fault, count(*) as n from f group by fault""")
 def group_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with one fault planted by the remainder of the anchor."""
-    nodes = ir.nodes_of(blocks(spark, sf_dir), ROLES, AUXILIARY)
-    a, found = F.col("anchor") % 20, ir.groups_of(nodes)
+    nodes, found = model(spark, sf_dir)
+    a = F.col("anchor") % 20
     broken = found.withColumn("members", F.when(a == 1, F.array("anchor", -F.col("anchor"))).when(a == 2, F.array("anchor", "anchor")).when(a == 4, F.array(F.floor(F.col("anchor") / 10) * 10)).otherwise(F.col("members")))
     broken = broken.withColumn("role", F.when(a == 5, "someone").otherwise(F.col("role"))).unionByName(found.where(F.col("anchor") % 20 == 3))
     return inventory.counts(ir.group_faults(nodes, broken), "fault")
@@ -265,7 +265,7 @@ def group_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @checked(f"""with {_NODES}, s as (select id, role, output from n where id % 30 <> 4 union all select id, role, case when id % 30 = 4 then 'old' else output end from n where id % 30 = 4 union all select -1, null, 'bilingual'),
     d as (select 'gone' as side, * from (select * from s except all select id, role, output from n) union all select 'new', * from (select id, role, output from n except all select * from s)) select side, id, role, output from d""")
 def ir_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = ir.nodes_of(blocks(spark, sf_dir), ROLES, AUXILIARY).select("id", "role", "output")
+    now = model(spark, sf_dir)[0].select("id", "role", "output")
     stored = now.withColumn("output", F.when(F.col("id") % 30 == 4, "old").otherwise(F.col("output"))).unionByName(spark.createDataFrame([(-1, None, "bilingual")], "id bigint, role string, output string"))
     return ir.changed(stored, now)
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import runs as rn
+from ..functions import text as tx
+from ..operators import docx_gate as dx
+from ..operators import gates, glossary, lineage
 from ..operators import syntax_tree as tree
+from ..sources import adapters
+from ..sources.scratch import shared_folder
 from .queries import read
 
 ORACLES: dict[str, str] = {}
@@ -156,3 +163,157 @@ def ast_segment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ast_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = tree.with_groups(segment_trees(spark, sf_dir), segment_groups(spark, sf_dir))
     return tree.shown_tree(rows)
+
+
+# -- lineage -----------------------------------------------------------------------------------------
+
+
+def turn_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as artifacts, each built from the turn before and from the last one of its role.
+
+    A pin is the hash of the text with blanks for line ends: a source of several lines has changed since.
+    A turn that starts with E was read without a hash.
+    """
+    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work"), F.col("turn").alias("artifact"), "role", "text")
+    by_turn = Window.partitionBy("work").orderBy("artifact")
+    by_role = Window.partitionBy("work", "role").orderBy("artifact")
+    t = t.withColumn("_before", F.lag("artifact").over(by_turn)).withColumn("_same", F.lag("artifact").over(by_role))
+    edges = t.select("work", "artifact", F.explode(F.array_distinct(F.array_compact(F.array("_before", "_same")))).alias("source"))
+    pin = F.when(F.col("text").startswith("E"), F.lit(None)).otherwise(tx.sha256_text(F.replace("text", F.lit("\n"), F.lit(" "))))
+    pins = t.select("work", F.col("artifact").alias("source"), pin.alias("sha256"))
+    return edges.join(pins, ["work", "source"]), t.select("work", "artifact", tx.sha256_text(F.col("text")).alias("sha256"))
+
+
+_EDGES = """t as (select conv_id as work, turn as artifact, role, text, lag(turn) over (partition by conv_id order by turn) as b, lag(turn) over (partition by conv_id, role order by turn) as s from conversations),
+    e as (select work, artifact, b as source from t where b is not null union select work, artifact, s from t where s is not null),
+    u as (select e.* from e join t on t.work = e.work and t.artifact = e.source where starts_with(text, 'E') or contains(text, chr(10)))"""
+
+
+@checked(f"""with recursive {_EDGES}, r as (select work, artifact, source from e union select r.work, r.artifact, e.source from r join e on e.work = r.work and e.artifact = r.source),
+    f as (select work, artifact, 'own' as p, artifact || '.' || source as edge from u union select r.work, r.artifact, 'inherited', u.artifact || '.' || u.source from r join u on u.work = r.work and u.artifact = r.source)
+    select work, artifact, max(p) as problem, count(distinct edge) as sources from f group by all""")
+def lineage_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.stale_closure(*turn_graph(spark, sf_dir))
+
+
+_STAGES = ["user", "system", "assistant"]
+
+
+@checked(f"""with recursive {_EDGES}, r as (select work, artifact, source from e union select r.work, r.artifact, e.source from r join e on e.work = r.work and e.artifact = r.source),
+    o as (select distinct work, artifact from u union select r.work, r.artifact from r join u on u.work = r.work and u.artifact = r.source),
+    g as (select t.work, t.role as gate, max(t.artifact) as artifact from t group by all),
+    x as (select g.work, g.gate, case when o.work is not null then 'stale' when contains(text, '?') then 'manual_review_required' else 'passed' end as status from g join t on t.work = g.work and t.artifact = g.artifact left join o on o.work = g.work and o.artifact = g.artifact),
+    y as (select w.work, k, case k when 1 then 'user' when 2 then 'system' else 'assistant' end as gate from (select distinct work from x) w, (values (1), (2), (3)) s(k)),
+    z as (select y.work, y.k, y.gate, coalesce(x.status, 'pending') as status from y left join x on x.work = y.work and x.gate = y.gate),
+    f as (select w.work, (select min_by(struct_pack(g := z.gate, s := z.status), z.k) from z where z.work = w.work and z.status <> 'passed') as f from (select distinct work from z) w)
+    select work, f.g as stage, case when f is null then 'complete' when f.s = 'manual_review_required' then 'review ' || f.g else 'run ' || f.g end as action from f""")
+def lineage_next_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last turn of each role as the report of a stage: stale by lineage, to be reviewed if it holds a question, else passed."""
+    edges, artifacts = turn_graph(spark, sf_dir)
+    t = read(spark, sf_dir, "conversations")
+    last = t.groupBy(F.col("conv_id").alias("work"), F.col("role").alias("gate")).agg(F.max("turn").alias("artifact"), F.max_by("text", "turn").alias("text"))
+    statuses = last.select("work", "gate", F.when(F.contains("text", F.lit("?")), "manual_review_required").otherwise("passed").alias("status"))
+    stale = lineage.stale_closure(edges, artifacts).join(last, ["work", "artifact"]).select("work", F.col("gate").alias("artifact"))
+    return lineage.next_stage(_STAGES, statuses, stale)
+
+
+# -- glossary ----------------------------------------------------------------------------------------
+
+
+def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the conversations as terms, and words before a full stop with it: tens of thousands, a table."""
+    words = read(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}\.?"), F.lit(0))).alias("source"))
+    words = words.select(F.lower("source").alias("source")).distinct()
+    n = F.length("source")
+    return words.select("source", (n % 3 == 0).alias("case_sensitive"), (n % 2 == 0).alias("enforce"), F.array(F.reverse("source")).alias("targets"))
+
+
+_TERMS = r"""terms as (select distinct lower(w) as term from (select unnest(regexp_extract_all(text, '\pL{4,}\.?')) as w from conversations)),
+    toks as (select distinct doc_id, w from (select doc_id, unnest(regexp_extract_all(text, '[\pL\pN_]+\.?')) as w from documents)),
+    both_ as (select doc_id, w from toks union select doc_id, rtrim(w, '.') from toks),
+    h as (select distinct doc_id, term from both_ join terms on lower(w) = term and (length(term) % 3 <> 0 or w = term))"""
+
+
+@checked(f"""with {_TERMS} select doc_id, count(*) as terms, count(*) filter (length(term) % 2 = 0) as enforced,
+    count(*) filter (length(term) % 2 = 0 and not contains(text, reverse(term))) as violations, min(term) as first_term from h join documents using (doc_id) group by doc_id""")
+def glossary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a table found in every document, and enforced ones whose target (the term backwards) isn't there."""
+    hits = glossary.table_hits(read(spark, sf_dir, "documents"), glossary_terms(spark, sf_dir), "doc_id", "text")
+    missing = ~F.exists("targets", lambda t: F.contains(F.col("text"), t))
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.count_if("enforce").alias("enforced"), F.count_if(F.col("enforce") & missing).alias("violations"), F.min("term").alias("first_term"))
+
+
+# -- adapters ----------------------------------------------------------------------------------------
+
+
+@checked("""with d as (select doc_id // 50 as document, text, row_number() over (partition by doc_id // 50 order by doc_id) as page, count(*) over (partition by doc_id // 50) as pages from documents)
+    select document::varchar as document, page::int as page, length(text) as chars, sha256(text) as sha256 from d where not (page = pages and trim(text) = '')""")
+def adapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents to a file, a form feed between two; written as one commit and read back by the adapter."""
+    d = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("f"), "doc_id", "text")
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"])
+    files = d.groupBy("f").agg(F.array_join(pages, "\f").alias("t")).select(F.concat(F.col("f").cast("string"), F.lit(".txt")).alias("path"), F.col("t").cast("binary").alias("content"))
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    adapters.write_files(files, folder)
+    rows = adapters.read_pages(spark, folder, "page-text", "source")
+    return rows.select("document", "page", F.length("source").alias("chars"), tx.sha256_text(F.col("source")).alias("sha256"))
+
+
+# -- the gate on finished files ----------------------------------------------------------------------
+
+#: Colours by the remainder of a segment's number: two framed roles, and one that stays unframed.
+_FRAMED = [("problem", dx.CONTAINER, "D97706"), ("remark", dx.CONTAINER, "2563EB"), ("aside", "flow", None)]
+
+
+def finished(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Segments as finished paragraphs: question, divider and answer; the third of each three stands unframed, without divider."""
+    p = pairs(spark, sf_dir).withColumn("kind", (F.col("n") % 3).cast("int"))
+    colour = F.when(F.col("kind") == 0, "D97706").when(F.col("kind") == 1, "2563EB").otherwise("")
+    edge = F.when(F.col("kind") == 2, "").otherwise(colour)
+    nothing = F.lit("")
+    line = lambda df, k, text, top, size, bottom: df.select("document", (F.col("n") * 10 + k).alias("place"), text.alias("text"), colour.alias("left"), colour.alias("right"), top.alias("top"), size.alias("top_size"), bottom.alias("bottom"), F.lit("120").alias("indent_left"), F.lit("120").alias("indent_right"))
+    ask, answer = F.get("u", F.lit(0)), F.concat(F.lit("漢 "), F.get("v", F.lit(0)))
+    two = p.where("size(v) > 0")
+    paragraphs = line(p, 0, ask, edge, F.lit("12"), nothing).unionByName(line(p.where("kind < 2"), 1, nothing, colour, F.lit("8"), nothing)).unionByName(line(two, 2, answer, nothing, nothing, edge))
+    role = F.element_at(F.array(*[F.lit(r[0]) for r in _FRAMED]), F.col("kind") + 1)
+    nodes = p.select("document", F.col("node").alias("id"), role.alias("role"), F.when(F.col("kind") == 2, "source-only").otherwise("bilingual").alias("output"), F.lit("paragraph").alias("type"), ask.alias("source"))
+    groups = p.select("document", F.col("node").alias("group_id"), role.alias("role"), F.when(F.col("kind") == 0, "complete").otherwise("anchor-only").alias("membership"), F.col("node").alias("anchor"), F.array("node").alias("members"))
+    body = paragraphs.groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    bodies = body.select("document", "text", F.array(F.lit("http://a")).alias("links"), (F.col("document") % 5).cast("int").alias("images"), F.lit(0).alias("tables"))
+    builds = body.select("document", F.when(F.col("document") % 4 == 0, F.array(F.lit("http://b"))).otherwise(F.array(F.lit("http://a"))).alias("links"), F.lit(1).alias("assets"), F.lit(0).alias("tables"))
+    expected = groups.groupBy("document", "role").agg(F.count(F.lit(1)).alias("count")).withColumn("count", F.when(F.col("document") % 9 == 0, F.col("count") + 1).otherwise(F.col("count")))
+    roles = spark.createDataFrame(_FRAMED, "role string, grouping string, colour string")
+    return {"paragraphs": paragraphs, "nodes": nodes, "groups": groups, "roles": roles, "bodies": bodies, "builds": builds, "expected": expected}
+
+
+_FILES = f"""{_ASKED}, p as (select *, row_number() over (partition by document order by turn) - 1 as n from a where role = 'user' and len(u) > 0),
+    g as (select document, n, n % 3 as kind, 's-' || document || '-' || n as node, u[1] as source, '漢 ' || v[1] as answer, len(v) > 0 as answered, ['problem', 'remark', 'aside'][n % 3 + 1] as role from p),
+    -- frames: neighbours of different colours, or with an unframed segment between them; a frame without an answer has no lower edge but stands alone too
+    r as (select document, n, kind, source || case when answered then ' ' || answer else '' end as text, source as before, answered from g where kind < 2),
+    m as (select g.document, g.n, count(r.n) as frames, min(r.n) as frame from g left join r on r.document = g.document and contains(r.text, g.source) group by all),
+    h as (select g.*, frames, frame, frames = 1 and g.kind < 2 and r.answered and r.kind = g.kind and case when g.kind = 0 then contains(r.before, g.source) else r.before = g.source end as valid
+          from g join m on m.document = g.document and m.n = g.n left join r on r.document = g.document and r.n = m.frame),
+    body as (select document, string_agg(source || case when kind < 2 then ' ' else '' end || case when answered then ' ' || answer else '' end, ' ' order by n) as b, count(*) filter (answered) as n from g group by document),
+    t as (select document, regexp_replace(b, ' +', ' ', 'g') as b, n from body),
+    o as (select g.document, g.node, (length(b) - length(replace(b, source, ''))) / length(source) as times from g join t on t.document = g.document where g.kind = 2),
+    f as (select document, 'role_inventory' as c, role as s from g where document % 9 = 0 group by all
+        union all select document, 'source_only_once', node from o where times <> 1
+        union all select document, 'complete_container', node from h where kind = 0 and not coalesce(valid, false)
+        union all select document, 'scoped_anchor', node from h where kind = 1 and not coalesce(valid, false)
+        union all select r.document, 'frame_unaccounted', (r.n * 10)::varchar from r left join (select document, frame, count(*) as k from h where valid group by all) x on x.document = r.document and x.frame = r.n where k is null or k > 1
+        union all select document, 'boxed', node from h where kind = 2 and frames > 0
+        union all select document, 'target_language', document::varchar from t where n = 0
+        union all select document, 'links', document::varchar from t where document % 4 = 0
+        union all select document, 'pictures', document::varchar from t where document % 5 = 0)"""
+
+
+@checked(f"""with {_FILES} select document, c as "check", s as subject from f""")
+def docx_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dx.docx_gate(**finished(spark, sf_dir)).select("document", "check", "subject")
+
+
+@checked(f"""with {_FILES} select t.document, (select count(*) from f where f.document = t.document) as failures, case when t.document in (select document from f) then 'failed' else 'passed' end as status from t""")
+def docx_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One verdict for every finished file."""
+    made = finished(spark, sf_dir)
+    return gates.document_status(dx.docx_gate(**made), made["bodies"])

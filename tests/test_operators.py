@@ -341,14 +341,27 @@ def test_sinks(spark, tmp_path):
 
 
 def test_response_stream(spark, tmp_path):
-    plan = spark.createDataFrame([("r1", "h1"), ("r2", "h2"), ("r3", "h3")], "id string, source_sha256 string")
-    inbox = tmp_path / "in"
+    """Restarts, repeats, late requests and answers without a hash; a batch changes only the ids it holds."""
+    asked, inbox = tmp_path / "asked", tmp_path / "in"
+    asked.mkdir()
     inbox.mkdir()
-    (inbox / "1.json").write_text('{"id":"r1","source_sha256":"h1","translation":"x"}\n{"id":"r2","source_sha256":"old","translation":"y"}\n')
-    args = (plan, str(tmp_path / "ok"), str(tmp_path / "rep"), str(tmp_path / "cp"))
-    stream.audit_stream(stream.answers_from(spark, str(inbox)), *args).awaitTermination()
-    (inbox / "2.json").write_text('{"id":"r1","source_sha256":"h1","translation":"again"}\n{"id":"zz","source_sha256":"h","translation":"?"}\n')
-    stream.audit_stream(stream.answers_from(spark, str(inbox)), *args).awaitTermination()
-    report = spark.read.parquet(str(tmp_path / "rep"))
-    last = report.where(F.col("batch") == report.agg(F.max("batch")).first()[0])
-    assert {r.id: r.status for r in last.collect()} == {"r1": "repeated", "r2": "stale", "r3": "pending", "zz": "unknown"}
+    put = lambda folder, name, *rows: (folder / name).write_text("".join(json.dumps(dict(zip(("id", "source_sha256", "translation"), r, strict=False))) + "\n" for r in rows))
+    report, checkpoint = str(tmp_path / "rep"), str(tmp_path / "cp")
+
+    def again():
+        stream.audit_stream(stream.requests_from(spark, str(asked)), stream.answers_from(spark, str(inbox)), report, checkpoint).awaitTermination()
+        rows = spark.read.parquet(report)
+        return {r.id: r.status for r in stream.statuses(rows).collect()}, rows.count()
+
+    put(asked, "1.json", ("r1", "h1"), ("r2", "h2"), ("r3", "h3"), ("r4", None))
+    put(inbox, "1.json", ("r1", "h1", "x"), ("r2", "old", "y"), ("r4", None, "z"), (None, "h", "?"))
+    first, n = again()
+    assert first == {"r1": "answered", "r2": "stale", "r3": "pending", "r4": "stale"} and n == 4
+    assert again() == (first, n)
+    put(inbox, "2.json", ("r1", "h1", "again"), ("zz", "h9", "early"))
+    second, n = again()
+    assert second == first | {"r1": "repeated", "zz": "early"} and n == 6
+    put(asked, "2.json", ("zz", "h9"))
+    put(inbox, "3.json", ("r3", "h3", "late"))
+    third, n = again()
+    assert third == second | {"zz": "answered", "r3": "answered"} and n == 8

@@ -133,31 +133,32 @@ GROUPS = "document int, group_id string, role string, style string, membership s
 GROUP = (1, "g", "remark", "quote", "complete", "a", ["a", "b"])
 
 
-@pytest.mark.parametrize(
-    ("segments", "groups", "checks"),
-    [
-        ([("a",), ("b",), ("c",)], [GROUP], set()),
-        ([("a",), ("b", False, 0)], [GROUP], set()),
-        ([("a", False, 0), ("b",)], [(*GROUP[:6], ["b", "a"])], set()),
-        ([("a",), ("b",)], [(*GROUP[:6], ["b", "a"])], {"member_order"}),
-        ([("a",), ("x",), ("b",)], [GROUP], {"members_not_contiguous"}),
-        ([("a",)], [GROUP], {"member_absent"}),
-        ([("a",), ("b",), ("a",)], [GROUP], {"marker_repeated", "member_order"}),
-        ([("a",), ("b",)], [GROUP, (*GROUP[:1], "h", *GROUP[2:6], ["b"])], {"node_shared"}),
-        ([("a", True, 0), ("b", True, 0)], [GROUP], {"not_bilingual"}),
-        ([("a", False, 1), ("b",)], [GROUP], {"member_content"}),
-        ([("a", True, 2), ("b",)], [GROUP], {"member_content"}),
-        ([("a",), ("b",)], [(*GROUP[:4], "anchor-only", "a", ["a", "b"])], {"anchor_only_members", "anchor_only_target"}),
-        ([("a",), ("b",)], [(*GROUP[:4], "anchor-only", "a", ["a"])], set()),
-        ([("a", True, 0), ("b",)], [(*GROUP[:4], "anchor-only", "a", ["a"])], {"anchor_only_target", "not_bilingual"}),
-        ([("a",)], [(*GROUP[:6], [])], {"group_invalid"}),
-    ],
-)
-def test_group_faults(spark, segments, groups, checks):
-    rows = [r for n, s in enumerate(segments) for r in segment(1, n, *s)]
-    blocks = spark.createDataFrame(rows, BLOCKS)
-    found = tree.segment_faults(tree.segments(blocks), spark.createDataFrame(groups, GROUPS)).collect()
-    assert {r.check for r in found} == checks
+FAULTS = [
+    ([("a",), ("b",), ("c",)], [GROUP], set()),
+    ([("a",), ("b", False, 0)], [GROUP], set()),
+    ([("a", False, 0), ("b",)], [(*GROUP[:6], ["b", "a"])], set()),
+    ([("a",), ("b",)], [(*GROUP[:6], ["b", "a"])], {"member_order"}),
+    ([("a",), ("x",), ("b",)], [GROUP], {"members_not_contiguous"}),
+    ([("a",)], [GROUP], {"member_absent"}),
+    ([("a",), ("b",), ("a",)], [GROUP], {"marker_repeated", "member_order"}),
+    ([("a",), ("b",)], [GROUP, (*GROUP[:1], "h", *GROUP[2:6], ["b"])], {"node_shared"}),
+    ([("a", True, 0), ("b", True, 0)], [GROUP], {"not_bilingual"}),
+    ([("a", False, 1), ("b",)], [GROUP], {"member_content"}),
+    ([("a", True, 2), ("b",)], [GROUP], {"member_content"}),
+    ([("a",), ("b",)], [(*GROUP[:4], "anchor-only", "a", ["a", "b"])], {"anchor_only_members", "anchor_only_target"}),
+    ([("a",), ("b",)], [(*GROUP[:4], "anchor-only", "a", ["a"])], set()),
+    ([("a", True, 0), ("b",)], [(*GROUP[:4], "anchor-only", "a", ["a"])], {"anchor_only_target", "not_bilingual"}),
+    ([("a",)], [(*GROUP[:6], [])], {"group_invalid"}),
+]
+
+
+def test_group_faults(spark):
+    """One document for each case."""
+    rows = [r for d, (segments, _, _) in enumerate(FAULTS) for n, s in enumerate(segments) for r in segment(d, n, *s)]
+    groups = [(d, *g[1:]) for d, (_, listed, _) in enumerate(FAULTS) for g in listed]
+    found = tree.segment_faults(tree.segments(spark.createDataFrame(rows, BLOCKS)), spark.createDataFrame(groups, GROUPS)).collect()
+    for d, (_, _, checks) in enumerate(FAULTS):
+        assert {r.check for r in found if r.document == d} == checks, d
 
 
 def test_groups(spark):
