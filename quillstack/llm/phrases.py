@@ -5,20 +5,22 @@ that reads them. A block is stored vertically: for each word of a language the s
 positions where it stands; places between pieces of text hold no word, so nothing is adjacent across
 them. Level by level, the lists of frequent phrases are merge-joined with the postings of the words
 that follow them, and the length of a list is the exact frequency in its block. Only numbers leave a
-block: (language, phrase, length) rows are summed over all blocks in one shuffle, and the numbers of
-the phrases that are frequent over the whole table go back to the blocks that hold them. A block
-finds the lists of earlier levels again from its postings, so no list of positions is ever shuffled by
-a word, however common the word is.
+block: a phrase is the ids of the shorter phrase and of the word it ends with, and (left, right, length)
+rows are summed over all blocks in one shuffle. A list is known by its block and its first position
+there, and a phrase by the first of all its lists. What is frequent over the whole table goes back to
+the blocks that hold it: first the words, and blocks keep their postings alone, then the phrases of each
+level. So no list is ever shuffled by a word, however common the word is, and no text of a phrase before
+the end.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,11 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 UNKNOWN = "und"
 
 BLOCKS = "block bigint, counted int, langs array<string>, words array<string>, sizes array<int>, counts array<int>, postings binary"
-ROWS = "block bigint, number int, lang string, phrase string, f bigint"
+ROWS = "left bigint, right bigint, at bigint, f bigint"
+KEPT = "block bigint, counted int, ids binary, sizes array<int>, postings binary"
+#: A list is known by its block and its first position there (a word's by its number), in one integer; a
+#: partition has up to 2^16 blocks.
+PLACE_BITS, BLOCK_BITS = 22, 16
 _SEGMENT = 1 << 20
 
 
@@ -101,11 +107,10 @@ class Block:
             sizes = np.bincount(at, minlength=len(self.names))
             order, sizes = order[sizes[0] :], sizes[1:]
             counts = np.bincount(at[:counted], minlength=len(self.names))[1:]
-            packed = pa.compress(np.diff(order, prepend=0).astype("<i4").tobytes(), codec="zstd", asbytes=True)
             langs, words = [lang for lang, _ in self.names[1:]], [w.decode() for _, w in self.names[1:]]
             ints = pa.list_(pa.int32())
             texts = pa.list_(pa.string())
-            columns = [pa.array([block], pa.int64()), pa.array([counted], pa.int32()), pa.array([langs], texts), pa.array([words], texts), pa.array([sizes], ints), pa.array([counts], ints), pa.array([packed], pa.binary())]
+            columns = [pa.array([block], pa.int64()), pa.array([counted], pa.int32()), pa.array([langs], texts), pa.array([words], texts), pa.array([sizes], ints), pa.array([counts], ints), pa.array([packed(order)], pa.binary())]
             row = pa.RecordBatch.from_arrays(columns, names=["block", "counted", "langs", "words", "sizes", "counts", "postings"])
         self.start(carried)
         return row
@@ -115,7 +120,7 @@ def blocks_of(docs: DataFrame, text_col: str, lang_col: str, longest: int, posit
     """BLOCKS: one row a block, of about `positions` positions; only longer single words make it larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, number = Block(longest), TaskContext.get().partitionId() << 32
+        block, number = Block(longest), TaskContext.get().partitionId() << BLOCK_BITS
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 body = (text.as_py() or "").encode().translate(_LOWER)
@@ -144,79 +149,149 @@ def merge_join(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     return same, at[same]
 
 
-class Lists:
-    """The inverted lists of one level of a block: phrases, and (position, phrase) in order of position."""
+def packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Integers as their steps: lists of positions, one behind the other, or ids in order."""
+    return pa.compress(np.diff(values, prepend=0).astype(kind).tobytes(), codec="zstd", asbytes=True)
 
-    def __init__(self, phrases: pa.Array, langs: pa.Array, at: np.ndarray, of: np.ndarray):
-        self.phrases, self.langs, self.at, self.of = phrases, langs, at, of
 
-    def only(self, numbers: np.ndarray) -> Lists:
-        """The lists of these phrases, numbered anew."""
-        numbers = np.unique(numbers)
-        new = np.full(len(self.phrases), -1, "<i4")
-        new[numbers] = np.arange(len(numbers))
-        of = new[self.of]
-        held = of >= 0
-        return Lists(self.phrases.take(pa.array(numbers)), self.langs.take(pa.array(numbers)), self.at[held], of[held])
+def unpacked(body: bytes, n: int, kind: str = "<i4") -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(body, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind), dtype=kind)
 
-    def extended(self, words: Lists, width: int) -> Lists:
-        """Every phrase with the word that follows it `width` places on; what follows its first word must be in these lists too."""
+
+class Lists:
+    """The inverted lists of one level of a block: (position, phrase) in order of position."""
+
+    def __init__(self, at: np.ndarray, of: np.ndarray):
+        self.at, self.of = at, of
+
+    @classmethod
+    def of_words(cls, sizes: np.ndarray, postings: bytes) -> Lists:
+        at = unpacked(postings, int(sizes.sum()))
+        of = np.repeat(np.arange(len(sizes), dtype="<i4"), sizes)
+        order = np.argsort(at)
+        return cls(at[order], of[order])
+
+    def lying_at(self, places: np.ndarray) -> np.ndarray:
+        """The phrases at these positions, which all have one."""
+        return self.of[np.searchsorted(self.at, places)]
+
+    def only(self, phrases: np.ndarray) -> Lists:
+        wanted = np.zeros(int(self.of.max(initial=-1)) + 1, bool)
+        wanted[phrases] = True
+        held = wanted[self.of]
+        return Lists(self.at[held], self.of[held])
+
+    def meeting(self, words: Lists, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a phrase is followed, `width` places on, by a word: indices into both, and a key of the two."""
         here, there = merge_join(self.at + width, words.at)
-        if width > 1:
-            begun, _ = merge_join(self.at[here] + 1, self.at)
-            here, there = here[begun], there[begun]
-        keys, of = np.unique((self.of[here].astype("<i8") << 32) | words.of[there], return_inverse=True)
-        first, last = pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF)
-        phrases = pc.binary_join_element_wise(self.phrases.take(first), words.phrases.take(last), " ")
-        return Lists(phrases, self.langs.take(first), self.at[here], of.astype("<i4"))
-
-
-def words_of(row: dict) -> Lists:
-    gaps = np.frombuffer(pa.decompress(row["postings"], 4 * int(np.sum(row["sizes"])), codec="zstd", asbytes=True), "<i4")
-    at = np.cumsum(gaps, dtype="<i4")
-    of = np.repeat(np.arange(len(row["sizes"]), dtype="<i4"), row["sizes"])
-    order = np.argsort(at)
-    return Lists(row["words"], row["langs"], at[order], of[order])
-
-
-def level_of(blocks: DataFrame, frequent: list[DataFrame], width: int, last: bool) -> DataFrame:
-    """ROWS: the phrases of `width` words that extend the frequent ones, with their frequency in each block."""
-    marks = [f.select("block", "number", F.lit(k).alias("level")) for k, f in enumerate(frequent)]
-    rows = marks[0]
-    for more in marks[1:]:
-        rows = rows.unionByName(more)
-    numbers = [F.collect_list(F.when(F.col("level") == k, F.col("number"))).alias(f"level_{k}") for k in range(len(marks))]
-    known = rows.groupBy("block").agg(*numbers)
+        return here, there, (self.of[here].astype("<i8") << 32) | words.of[there]
+
+    def extended(self, words: Lists, width: int) -> Lists:
+        here, _, keys = self.meeting(words, width)
+        return Lists(self.at[here], np.unique(keys, return_inverse=True)[1].astype("<i4"))
+
+
+def numbers(row: pa.Scalar) -> np.ndarray:
+    return row.values.to_numpy(zero_copy_only=False)
+
+
+def marked(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The blocks with the places and the ids of the frequent lists they hold: at most as many as they have lists.
+
+    One pass fills both arrays, row by row, so they run side by side.
+    """
+    place = (F.col("at") % (1 << PLACE_BITS)).cast("int")
+    known = frequent.groupBy(F.shiftright("at", PLACE_BITS).alias("block")).agg(F.collect_list(place).alias("mark_places"), F.collect_list("id").alias("mark_ids"))
+    return blocks.hint("merge").join(known, "block")
+
+
+def kept_of(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """KEPT: the blocks with the postings of their frequent words alone, and the ids of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, counted, sizes, postings, places, ids in zip(*batch.columns, strict=True):
+                lists = Lists.of_words(numbers(sizes), postings.as_py())
+                places, ids = numbers(places), numbers(ids)
+                order = np.argsort(ids)
+                new = np.zeros(len(sizes), "<i4")
+                new[places[order]] = np.arange(len(order))
+                lists = lists.only(places)
+                of = new[lists.of]
+                columns = [[block.as_py()], [counted.as_py()], [packed(ids[order], "<i8")], [np.bincount(of, minlength=len(order))], [packed(lists.at[np.argsort(of, kind="stable")])]]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "counted", "ids", "sizes", "postings"])
+
+    return marked(blocks.select("block", "counted", "sizes", "postings"), words).mapInArrow(run, KEPT)
+
+
+def rebuilt(words: Lists, width: int, firsts: np.ndarray) -> Lists:
+    """All lists of the phrases of `width` words that begin at these positions. A phrase that begins like none of
+    them goes as soon as that shows."""
+    lists = words.only(words.lying_at(firsts))
+    for k in range(1, width):
+        lists = lists.extended(words, k)
+        lists = lists.only(lists.lying_at(firsts))
+    return lists
+
+
+def level_of(kept: DataFrame, frequent: DataFrame | None, width: int, last: bool) -> DataFrame:
+    """ROWS: the phrases of `width` words with their frequency in each block; beyond two words they extend the
+    frequent phrases of the level before, and what follows their first word has to be one of these, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                row = {name: v.values if isinstance(v, pa.ListScalar) else v.as_py() for name, v in row.items()}
-                row["sizes"] = row["sizes"].to_numpy(zero_copy_only=False)
-                words = lists = words_of(row).only(row["level_0"].to_numpy(zero_copy_only=False))
-                for k in range(1, width):
-                    if k > 1:
-                        lists = lists.only(row[f"level_{k - 1}"].to_numpy(zero_copy_only=False))
-                    lists = lists.extended(words, k)
-                found = np.bincount(lists.of[lists.at < row["counted"]], minlength=len(lists.phrases))
+                block, counted, sizes = row["block"].as_py(), row["counted"].as_py(), numbers(row["sizes"])
+                words = before = Lists.of_words(sizes, row["postings"].as_py())
+                ids = unpacked(row["ids"].as_py(), len(sizes), "<i8")
+                known = ids
+                if width > 2:
+                    firsts, named = numbers(row["mark_places"]), numbers(row["mark_ids"])
+                    order = np.argsort(firsts)
+                    before = rebuilt(words, width - 1, firsts[order])
+                    known = np.zeros(int(before.of.max(initial=-1)) + 1, "<i8")
+                    known[before.lying_at(firsts[order])] = named[order]
+                here, there, keys = before.meeting(words, width - 1)
+                if width > 2:
+                    begun, _ = merge_join(before.at[here] + 1, before.at)
+                    here, there, keys = here[begun], there[begun], keys[begun]
+                at = before.at[here]
+                _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+                found = np.bincount(of[at < counted], minlength=len(first))
+                if at.max(initial=0) >> PLACE_BITS:
+                    raise ValueError("a block is too long: take fewer positions")
                 # a phrase that only the next block counts is named too: here it may continue another one
-                numbers = np.flatnonzero(found) if last else np.arange(len(found))
-                for lo in range(0, len(numbers), 50_000):
-                    part = pa.array(numbers[lo : lo + 50_000], pa.int32())
-                    columns = [pa.array(np.full(len(part), row["block"])), part, lists.langs.take(part), lists.phrases.take(part), pa.array(found[part.to_numpy()], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["block", "number", "lang", "phrase", "f"])
+                shown = first[found > 0] if last else first
+                columns = [known[before.of[here[shown]]], ids[words.of[there[shown]]], (block << PLACE_BITS) + at[shown].astype("<i8"), found[found > 0] if last else found]
+                for lo in range(0, len(shown), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000], pa.int64()) for c in columns], names=["left", "right", "at", "f"])
 
-    return blocks.drop("counts").hint("merge").join(known, "block").mapInArrow(run, ROWS)
+    return (kept if frequent is None else marked(kept, frequent)).mapInArrow(run, ROWS)
 
 
-def frequent_of(rows: DataFrame, least: int) -> DataFrame:
-    """The rows whose phrase has `least` occurrences or more in its language, with their number, total.
+def frequent_of(rows: DataFrame, least: int, *phrase: str) -> DataFrame:
+    """phrase, at, id, a: the lists whose phrase has `least` occurrences or more in its language.
 
     A phrase has at most one row a block, so a common word is no hot key.
     """
-    total = F.sum("f").over(Window.partitionBy("lang", "phrase"))
-    return rows.withColumn("total", total).where(F.col("total") >= least).drop("f")
+    same = Window.partitionBy(*phrase)
+    rows = rows.withColumn("a", F.sum("f").over(same)).withColumn("id", F.min("at").over(same))
+    return rows.where(F.col("a") >= least).select(*phrase, "at", "id", "a")
+
+
+def texts_of(once: list[DataFrame]) -> DataFrame:
+    """lang, phrase, a, width of every frequent word and phrase; ids that many phrases share are split by Spark."""
+    words = once[0].select("id", "lang", "phrase", "a", F.lit(1).alias("width"))
+    levels, last = [words], words
+    ends = words.select(F.col("id").alias("right"), F.col("phrase").alias("_word"))
+    for width, rows in enumerate(once[1:], 2):
+        begins = last.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("_begin"))
+        both = rows.join(begins.hint("merge"), "left").join(ends.hint("merge"), "right")
+        last = both.select("id", "lang", F.concat_ws(" ", "_begin", "_word").alias("phrase"), "a", F.lit(width).alias("width"))
+        levels.append(last)
+    return reduce(DataFrame.unionByName, levels).drop("id")
 
 
 def mine_phrases(docs: DataFrame, longest: int = 4, least: int = 30, share: int = 80, top: int = 2000, positions: int = 2_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -235,18 +310,21 @@ def mine_phrases(docs: DataFrame, longest: int = 4, least: int = 30, share: int
     """
     scratch = Scratch(docs.sparkSession, "phrases")
     blocks = scratch.keep(blocks_of(docs, text_col, lang_col, longest, positions), "blocks")
-    listed = F.posexplode(F.arrays_zip("langs", "words", "counts"))
-    words = blocks.select("block", listed.alias("number", "w")).select("block", "number", F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase"), F.col("w.counts").cast("bigint").alias("f"))
-    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = [scratch.keep(frequent_of(words, least), "level1")]
+    listed = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("number", "w"))
+    words = listed.select(F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase"), (F.shiftleft("block", PLACE_BITS) + F.col("number")).alias("at"), F.col("w.counts").cast("bigint").alias("f"))
+    n = scratch.keep(words.groupBy("lang").agg(F.sum("f").alias("n")), "n")
+    frequent = scratch.keep(frequent_of(words, least, "lang", "phrase"), "level1")
+    # each phrase once, at the first of its lists
+    once = [scratch.keep(frequent.where("at = id"), "once1")]
+    kept = scratch.keep(kept_of(blocks, frequent), "kept")
+    scratch.drop("blocks", "level1")
+    frequent = None
     for width in range(2, longest + 1):
-        frequent.append(scratch.keep(frequent_of(level_of(blocks, frequent, width, width == longest), least), f"level{width}"))
+        frequent = scratch.keep(frequent_of(level_of(kept, frequent, width, width == longest), least, "left", "right"), f"level{width}")
+        once.append(scratch.keep(frequent.where("at = id"), f"once{width}"))
+        scratch.drop(f"level{width - 1}")
 
-    sums = None
-    for width, rows in enumerate(frequent, 1):
-        level = rows.groupBy("lang", "phrase").agg(F.max("total").alias("a")).withColumn("width", F.lit(width))
-        sums = level if sums is None else sums.unionByName(level)
-    sums = scratch.keep(sums, "sums")
+    sums = scratch.keep(texts_of(once), "sums")
     chosen = candidates(sums, share)
     slices = max(1, sums.count() // 100_000)
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
