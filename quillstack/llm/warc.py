@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, copied, dealt, hot_keys
 from .token_files import store
 
 #: Field names of the two ARC versions, and the WARC revisit profile.
@@ -168,14 +168,21 @@ RESULT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("pa
 def write_archives(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, file_bytes: int = 8 << 20, date: str = "19700101000000") -> DataFrame:
     """Write every page; the committed manifest (path, n_records) lists the files that count.
 
-    Payloads are equal by SHA-256; only digests and ids are grouped, with map-side combining, and the
-    digest join deals payloads below `least` bytes, which never refer to others, by page instead.
+    Payloads are equal by SHA-256; only digests and ids are grouped, with map-side combining. Payloads of
+    at least `least` bytes then meet the first of their digest, and a digest that many pages share is dealt
+    into slices by page and url; smaller ones, which never refer to others, are written where they are read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("_key", F.when(F.octet_length("html") >= least, F.sha2(F.col("html").cast("binary"), 256)).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
-    # small payloads may repeat a key only by repeating a page id, and refer to nothing
-    firsts = rows.where(~F.col("_key").startswith("small ")).groupBy("_key").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    dealt = rows.join(firsts, "_key", "left").select("page_id", "url", "html", F.when(~F.col("_first.page_id").eqNullSafe(F.col("page_id")), F.col("_first.page_id")).alias("origin"), F.col("_first.url").alias("origin_url"))
+    rows = rows.withColumn("_key", F.when(F.octet_length("html") >= least, F.sha2(F.col("html").cast("binary"), 256)))
+    large = rows.where("_key is not null")
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("_first")
+    firsts = scratch.keep(large.groupBy("_key").agg(first, F.count(F.lit(1)).alias("_n")).where("_n > 1"), "firsts")
+    hot = scratch.keep(hot_keys(firsts, "_key", "_n", pages.count()), "hot")
+    origin = F.when(~F.col("_first.page_id").eqNullSafe(F.col("page_id")), F.col("_first.page_id")).alias("origin")
+    met = dealt(large, hot, "_key", "page_id", "url").join(copied(firsts.drop("_n"), hot, "_key").hint("merge"), ["_key", "_s"], "left")
+    met = met.select("page_id", "url", "html", origin, F.col("_first.url").alias("origin_url"))
+    small = rows.where("_key is null").select("page_id", "url", "html", F.lit(None).cast("long").alias("origin"), F.lit(None).cast("string").alias("origin_url"))
+    shown = met.unionByName(small)
     folder = scratch.path("files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +218,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, id_col: str = "page_id",
         if records:
             yield flush()
 
-    return scratch.keep(dealt.mapInArrow(run, MANIFEST), "manifest")
+    return scratch.keep(shown.mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
