@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +18,60 @@ def grams_of(rows: DataFrame, key: str, text: str, size: int = 5, compatible: bo
     return tokens.select(key, F.explode_outer(ngrams(F.col("tokens"), size)).alias("gram"))
 
 
+#: Up to so many different n-grams of the oracle are marked in a table of at most 16 MB that every task gets.
+MOST_GRAMS, SLOTS_A_GRAM, LEAST_SLOTS = 1_000_000, 16, 1 << 16
+
+
+def slot_table(grams: DataFrame) -> bytes | None:
+    """One byte for each slot, 1 where the hash of some gram falls; None if there are too many grams."""
+    n = grams.limit(MOST_GRAMS + 1).count()
+    if n > MOST_GRAMS:
+        return None
+    slots = max(LEAST_SLOTS, 1 << (max(1, n) * SLOTS_A_GRAM - 1).bit_length())
+    held = grams.select(F.pmod(gram_hash(F.split("gram", " ")), F.lit(slots)).cast("int").alias("slot")).distinct().toArrow()
+    table = np.zeros(slots, "u1")
+    table[held.column("slot").to_numpy()] = 1
+    return table.tobytes()
+
+
+def gram_hash(tokens: Column) -> Column:
+    return F.xxhash64(tokens)
+
+
+def marked_grams(rows: DataFrame, text: str, table: bytes, size: int, compatible: bool) -> DataFrame:
+    """gram: the n-grams whose slot is marked. The others are seen by their hash alone, inside the row."""
+    slots, mark = len(table), F.lit(b"\x01")
+
+    def marked(held: Column) -> Column:
+        gram = lambda i: F.slice(held, i + 1, size)
+        starts = F.filter(F.sequence(F.lit(0), F.size(held) - size), lambda i: F.substring(F.lit(table), F.pmod(gram_hash(gram(i)), F.lit(slots)).cast("int") + 1, F.lit(1)) == mark)
+        found = F.transform(starts, lambda i: F.array_join(gram(i), " "))
+        return F.when(F.size(held) >= size, found).otherwise(F.array().cast("array<string>"))
+
+    return rows.select(F.explode(let(ascii_tokens(F.col(text), compatible), marked)).alias("gram"))
+
+
 def coverage(oracle: DataFrame, extracted: DataFrame, key: str, text: str, extracted_text: str, size: int = 5, compatible: bool = False) -> DataFrame:
     """key, hits, total, score: how many of an oracle text's n-grams, with multiplicity, occur anywhere
     in the extracted texts; 1.0 where there are none.
 
-    Grams of the extracted texts travel as 64-bit hashes, and only those whose hash some oracle gram has
-    go on (a semi join that drops nearly all), so strings are shuffled for hits alone; the strings then
-    decide, so no collision of hashes counts.
+    The grams of the oracle are marked in a table of slots, which is probed inside each extracted text:
+    only grams at a marked slot become strings and are shuffled, and the strings then decide. An oracle
+    with too many grams for a table is joined by 64-bit hashes instead.
     """
-    wanted = grams_of(oracle, key, text, size, compatible).withColumn("_h", F.xxhash64("gram"))
-    hashes = wanted.where("gram is not null").select("_h").distinct()
-    there = grams_of(extracted.withColumn("_one", F.lit(1)), "_one", extracted_text, size, compatible).select("gram", F.xxhash64("gram").alias("_h"))
-    found = there.join(hashes, "_h", "left_semi").select("gram").distinct().withColumn("_hit", F.lit(1))
-    scored = wanted.drop("_h").join(found, "gram", "left").groupBy(key).agg(F.count("_hit").alias("hits"), F.count("gram").alias("total"))
+    wanted = grams_of(oracle, key, text, size, compatible)
+    grams = wanted.where("gram is not null").select("gram").distinct()
+    table = slot_table(grams)
+    if table is not None:
+        if not compatible:  # a Python function can't stand below the lambda
+            extracted = extracted.withColumn(extracted_text, nfkc(F.col(extracted_text)))
+        there = marked_grams(extracted, extracted_text, table, size, True)
+    else:
+        hashes = grams.select(F.xxhash64("gram").alias("_h")).distinct()
+        there = grams_of(extracted.withColumn("_one", F.lit(1)), "_one", extracted_text, size, compatible).select("gram", F.xxhash64("gram").alias("_h"))
+        there = there.join(hashes, "_h", "left_semi").select("gram")
+    found = there.distinct().withColumn("_hit", F.lit(1))
+    scored = wanted.join(found, "gram", "left").groupBy(key).agg(F.count("_hit").alias("hits"), F.count("gram").alias("total"))
     return scored.withColumn("score", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(1.0))
 
 

@@ -38,7 +38,7 @@ _URLS = "list_sort(list_distinct(list_transform(regexp_extract_all(url, 'https?:
 _BARE = "regexp_replace(regexp_replace(html, '(?is)<(?:script\\b.*?</script|style\\b.*?</style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 _SIGNS = f"replace(replace(replace(replace(replace(replace(replace({_BARE}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&#39;', chr(39)), '&amp;', '&')"
 VISIBLE = f"trim(regexp_replace({_SIGNS}, '\\s+', ' ', 'g'))"
-_RECT = "select label, vec_id as id, least(v0, v1) as x0, least(v2, v3) as y0, greatest(v0, v1) as x1, greatest(v2, v3) as y1 from (select label, vec_id, embedding[1]::double as v0, embedding[2]::double as v1, embedding[3]::double as v2, embedding[4]::double as v3 from embeddings)"
+RECT = "select label, vec_id as id, least(v0, v1) as x0, least(v2, v3) as y0, greatest(v0, v1) as x1, greatest(v2, v3) as y1 from (select label, vec_id, embedding[1]::double as v0, embedding[2]::double as v1, embedding[3]::double as v2, embedding[4]::double as v3 from embeddings)"
 _T = "t as (select *, conv_id || '-' || turn as id from conversations)"
 _STAGES = ["source_audit", "translation_plan", "translation_audit", "output_audit", "docx_audit", "compile_audit", "visual_review", "qa_report"]
 _GATES = f"""s as (select unnest({_STAGES}) as gate, generate_subscripts({_STAGES}, 1) - 1 as k),
@@ -224,11 +224,11 @@ ORACLES: dict[str, str] = {
         select conv_id, md5(md) as digest, length(md)::bigint as chars from d""",
     "placeholder_roundtrip": "select doc_id, md5(text) as digest, length(text)::bigint as chars, doc_id % 10 <> 3 as complete from documents",
     "rect_join": f"""
-        with r as ({_RECT}), p as (select a.label, a.id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as shared, (b.x1 - b.x0) * (b.y1 - b.y0) as area
+        with r as ({RECT}), p as (select a.label, a.id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as shared, (b.x1 - b.x0) * (b.y1 - b.y0) as area
              from r a join r b on a.label = b.label and a.id <> b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1)
         select label, count(*) as pairs, count(distinct id) as holders, round(sum(shared), 6) as shared from p where shared > 0 and shared >= 0.65 * area group by label""",
     "rect_union_area": f"""
-        with r as ({_RECT}), e as (select distinct label, unnest([x0, x1]) as l from r), s as (select label, l, lead(l) over (partition by label order by l) as h from e),
+        with r as ({RECT}), e as (select distinct label, unnest([x0, x1]) as l from r), s as (select label, l, lead(l) over (partition by label order by l) as h from e),
         i as (select s.label, s.l, s.h, r.y0, r.y1, max(r.y1) over (partition by s.label, s.l order by r.y0, r.y1 rows between unbounded preceding and 1 preceding) as reach from s join r on r.label = s.label and r.x0 < s.h and r.x1 > s.l where s.h is not null),
         a as (select label, sum((h - l) * greatest(y1 - greatest(y0, coalesce(reach, y0)), 0)) as area from i group by label),
         b as (select label, (max(x1) - min(x0)) * (max(y1) - min(y0)) as box from r group by label)

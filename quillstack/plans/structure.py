@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import runs as rn
 from ..functions import text as tx
+from ..operators import binding
 from ..operators import docx_gate as dx
-from ..operators import gates, glossary, lineage
+from ..operators import gates, glossary, lineage, sequences
 from ..operators import syntax_tree as tree
 from ..sources import adapters
 from ..sources.scratch import shared_folder
-from .queries import read
+from .oracles import RECT
+from .queries import read, rectangles
 
 ORACLES: dict[str, str] = {}
 QUERIES: list[str] = []
@@ -317,3 +319,91 @@ def docx_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One verdict for every finished file."""
     made = finished(spark, sf_dir)
     return gates.document_status(dx.docx_gate(**made), made["bodies"])
+
+
+# -- bindings ----------------------------------------------------------------------------------------
+
+
+def binding_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as requests of customers for profiles: the parts' brands and types are profiles, the suppliers' works are bound."""
+    parts = read(spark, sf_dir, "part")
+    profiles = binding.addressed(parts.select(F.concat_ws("|", "p_brand", (F.col("p_size") % 4).cast("string")).alias("j")), "j")
+    brand = lambda n: F.concat(F.lit("Brand#"), (n % 5 + 1).cast("string"), (F.floor(n / 5) % 5 + 1).cast("string"))
+    sha = lambda n, k: tx.sha256_text(F.concat_ws("|", brand(n), k.cast("string")))
+    o = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    n, k = F.col("o_custkey"), F.col("o_orderkey") % 5
+    work = F.col("o_custkey")
+    seen = F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).otherwise(sha(n, n % 4))
+    requests = o.select(work.alias("work"), sha(n, k).alias("sha256"), seen.alias("expected"), (F.col("o_orderkey") % 2 == 0).alias("force"))
+    bindings = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("work"), sha(F.col("c_custkey"), F.col("c_custkey") % 4).alias("sha256"), (F.col("c_custkey") % 3 + 1).cast("int").alias("version"))
+    return requests, bindings, profiles
+
+
+_BIND = """p as (select distinct sha256(p_brand || '|' || (p_size % 4)) as sha256 from part),
+    q as (select o_custkey as work, sha256('Brand#' || (o_custkey % 5 + 1) || (o_custkey // 5 % 5 + 1) || '|' || (o_orderkey % 5)) as sha256,
+        case when o_orderkey % 4 <> 0 then sha256('Brand#' || (o_custkey % 5 + 1) || (o_custkey // 5 % 5 + 1) || '|' || (o_custkey % 4)) end as expected, o_orderkey % 2 = 0 as force from orders where o_orderkey % 3 = 0),
+    b as (select c_custkey as work, sha256('Brand#' || (c_custkey % 5 + 1) || (c_custkey // 5 % 5 + 1) || '|' || (c_custkey % 4)) as bound, (c_custkey % 3 + 1)::int as version from customer where c_custkey % 2 = 0),
+    w as (select work, count(*) as n, min(sha256) as sha256, min(expected) as expected, bool_and(force) as force from q group by work),
+    v as (select w.work, w.sha256, bound, version, case when n > 1 then 'repeated' when w.sha256 not in (select sha256 from p) then 'unknown' when bound is null then 'bound'
+        when bound = w.sha256 then 'same' when not force then 'refused' when expected is distinct from bound then 'conflict' else 'rebound' end as verdict from w left join b on b.work = w.work)"""
+
+
+@checked(f"with {_BIND} select * from v")
+def profile_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding.verdicts(*binding_tables(spark, sf_dir))
+
+
+@checked(f"""with {_BIND}, t as (select work, sha256 as s, coalesce(version, 0) + 1 as n from v where verdict in ('bound', 'rebound'))
+    select coalesce(b.work, t.work) as work, coalesce(s, bound) as sha256, coalesce(n, version)::int as version from b full join t on t.work = b.work""")
+def bindings_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests, bindings, profiles = binding_tables(spark, sf_dir)
+    return binding.settled(bindings, binding.verdicts(requests, bindings, profiles))
+
+
+# -- gates on emitted and rendered text --------------------------------------------------------------
+
+
+@checked("""with t as (select conv_id as document, conv_id || '-' || turn as id, turn, role, text, sha256(text) as sha, sha256(replace(text, chr(10), ' ')) as esha, starts_with(text, 'A') as gone from conversations)
+    select document, 'markers' as "check", id as subject from t where gone
+    union all select document, 'marker_content', id from t where not gone and esha <> sha
+    union all select document, 'marker_content', id from t where not gone and esha <> sha and role = 'system'
+    union all select document, 'marker_once', id from t where not gone and role = 'system'
+    union all select document, 'uris', 'https://h/(' || turn || ')' from t where gone or turn % 2 = 1""")
+def output_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as emitted blocks: those that start with A are left out, system turns come twice, and line ends change the hash."""
+    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document"), F.concat_ws("-", "conv_id", "turn").alias("id"), "turn", "role", "text")
+    uri = F.concat(F.lit("https://h/("), F.col("turn").cast("string"), F.lit(")"))
+    mark = F.concat(F.lit("<!-- bilingual:segment id="), F.col("id"), F.lit(" source_sha256="), tx.sha256_text(F.replace("text", F.lit("\n"), F.lit(" "))), F.lit(" -->"))
+    md = F.concat(F.when(F.col("role") == "system", F.concat(mark, mark)).otherwise(mark), F.col("text"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" see "), uri)).otherwise(""))
+    text = t.where(~F.col("text").startswith("A")).select("document", md.alias("md"))
+    blocks = t.select("document", "id", tx.sha256_text(F.col("text")).alias("source_sha256"), F.lit("segment").alias("mode"))
+    none = spark.createDataFrame([], "artifact string, sha256 string")
+    return gates.output_gate(blocks, text, none, none, t.select("document", uri.alias("uri"))).select("document", "check", "subject")
+
+
+@checked(r"""with t as (select conv_id as document, turn, text, length(text) < 60 as short from conversations),
+    g as (select document, turn, substr(text, 5, 12) as x from t union all select document - 1, turn, substr(text, 9, 6) from t),
+    p as (select document, regexp_replace(text, '\s+', '', 'g') as p from t), e as (select document, turn || '.' || x as id, regexp_replace(x, '\s+', '', 'g') as x from g)
+    select document, 'blank_page' as "check", turn::varchar as subject from t where length(trim(text)) < 15 and length(text) / 100000.0 < 0.002
+    union all select document, 'page_size', turn::varchar from t where short
+    union all select e.document, 'group_present', id from e where not exists (select 1 from p where p.document = e.document and contains(p.p, e.x))""")
+def render_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as rendered pages, short ones on another paper; looked for are words of them, and of the conversation behind."""
+    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document"), "turn", "text")
+    pages = t.select("document", F.col("turn").alias("page"), "text", (F.length("text") / 100000.0).alias("ink"), F.when(F.length("text") < 60, 612.0).otherwise(595.28).alias("width"), F.lit(841.89).alias("height"))
+    wanted = t.select("document", "turn", F.substring("text", 5, 12).alias("text")).unionByName(t.select((F.col("document") - 1).alias("document"), "turn", F.substring("text", 9, 6).alias("text")))
+    return gates.render_gate(pages, wanted.select("document", F.concat_ws(".", "turn", "text").alias("group_id"), "text")).select("document", "check", "subject")
+
+
+@checked(f"""with r as ({RECT}), c as (select label, id, (x0 + x1) / 2 as m from r)
+    select label, id, coalesce((lag(m) over w + m) / 2, 36.0) as column_left, coalesce((lead(m) over w + m) / 2, 612.0 - 36.0) as column_right from c window w as (partition by label order by m)""")
+def caption_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.column_bounds(rectangles(spark, sf_dir), ["label"], "x0", "x1", 612.0).select("label", "id", "column_left", "column_right")
+
+
+@checked("""with k as (select doc_id, split_part(text, ' ', 1) as w, lang, source from documents)
+    select doc_id, printf('mu-p%04d-i%04d-', (doc_id % 50)::int, doc_id::int) || substr(sha256(lang || chr(0) || source), 1, 24) as id, replace(lower(nfc_normalize(w)), 'ß', 'ss') as path_key from k""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    word = F.element_at(F.split("text", " "), 1)
+    return d.select("doc_id", tx.node_id(F.col("doc_id") % 50, F.col("doc_id"), [F.col("lang"), F.col("source")]).alias("id"), tx.collision_key(word).alias("path_key"))

@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillstack.operators import binding, coverage
 from quillstack.operators import docx_gate as dx
 from quillstack.operators import gates, glossary, lineage
 from quillstack.sources import adapters
@@ -299,3 +300,73 @@ def test_first_version_gate(spark):
     found = dx.docx_gate_v1(spark.createDataFrame(rows, V1), spark.createDataFrame(bodies, "document int, text string, images int"), RED, r"Problem\s*\(([a-z0-9]+)\)", 2).collect()
     for number, (_, _, faults) in enumerate(FIRST_VERSION):
         assert {r.check for r in found if r.document == number} == faults, number
+
+
+# -- bindings ----------------------------------------------------------------------------------------
+
+
+def test_bindings(spark, tmp_path):
+    profiles = binding.addressed(spark.createDataFrame([("{}",), ("[]",), ("{}",), (None,)], "j string"), "j")
+    sha = {r.json: r.sha256 for r in profiles.collect()}
+    a, b = sha["{}"], sha["[]"]
+    assert len(sha) == 2
+    bound = spark.createDataFrame([(1, a, 1), (2, a, 4), (3, a, 1), (4, a, 2), (9, b, 7)], "work int, sha256 string, version int")
+    requests = [(1, a, None, False), (2, b, a, True), (3, b, a, False), (4, b, b, True), (5, b, None, None), (6, "zz", None, True), (7, a, None, True), (7, a, None, True)]
+    judged = binding.verdicts(spark.createDataFrame(requests, "work int, sha256 string, expected string, force boolean"), bound, profiles)
+    assert {r.work: r.verdict for r in judged.collect()} == {1: "same", 2: "rebound", 3: "refused", 4: "conflict", 5: "bound", 6: "unknown", 7: "repeated"}
+    after = binding.settled(bound, judged)
+    assert {tuple(r) for r in after.collect()} == {(1, a, 1), (2, b, 5), (3, a, 1), (4, a, 2), (5, b, 1), (9, b, 7)}
+    artifacts = spark.createDataFrame([(2, "source"), (2, "ir"), (3, "ir")], "work int, artifact string")
+    assert [tuple(r) for r in binding.invalidated(judged, artifacts, ["source"]).collect()] == [(2, "ir")]
+    binding.commit(after, str(tmp_path / "b"), 2)
+    with pytest.raises(Exception, match="(?i)exist"):
+        binding.commit(bound, str(tmp_path / "b"), 2)
+
+
+def test_migration(spark):
+    manifests = spark.createDataFrame([(1, None, {"blocks": "b"}), (2, "y", None), (3, "x", {"profile": "old"}), (4, None, None)], "work int, profile_sha256 string, artifacts map<string,string>")
+    bound = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "work int, sha256 string")
+    moved, refused = binding.migration(manifests, bound)
+    both = {"profile": "profile.json", "document_ir": "document-ir.json"}
+    assert {r.work: (r.profile_sha256, r.artifacts) for r in moved.collect()} == {1: ("x", {"blocks": "b"} | both), 3: ("x", both)}
+    assert {tuple(r) for r in refused.collect()} == {(2, "bound to another profile"), (4, "unbound")}
+    assert {tuple(r) for r in binding.migration(manifests, bound, force=True)[1].collect()} == {(4, "unbound")}
+    nodes = spark.createDataFrame([(1, "n1", "proof"), (1, "n2", None)], "document int, id string, role string")
+    roles = spark.createDataFrame([("proof", "box", "bilingual", "structural-container")], "role string, style string, output string, grouping string")
+    assert {r.id: (r.style, r.output, r.method) for r in binding.nodes_v2(nodes, roles).collect()} == {"n1": ("box", "bilingual", "profile-selector"), "n2": (None, "source-only", "unclassified")}
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_coverage_both_ways(spark, monkeypatch, most):
+    """A table of slots and a join of hashes find the same n-grams."""
+    monkeypatch.setattr(coverage, "MOST_GRAMS", most)
+    rng = random.Random(29)
+    text = lambda n: " ".join(rng.choice(["a", "b", "ﬁ", "C", "d1"]) for _ in range(n))
+    oracle, extracted = [(k, text(rng.randint(0, 20))) for k in range(8)] + [(9, None)], [(text(rng.randint(0, 60)),) for _ in range(12)] + [(None,)]
+    tokens = lambda t: re.findall(r"[a-z_][a-z0-9_]*", (t or "").replace("ﬁ", "fi").lower())
+    grams = lambda t: [tuple(tokens(t)[i : i + 3]) for i in range(len(tokens(t)) - 2)]
+    there = {g for (t,) in extracted for g in grams(t)}
+    found = coverage.coverage(spark.createDataFrame(oracle, "k int, t string"), spark.createDataFrame(extracted, "t string"), "k", "t", "t", size=3).collect()
+    assert {r.k: (r.hits, r.total) for r in found} == {k: (sum(g in there for g in grams(t)), len(grams(t))) for k, t in oracle}
+
+
+# -- small functions ---------------------------------------------------------------------------------
+
+
+def test_small_functions(spark, tmp_path):
+    from quillstack.functions import text as tx
+    from quillstack.operators import classify
+    from quillstack.sources import sinks
+    from quillstack.sources import strict_json as sj
+
+    assert sj.canonical({"b": [1, 2.5, None], "a": "é\n", "c": {"z": 1, "y": True}}) == '{"a":"é\\n","b":[1,2.5,null],"c":{"y":true,"z":1}}'
+    with pytest.raises(ValueError):
+        sj.canonical({"x": float("nan")})
+    row = spark.createDataFrame([(3, 14, "a", "b")], "p int, i int, s string, t string")
+    first, again, other = (row.select(tx.node_id(F.col("p"), F.col("i"), [F.col(c) for c in columns]).alias("x")).first().x for columns in (("s", "t"), ("s", "t"), ("t", "s")))
+    assert first == again != other and re.fullmatch(r"mu-p0003-i0014-[0-9a-f]{24}", first)
+    sinks.write_report(row.select("p", "s"), str(tmp_path / "report"))
+    assert [json.loads(line) for f in (tmp_path / "report").glob("part-*") for line in f.read_text().splitlines()] == [{"p": 3, "s": "a"}]
+    roles = spark.createDataFrame([("a", "box", "bilingual")], "role string, style string, output string")
+    nodes = spark.createDataFrame([(1, "a"), (2, "z"), (3, None)], "id int, role string")
+    assert {tuple(r) for r in classify.output_policy(nodes, roles).collect()} == {(1, "a", "box", "bilingual"), (2, "z", "plain", "source-only"), (3, None, "plain", "source-only")}
