@@ -66,7 +66,7 @@ def pattern_of(term: Column, exact: Column) -> Column:
 
 
 def table_hits(texts: DataFrame, terms: DataFrame, id_col: str, text: str, most_terms: int = MOST_TERMS) -> DataFrame:
-    """id, text, term, enforce, targets: each term of the table once for every text that holds it.
+    """id, term, enforce, targets: each term of the table once for every text that holds it.
 
     terms: source, case_sensitive, enforce, targets. Empty and null terms and texts give nothing; a term
     that is listed twice is found twice. Ids may repeat.
@@ -82,27 +82,28 @@ def _by_automaton(texts: DataFrame, terms: DataFrame, id_col: str, text: str) ->
     spark = texts.sparkSession
     rows = [tuple(r) for r in terms.orderBy("term", "exact", "enforce").collect()]
     shared = spark.sparkContext.broadcast(rows)
-    schema = T.StructType([texts.schema[id_col], T.StructField(text, T.StringType()), T.StructField("_terms", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([texts.schema[id_col], T.StructField("_terms", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms([(r[0], r[1]) for r in shared.value])
         for batch in batches:
             found = [sorted(known.found(t)) if t is not None else [] for t in (v.as_py() for v in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=[id_col, text, "_terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=[id_col, "_terms"])
 
     numbered = [(n, *r) for n, r in enumerate(rows)]
     table = spark.createDataFrame(numbered, "_n int, term string, exact boolean, enforce boolean, targets array<string>")
-    hits = texts.mapInArrow(run, schema).select(id_col, text, F.explode("_terms").alias("_n"))
-    return hits.join(F.broadcast(table), "_n").select(id_col, text, "term", "enforce", "targets")  # within MOST_TERMS
+    hits = texts.mapInArrow(run, schema).select(id_col, F.explode("_terms").alias("_n"))
+    return hits.join(F.broadcast(table), "_n").select(id_col, "term", "enforce", "targets")  # within MOST_TERMS
 
 
 def _by_first_word(texts: DataFrame, terms: DataFrame, id_col: str, text: str) -> DataFrame:
     key = F.get(keys_of(F.col("term")), F.lit(0))
     keyed = terms.select("*", key.alias("_key"), pattern_of(F.col("term"), F.col("exact")).alias("_pattern"))
     meets = texts.where(F.col(text).isNotNull()).select("*", F.explode(keys_of(F.col(text))).alias("_key"))
-    return meets.join(keyed.hint("merge"), "_key").where(F.expr(f"`{text}` rlike _pattern")).select(id_col, text, "term", "enforce", "targets")
+    return meets.join(keyed.hint("merge"), "_key").where(F.expr(f"`{text}` rlike _pattern")).select(id_col, "term", "enforce", "targets")
 
 
-def violations(hits: DataFrame, output: str) -> DataFrame:
-    """Hits of enforced terms none of whose targets is in the output; a missing output holds none."""
-    return hits.where(F.col("enforce") & ~F.coalesce(F.exists("targets", lambda t: F.contains(F.col(output), t)), F.lit(False)))
+def violations(hits: DataFrame, outputs: DataFrame, id_col: str, output: str) -> DataFrame:
+    """Hits of enforced terms none of whose targets is in the output of their id; a missing output holds none."""
+    wanted = hits.where("enforce").join(outputs.select(id_col, F.col(output).alias("_o")), id_col, "left")
+    return wanted.where(~F.coalesce(F.exists("targets", lambda t: F.contains(F.col("_o"), t)), F.lit(False))).select(hits.columns)

@@ -236,13 +236,24 @@ _TERMS = r"""terms as (select distinct lower(w) as term from (select unnest(rege
     h as (select distinct doc_id, term from both_ join terms on lower(w) = term and (length(term) % 3 <> 0 or w = term))"""
 
 
-@checked(f"""with {_TERMS} select doc_id, count(*) as terms, count(*) filter (length(term) % 2 = 0) as enforced,
-    count(*) filter (length(term) % 2 = 0 and not contains(text, reverse(term))) as violations, min(term) as first_term from h join documents using (doc_id) group by doc_id""")
+@checked(f"""with {_TERMS} select doc_id, count(*) as terms, count(*) filter (length(term) % 2 = 0) as enforced, min(term) as first_term from h group by doc_id""")
 def glossary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of a table found in every document, and enforced ones whose target (the term backwards) isn't there."""
+    """The terms of the table that stand in every document."""
     hits = glossary.table_hits(read(spark, sf_dir, "documents"), glossary_terms(spark, sf_dir), "doc_id", "text")
-    missing = ~F.exists("targets", lambda t: F.contains(F.col("text"), t))
-    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.count_if("enforce").alias("enforced"), F.count_if(F.col("enforce") & missing).alias("violations"), F.min("term").alias("first_term"))
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.count_if("enforce").alias("enforced"), F.min("term").alias("first_term"))
+
+
+@checked(r"""with t as (select conv_id || '-' || turn as id, text from conversations),
+    terms as (select distinct lower(w) as term from (select unnest(regexp_extract_all(text, '\pL{4,}\.?')) as w from conversations)),
+    toks as (select distinct id, w from (select id, unnest(regexp_extract_all(text, '[\pL\pN_]+\.?')) as w from t)),
+    both_ as (select id, w from toks union select id, rtrim(w, '.') from toks),
+    h as (select distinct id, term from both_ join terms on lower(w) = term and (length(term) % 3 <> 0 or w = term))
+    select id, term from h join t using (id) where length(term) % 2 = 0 and not contains(text, reverse(term))""")
+def glossary_lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enforced terms of a turn whose target, the term backwards, isn't in its output, which here is the turn itself."""
+    t = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    hits = glossary.table_hits(t, glossary_terms(spark, sf_dir), "id", "text")
+    return glossary.violations(hits, t, "id", "text").select("id", "term")
 
 
 # -- adapters ----------------------------------------------------------------------------------------

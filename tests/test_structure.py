@@ -91,8 +91,9 @@ def test_glossary_edges(spark):
         twice = spark.createDataFrame([("cell", None, True, None), ("cell", None, True, ["z"])], TERM)
         hits = glossary.table_hits(texts, twice, "id", "t", most)
         assert hits.count() == 4
-        assert glossary.violations(hits.withColumn("o", F.lit("z")), "o").count() == 2
-        assert glossary.violations(hits.withColumn("o", F.lit(None).cast("string")), "o").count() == 4
+        output = lambda value: spark.createDataFrame([(1, value)], "id int, o string")  # noqa: B023, E731
+        assert glossary.violations(hits, output("z"), "id", "o").count() == 2
+        assert glossary.violations(hits, output(None), "id", "o").count() == glossary.violations(hits, output("z").limit(0), "id", "o").count() == 4
 
 
 # -- adapters ----------------------------------------------------------------------------------------
