@@ -18,22 +18,27 @@ from quillstack.llm.toxicity import mild_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the rules' posterior keeps; a null or empty text is a text without words and goes."""
     return good_documents(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score is below 0.5; rows without a label are scored like the others, and an empty text has a score, too."""
     return mild_documents(docs, documents(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest stays, then the smallest id, a null id last; of rows that share the id as well, one."""
     return without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; texts without words are linked with nothing and stay."""
     return one_of_each(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece; null and empty texts are the end id alone, rows repeated with an id are packed each."""
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -50,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and read again."""
+    """Apply the stages to documents; each result is written to the shared folder and read again.
+
+    An empty table gives an empty result, columns of other names go through all stages but the last, and
+    ties and repeated rows are settled as each stage says.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
