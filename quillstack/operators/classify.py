@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,18 @@ WHERE, CAPTION, CALLOUT = r"(?iu)^where\b", r"(?iu)^(Figure|Table|Algorithm)\s+\
 NUMBERED_TITLE, LIST_ITEM = r"^\d+(?:\.\d+)*\s+\S", r"(?iu)^(?:[•*-]|\d+[.)]|\([a-z]\))\s+"
 
 
-def selector_predicate(selector: dict) -> tuple[Column, list[str]]:
+#: Fixed value: \b between letters, digits and signs of ASCII alone; what Java's \b means depends on its version.
+ASCII_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def source_regex(pattern: str, ascii_only: bool = False) -> str:
+    r"""The pattern without regard to case; with `ascii_only`, \b, \w, \d and \s know ASCII alone, as those of RE2 do."""
+    if not ascii_only:
+        return "(?iuU)" + pattern
+    return "(?i)" + re.sub(r"\\(.)", lambda m: ASCII_EDGE if m[1] == "b" else m[0], pattern, flags=re.S)
+
+
+def selector_predicate(selector: dict, ascii_only: bool = False) -> tuple[Column, list[str]]:
     """The predicate of one selector over columns adapter_role, node_type, sub_type, text_level, source."""
     tests, fields = [], []
     keyed = lambda values: [v.strip().lower().replace("_", "-") for v in values]
@@ -31,7 +44,7 @@ def selector_predicate(selector: dict) -> tuple[Column, list[str]]:
         tests.append(F.coalesce(F.col("text_level").isin(selector["text_levels"]), F.lit(False)))
         fields.append("text_levels")
     if "source_pattern" in selector:
-        tests.append(F.coalesce(F.trim(F.col("source")).rlike("(?iuU)" + selector["source_pattern"]), F.lit(False)))
+        tests.append(F.coalesce(F.trim(F.col("source")).rlike(source_regex(selector["source_pattern"], ascii_only)), F.lit(False)))
         fields.append("source_pattern")
     whole = F.lit(bool(tests))
     for t in tests:
@@ -39,18 +52,19 @@ def selector_predicate(selector: dict) -> tuple[Column, list[str]]:
     return whole, fields
 
 
-def classify(blocks: DataFrame, roles: list[dict]) -> DataFrame:
+def classify(blocks: DataFrame, roles: list[dict], ascii_only: bool = False) -> DataFrame:
     """blocks with role, tier and selector of the best match, null without one.
 
     A match ranks by tier (adapter role 4, subtype 3, pattern 2, else 1; a generic adapter role doesn't
     make tier 4), then by how many fields it tests, then by the order of roles and selectors. The whole
-    profile becomes one expression: no join, no shuffle, one pass.
+    profile becomes one expression: no join, no shuffle, one pass. Patterns know all letters, or those of
+    ASCII only (see source_regex).
     """
     generic = F.coalesce(token_key(F.col("adapter_role")).isin(GENERIC), F.lit(False))
     ranked = []
     for ri, role in enumerate(roles):
         for si, selector in enumerate(role["selectors"]):
-            matched, fields = selector_predicate(selector)
+            matched, fields = selector_predicate(selector, ascii_only)
             lower = 3 if "sub_types" in fields else 2 if "source_pattern" in fields else 1
             tier = F.when(~generic, 4).otherwise(lower) if "adapter_role" in fields else F.lit(lower)
             best = F.struct(tier.alias("tier"), F.lit(len(fields)).alias("n"), F.lit(-ri).alias("r"), F.lit(-si).alias("s"), F.lit(role["role"]).alias("role"))

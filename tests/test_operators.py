@@ -110,6 +110,26 @@ def test_selectors(spark):
     assert one(spark, classify.auxiliary_role(F.col("f")), f="Aside_Text") == "marginalia"
 
 
+def test_selectors_of_ascii_words(spark):
+    """An edge of ASCII words lies beside ü too; by default a letter is a letter."""
+    roles = [{"role": "r", "selectors": [{"source_pattern": r"\bdie\b|\d"}]}]
+    texts = ["Die Katze", "ü | Dieüauß", "Diesel", "a٣", "9", "die_", r"\bdie"]
+    blocks = spark.createDataFrame(list(enumerate(texts)), "i int, source string").selectExpr("i", "source", *[f"cast(null as string) as {c}" for c in ("adapter_role", "node_type", "sub_type")], "cast(null as int) as text_level")
+    hits = lambda **k: [r.i for r in classify.classify(blocks, roles, **k).orderBy("i").collect() if r.role]
+    assert hits(ascii_only=True) == [0, 1, 4] and hits() == [0, 3, 4]
+
+
+def test_selector_winner_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from quillstack.plans import oracles, queries
+
+    rows = [(1, "und Dieüauß", "de", "src9"), (2, "die", "de", "src9"), (3, "Diesel", "de", "src9"), (4, "theé", "fr", "src2"), (5, "٣", "fr", "src9"), (6, "3", "fr", "src9"), (7, None, "de", "src0")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    sql = f"with documents as (select * from '{tmp_path}/documents.parquet/*.parquet') select * from ({oracles.ORACLES['selector_winner']})"
+    assert sorted(map(tuple, queries.selector_winner(spark, str(tmp_path)).collect())) == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_protection(spark):
     text = "Mail a.b@c.org about v 1.2.3, Problem (x_1), see https://h.i/j/\nk [3, 4] and 5 GB at /usr/lib --flag foo.py float32."
     row = spark.createDataFrame([(text,)], "s string").select("s", protect.protect(F.col("s")).alias("p")).select("s", "p.*").cache()
