@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import english_words, problem_ids
@@ -146,6 +146,30 @@ def document_status(found: DataFrame, documents: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("failures") > 0, "failed").otherwise("passed"))
 
 
+#: The letters of a text by which pages are searched for it, and how many such heads meet a page at once.
+HEAD, HEADS = 8, 4096
+
+
+def on_pages(wanted: DataFrame, shown: DataFrame) -> DataFrame:
+    """document, _t: the texts (document, _t) that a page (document, _p) of their document holds.
+
+    A text on a page holds its own first letters there. So a page meets the heads of the texts of its
+    document, in slices where there are many, and only heads that it holds go on; a text that is longer
+    than its head is verified on the pages which hold that.
+    """
+    texts = wanted.where("_t is not null").distinct().withColumn("_head", F.substring("_t", 1, HEAD))
+    heads = texts.select("document", "_head").distinct().withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("document")))
+    slices = heads.groupBy("document", F.pmod(F.xxhash64("_head"), F.ceil(F.col("_n") / HEADS)).alias("_slice"))
+    of = lambda test: F.collect_set(F.when(test, F.col("_head")))
+    listed = slices.agg(of(F.length("_head") == HEAD).alias("_whole"), of(F.length("_head") < HEAD).alias("_brief"))
+    pieces = F.regexp_extract_all("_p", F.lit(f"(?s)(?=(.{{{HEAD}}}))"), F.lit(1))
+    held = F.concat(F.array_intersect(pieces, "_whole"), F.filter("_brief", lambda h: F.contains(F.col("_p"), h)))
+    keyed = shown.where("_p is not null").withColumn("_key", F.xxhash64("_p"))
+    met = keyed.join(listed, "document").select("document", "_key", F.explode(held).alias("_head")).join(texts, ["document", "_head"])
+    long = met.where(F.length("_t") > HEAD).join(keyed, ["document", "_key"]).where(F.contains("_p", "_t"))
+    return met.where(F.length("_t") <= HEAD).select("document", "_t").unionByName(long.select("document", "_t"))
+
+
 def render_gate(pages: DataFrame, expected: DataFrame) -> DataFrame:
     """document, gate, check, subject, message: rendered pages (document, page, text, ink, width, height)
     against the group texts (document, group_id, text) that must lie on a page of their document.
@@ -156,14 +180,9 @@ def render_gate(pages: DataFrame, expected: DataFrame) -> DataFrame:
     a4 = (F.abs(F.col("width") - 595.28) < 1) & (F.abs(F.col("height") - 841.89) < 1)
     size = pages.where(~F.coalesce(a4, F.lit(False)))
     flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    # a text that lies on a page holds its own first eight letters there: with the document they are the join key
-    shown = pages.select(F.col("document").alias("_d"), flat(F.col("text")).alias("_p"))
-    starts = shown.withColumn("_head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_p") - 7, F.lit(1))), lambda i: F.substring("_p", i, 8)))))
+    shown = pages.select("document", flat(F.col("text")).alias("_p"))
     wanted = expected.select("document", "group_id", flat(F.col("text")).alias("_t"))
-    here = (F.col("document") == F.col("_d")) & F.contains(F.col("_p"), F.col("_t"))
-    long = wanted.where("length(_t) >= 8").join(starts, here & (F.substring("_t", 1, 8) == F.col("_head")), "left_anti")
-    brief = wanted.where("length(_t) < 8 or _t is null").join(shown, here, "left_anti")
-    seen = long.unionByName(brief)
+    seen = wanted.join(on_pages(wanted.select("document", "_t"), shown), ["document", "_t"], "left_anti")
     return together([by_document(blank, "render", "blank_page", "page", "no text or ink"), by_document(size, "render", "page_size", "page", "not A4"), by_document(seen, "render", "group_present", "group_id", "not on any page")])
 
 
