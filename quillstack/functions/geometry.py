@@ -30,11 +30,11 @@ def scaled_box(box: Column, size: Column) -> Column:
     return F.array(*[(F.get(box, i) * 1000 / F.get(size, i % 2)).cast("int") for i in range(4)])
 
 
-def in_bands(rects: DataFrame, low: str, high: str, keys: list[str], bands: DataFrame, name: str = "_band") -> DataFrame:
-    """rects with one row for each band of [low, high) that they reach into; bands (keys, _start, _height)."""
+def in_bands(rects: DataFrame, low: str, high: str, keys: list[str], bands: DataFrame, first: str, name: str = "_band") -> DataFrame:
+    """rects with one row for each band of [low, high) that they reach into, and the first of these; bands (keys, _start, _height)."""
     cut = lambda c: F.floor((F.col(c) - F.col("_start")) / F.col("_height"))
-    placed = rects.join(bands, keys)
-    return placed.withColumn(name, F.explode(F.sequence(cut(low), cut(high)))).drop("_start", "_height")
+    placed = rects.join(bands, keys).withColumn(first, cut(low))
+    return placed.withColumn(name, F.explode(F.sequence(F.col(first), cut(high)))).drop("_start", "_height")
 
 
 def bands_of(rects: DataFrame, low: str, high: str, keys: list[str], most: int = 4096) -> DataFrame:
@@ -47,6 +47,45 @@ def bands_of(rects: DataFrame, low: str, high: str, keys: list[str], most: int =
     return rects.groupBy(*keys).agg(F.min(low).alias("_start"), F.when(height > 0, height).otherwise(1.0).alias("_height"))
 
 
+#: Fixed value: a grid has at most so many columns and rows.
+MOST_CELLS = 64
+
+
+def grid_of(rects: DataFrame, keys: list[str], p: str = "") -> DataFrame:
+    """keys, and for x and y: where the grid of the key begins and ends (_x0, _x1), its number of columns (_xn) and
+    their width (_xs). Cells are about half as wide and high as the mean rectangle, and fill the box of the rectangles."""
+
+    def axis(c: str) -> list[Column]:
+        low, high = f"{p}{c}0", f"{p}{c}1"
+        whole = F.max(high) - F.min(low)
+        n = F.ceil(2 * whole / F.avg(F.col(high) - F.col(low)))
+        n = F.greatest(F.least(F.coalesce(n, F.lit(1)), F.lit(MOST_CELLS)), F.lit(1))
+        return [F.min(low).alias(f"_{c}0"), F.max(high).alias(f"_{c}1"), n.alias(f"_{c}n"), (whole / n).alias(f"_{c}s")]
+
+    return rects.groupBy(*keys).agg(*axis("x"), *axis("y"))
+
+
+GRID = [f"_{c}{k}" for c in "xy" for k in ("0", "1", "n", "s")]
+
+
+def cell_of(at: Column, c: str) -> Column:
+    """The column (c is x) or row (y) of a grid for a place, the nearest one for places outside."""
+    k = F.floor((at - F.col(f"_{c}0")) / F.col(f"_{c}s"))
+    return F.coalesce(F.greatest(F.least(k, F.col(f"_{c}n") - 1), F.lit(0)), F.lit(0))  # a side of no length has one cell
+
+
+def edge_of(k: Column, c: str) -> Column:
+    return F.when(k == 0, F.col(f"_{c}0")).when(k == F.col(f"_{c}n"), F.col(f"_{c}1")).otherwise(F.col(f"_{c}0") + k * F.col(f"_{c}s"))
+
+
+def in_cells(rects: DataFrame, keys: list[str], grid: DataFrame, p: str = "") -> DataFrame:
+    """rects with the columns of their grid and one row for each cell (_i, _j) that they reach into."""
+    placed = rects.join(grid, keys)
+    for c, name in (("x", "_i"), ("y", "_j")):
+        placed = placed.withColumn(name, F.explode(F.sequence(cell_of(F.col(f"{p}{c}0"), c), cell_of(F.col(f"{p}{c}1"), c))))
+    return placed
+
+
 def union_area(rects: DataFrame, *keys: str) -> DataFrame:
     """keys, area: the exact area covered by the rectangles (x0, y0, x1, y1) of each key.
 
@@ -60,7 +99,7 @@ def union_area(rects: DataFrame, *keys: str) -> DataFrame:
     strips = edges.withColumn("right", F.lead("left").over(Window.partitionBy(*keys).orderBy("left"))).where("right is not null")
     bands = bands_of(rects, "x0", "x1", list(keys))
     strips = strips.join(bands, list(keys)).withColumn("_band", F.floor((F.col("left") - F.col("_start")) / F.col("_height"))).drop("_start", "_height")
-    inside = strips.join(in_bands(rects, "x0", "x1", list(keys), bands), [*keys, "_band"]).where("x0 <= left and x1 > left")
+    inside = strips.join(in_bands(rects, "x0", "x1", list(keys), bands, "_first"), [*keys, "_band"]).where("x0 <= left and x1 > left")
     strip = Window.partitionBy(*keys, "left", "right")
     before = strip.orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
     merged = inside.withColumn("reach", F.max("y1").over(before))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bands_of, in_bands, intersection
+from ..functions.geometry import GRID, bands_of, cell_of, grid_of, in_bands, in_cells, intersection
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str, ord_col: str) -> DataFrame:
@@ -52,17 +52,22 @@ def exactly_one(items: DataFrame, targets: DataFrame, keys: list[str], item_id:
 def overlapping(a: DataFrame, b: DataFrame, key: str, least_share: float = 0.0) -> DataFrame:
     """Pairs of rectangles (a_*, b_* columns) of one key that share an area above least_share of b's.
 
-    Both sides are cut into horizontal bands of the key, so a rectangle meets only those at its own
-    height; a pair that shares several bands is taken in the one where the later of the two begins.
+    What covers more than half of a rectangle covers its middle: for such shares b lies in the one cell of a
+    grid that holds its middle, a in all that it reaches into. For lower ones both sides are cut into
+    horizontal bands of the key, and a pair that shares several is taken in the one where the later begins.
     """
     area_b = (F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0"))
-    shared = intersection("a_", "b_")
-    bands = bands_of(b, "b_y0", "b_y1", [key])
-    start = bands.select(key, "_start", "_height")
-    pairs = in_bands(a, "a_y0", "a_y1", [key], bands).join(in_bands(b, "b_y0", "b_y1", [key], bands), [key, "_band"]).join(start, key)
-    pairs = pairs.where(F.col("_band") == F.floor((F.greatest("a_y0", "b_y0") - F.col("_start")) / F.col("_height"))).drop("_band", "_start", "_height")
+    if least_share > 0.5:
+        grid = grid_of(b, [key], "b_")
+        middle = {n: cell_of((F.col(f"b_{c}0") + F.col(f"b_{c}1")) / 2, c).alias(n) for c, n in (("x", "_i"), ("y", "_j"))}
+        here = b.join(grid, key).select(*b.columns, *middle.values())
+        pairs = in_cells(a, [key], grid, "a_").drop(*GRID).join(here, [key, "_i", "_j"]).drop("_i", "_j")
+    else:
+        bands = bands_of(b, "b_y0", "b_y1", [key])
+        pairs = in_bands(a, "a_y0", "a_y1", [key], bands, "_a").join(in_bands(b, "b_y0", "b_y1", [key], bands, "_b"), [key, "_band"])
+        pairs = pairs.where(F.col("_band") == F.greatest("_a", "_b")).drop("_band", "_a", "_b")
     pairs = pairs.where((F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1")))
-    return pairs.withColumn("shared", shared).where((F.col("shared") > 0) & (F.col("shared") >= least_share * area_b))
+    return pairs.withColumn("shared", intersection("a_", "b_")).where((F.col("shared") > 0) & (F.col("shared") >= least_share * area_b))
 
 
 def parents(children: DataFrame, nodes: DataFrame, roles: list[str]) -> DataFrame:

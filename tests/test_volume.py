@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from quillstack.operators import gates
+import pytest
+from pyspark.sql import functions as F
+
+from quillstack.operators import gates, joins
 
 
 def moved(spark, rows):
@@ -41,3 +44,38 @@ def test_render_gate_slices(spark, monkeypatch):
     shown = spark.createDataFrame([(1, " ".join(f"word number {k}," for k in range(0, 60, 2)))], "document int, _p string")
     want = {f"word number {k}" for k in range(60) if any(str(e).startswith(str(k)) for e in range(0, 60, 2))} | {"w"}
     assert {r._t for r in gates.on_pages(texts, shown).collect()} == want
+
+
+def boxes(n, seed=3):
+    """Rectangles of which many overlap, some equal, some that touch, and a few as large as the page."""
+    rng = random.Random(seed)
+    side = lambda most: sorted(min(max(int(rng.gauss(0, most / 4)), -most), most) for _ in range(2))
+    made = [(x[0], y[0], x[1], y[1]) for x, y in ((side(60), side(40)) for _ in range(n))]
+    made += made[:5] + [(0, 0, 5, 5), (5, 0, 9, 5), (0, 5, 5, 9), (-60, 0, 60, 1), (3, 3, 3, 9)]
+    return [tuple(map(float, r)) for r in made]
+
+
+RECTS = "g int, id int, x0 double, y0 double, x1 double, y1 double"
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins without broadcasts, as of large tables."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.65, 1.0])
+def test_overlapping_moves_no_pairs(spark, shuffled, share):
+    rows = {g: list(enumerate(boxes(n, g))) for g, n in ((1, 600), (2, 1))}
+    df = spark.createDataFrame([(g, i, *r) for g, rs in rows.items() for i, r in rs], RECTS)
+    a, b = (df.select("g", *[F.col(c).alias(f"{p}_{c}") for c in df.columns[1:]]) for p in "ab")
+    pairs = joins.overlapping(a, b, "g", share)
+    got, written = moved(spark, lambda: pairs.groupBy("g").agg(F.count(F.lit(1)), F.sum("shared"), F.sum(F.xxhash64("a_id", "b_id").bitwiseAND(1023))))
+    cut = lambda p, q: max(min(p[2], q[2]) - max(p[0], q[0]), 0) * max(min(p[3], q[3]) - max(p[1], q[1]), 0)
+    want = {g: [s for _, p in rs for _, q in rs if (s := cut(p, q)) > 0 and s >= share * ((q[2] - q[0]) * (q[3] - q[1]))] for g, rs in rows.items()}
+    assert {r[0]: (r[1], r[2]) for r in got} == {g: (len(s), sum(s)) for g, s in want.items()}
+    assert pairs.select("g", "a_id", "b_id").distinct().count() == sum(map(len, want.values()))
+    assert written < 1_000_000
