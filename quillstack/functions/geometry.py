@@ -86,25 +86,40 @@ def in_cells(rects: DataFrame, keys: list[str], grid: DataFrame, p: str = "") ->
     return placed
 
 
-def union_area(rects: DataFrame, *keys: str) -> DataFrame:
-    """keys, area: the exact area covered by the rectangles (x0, y0, x1, y1) of each key.
-
-    Neighbouring distinct x-edges bound strips; inside a strip the y-intervals are merged with a
-    running maximum. Strips and rectangles meet through bands of x, so a rectangle is compared with the
-    strips near it and not with all of its key. All of it is windows and joins, so a large group spills
-    instead of filling a task's memory.
-    """
-    rects = rects.where("x1 > x0 and y1 > y0")
+def in_strips(rects: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, area, one row for each piece that a rectangle adds: neighbouring distinct x-edges bound strips, and inside
+    a strip the y-intervals are merged with a running maximum."""
     edges = rects.select(*keys, F.explode(F.array("x0", "x1")).alias("left")).distinct()
     strips = edges.withColumn("right", F.lead("left").over(Window.partitionBy(*keys).orderBy("left"))).where("right is not null")
-    bands = bands_of(rects, "x0", "x1", list(keys))
-    strips = strips.join(bands, list(keys)).withColumn("_band", F.floor((F.col("left") - F.col("_start")) / F.col("_height"))).drop("_start", "_height")
-    inside = strips.join(in_bands(rects, "x0", "x1", list(keys), bands, "_first"), [*keys, "_band"]).where("x0 <= left and x1 > left")
-    strip = Window.partitionBy(*keys, "left", "right")
-    before = strip.orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    inside = strips.join(rects, keys).where("x0 <= left and x1 > left")
+    before = Window.partitionBy(*keys, "left", "right").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
     merged = inside.withColumn("reach", F.max("y1").over(before))
     new = F.greatest(F.col("y1") - F.greatest(F.col("y0"), F.coalesce("reach", "y0")), F.lit(0.0))
-    return merged.groupBy(*keys).agg(F.sum((F.col("right") - F.col("left")) * new).alias("area"))
+    return merged.select(*keys, ((F.col("right") - F.col("left")) * new).alias("area"))
+
+
+def union_area(rects: DataFrame, *keys: str) -> DataFrame:
+    """keys, area: the exact area covered by the rectangles (x0, y0, x1, y1) of each key.
+
+    Rectangles are cut by a grid. A cell that one of them fills counts whole, and nothing else there is
+    looked at; so where many overlap, little is left. The pieces in the other cells are merged in strips,
+    each cell by itself. All of it is windows and joins by cell, so a large group spills instead of
+    filling a task's memory.
+    """
+    rects = rects.where("x1 > x0 and y1 > y0").select(*keys, "x0", "y0", "x1", "y1")
+    cell = [*keys, "_i", "_j"]
+    placed = in_cells(rects, list(keys), grid_of(rects, list(keys)))
+    sides, fills, size = {}, F.lit(True), F.lit(1.0)
+    for c, name in (("x", "_i"), ("y", "_j")):
+        low, high = edge_of(F.col(name), c), edge_of(F.col(name) + 1, c)
+        at = {k: cell_of(F.col(f"{c}{k}"), c) for k in "01"}
+        sides[f"{c}0"], sides[f"{c}1"] = F.when(F.col(name) > at["0"], low).otherwise(F.col(f"{c}0")), F.when(F.col(name) < at["1"], high).otherwise(F.col(f"{c}1"))
+        fills = fills & ((F.col(name) > at["0"]) | (F.col(f"{c}0") <= low)) & ((F.col(name) < at["1"]) | (F.col(f"{c}1") >= high))
+        size = size * (high - low)
+    pieces = placed.select(*cell, *[v.alias(k) for k, v in sides.items()], fills.alias("_fills"), size.alias("area"))
+    whole = pieces.where("_fills").groupBy(*cell).agg(F.first("area").alias("area"))
+    rest = pieces.where("not _fills and x1 > x0 and y1 > y0").select(*cell, *sides).join(whole, cell, "left_anti")
+    return whole.select(*keys, "area").unionByName(in_strips(rest, cell).select(*keys, "area")).groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
 def displayed(width: Column, height: Column, turn: Column) -> list[Column]:

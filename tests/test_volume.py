@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstack.functions import geometry as geo
 from quillstack.operators import gates, joins
 
 
@@ -79,3 +81,29 @@ def test_overlapping_moves_no_pairs(spark, shuffled, share):
     assert {r[0]: (r[1], r[2]) for r in got} == {g: (len(s), sum(s)) for g, s in want.items()}
     assert pairs.select("g", "a_id", "b_id").distinct().count() == sum(map(len, want.values()))
     assert written < 1_000_000
+
+
+def test_union_area_shapes(spark):
+    rows = {1: boxes(500, 1), 2: boxes(40, 2), 3: [(0.0, 0.0, 1.0, 1.0)], 4: [(float(k), 0.0, k + 0.5, 1.0) for k in range(300)], 5: [(0.0, 0.0, 90.0, 90.0)] + [(200.0 + k, 0.0, 201.0 + k, 1.0) for k in range(100)]}
+    df = spark.createDataFrame([(g, i, *r) for g, rs in rows.items() for i, r in enumerate(rs)] + [(6, 0, 1.0, 1.0, 1.0, 2.0), (7, 0, None, 0.0, 1.0, 1.0)], RECTS)
+    want = {g: len({(x, y) for r in set(rs) for x in range(2 * int(r[0]), int(2 * r[2])) for y in range(int(r[1]), int(r[3]))}) / 2 for g, rs in rows.items()}
+    assert {r.g: round(r.area, 9) for r in geo.union_area(df, "g").collect()} == want
+
+
+def scattered(n, seed):
+    """Rectangles of no common edges, and the area of their union by a raster of all edges."""
+    gauss = np.random.default_rng(seed).normal(0, 0.125, (n, 4))
+    x, y = np.sort(gauss[:, :2]), np.sort(gauss[:, 2:])
+    xs, ys = np.unique(x), np.unique(y)
+    held = np.zeros((len(xs), len(ys)), bool)
+    for (a, b), (c, d) in zip(np.searchsorted(xs, x), np.searchsorted(ys, y), strict=True):
+        held[a:b, c:d] = True
+    area = (np.outer(np.diff(xs), np.diff(ys)) * held[:-1, :-1]).sum()
+    return [(1, i, *map(float, (p[0], q[0], p[1], q[1]))) for i, (p, q) in enumerate(zip(x, y, strict=True))], area
+
+
+def test_union_area_moves_no_strips(spark, shuffled):
+    rows, area = scattered(1500, 7)
+    got, written = moved(spark, lambda: geo.union_area(spark.createDataFrame(rows, RECTS), "g"))
+    assert [round(r.area, 9) for r in got] == [round(area, 9)]
+    assert written < 4_000_000
