@@ -107,3 +107,13 @@ def test_union_area_moves_no_strips(spark, shuffled):
     got, written = moved(spark, lambda: geo.union_area(spark.createDataFrame(rows, RECTS), "g"))
     assert [round(r.area, 9) for r in got] == [round(area, 9)]
     assert written < 4_000_000
+
+
+def test_raster_coverage_moves_no_strips(spark, shuffled):
+    """A turned page that cuts most of its boxes."""
+    rows, _ = scattered(1500, 8)
+    images = spark.createDataFrame(rows, RECTS).withColumnRenamed("g", "page")
+    pages = spark.createDataFrame([(1, 0.25, 0.2, 90), (2, 1.0, 1.0, 0)], "page int, width double, height double, turn int")
+    got, written = moved(spark, lambda: geo.raster_coverage(pages, images))
+    assert {r.page: r.ratio for r in got} == {1: 1.0, 2: 0.0}
+    assert written < 2_000_000
