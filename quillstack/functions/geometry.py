@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,14 +133,69 @@ def displayed(width: Column, height: Column, turn: Column) -> list[Column]:
     return [F.coalesce(*[F.when(turn == k, v[i]) for k, v in turned.items()], c) for i, c in enumerate((x0, y0, x1, y1))]
 
 
+#: A task holds so many rectangles at once, looks at groups of so many or more, and takes so many of a
+#: group, the largest first, to cover others. They bound memory and time; rectangles that are left stay in the union.
+HELD, LEAST, ROUNDS = 100_000, 16, 200
+
+
+def outer(sides: np.ndarray) -> np.ndarray:
+    """The places of rectangles (x0, y0, x1, y1) that together cover what all of them cover."""
+    left = np.argsort((sides[:, 0] - sides[:, 2]) * (sides[:, 3] - sides[:, 1]), kind="stable")
+    kept = []
+    while len(left) and len(kept) < ROUNDS:
+        kept.append(left[:1])
+        x0, y0, x1, y1 = sides[left[0]]
+        rest = sides[left := left[1:]]
+        left = left[(rest[:, 0] < x0) | (rest[:, 1] < y0) | (rest[:, 2] > x1) | (rest[:, 3] > y1)]
+    return np.concatenate([*kept, left])
+
+
+def without_covered(rects: DataFrame, key: str) -> DataFrame:
+    """rects (key, x0, y0, x1, y1) without those that another one of the key covers whole, as far as one task sees both.
+
+    The union stays the same, and where many overlap, little is left to be shuffled. A rectangle with a side
+    that is no finite number stays.
+    """
+    columns = [key, "x0", "y0", "x1", "y1"]
+    rects = rects.select(columns)
+
+    def pruned(table: pa.Table) -> pa.Table:
+        codes = table[key].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        sides = np.stack([table[c].cast(pa.float64()).to_numpy() for c in columns[1:]], 1)
+        usable = np.isfinite(sides).all(1)
+        kept = [np.flatnonzero(~usable)]
+        order = np.flatnonzero(usable)
+        order = order[np.argsort(codes[order], kind="stable")]
+        sizes = np.bincount(codes[order])
+        small = sizes[codes[order]] < LEAST
+        kept.append(order[small])
+        for group in np.split(order[~small], np.cumsum(sizes[sizes >= LEAST])[:-1]):
+            kept.append(group[outer(sides[group])])
+        return table.take(pa.array(np.sort(np.concatenate(kept))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(map(len, held)) >= HELD:
+                held = [pruned(pa.concat_tables(held))]
+                if len(held[0]) > HELD // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from pruned(pa.concat_tables(held)).to_batches()
+
+    return rects.mapInArrow(run, rects.schema)
+
+
 def raster_coverage(pages: DataFrame, images: DataFrame) -> DataFrame:
     """page, ratio: the share of each page (page, width, height, turn) that its images (page, x0 .. y1) cover together.
 
-    Boxes are turned and cut to the page before their union, so overlaps count once. A page without area,
+    Boxes are turned and cut to the page before their union, so overlaps count once; those within another
+    one that the same task reads go first. A page without area,
     or with a box that is no finite rectangle, has no ratio.
     """
     usable = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    placed = images.join(pages, "page")
+    placed = without_covered(images, "page").join(pages, "page")
     whole = usable("x0") & usable("y0") & usable("x1") & usable("y1")
     bad = placed.where(~whole).select("page").distinct().withColumn("_bad", F.lit(True))
     x0, y0, x1, y1 = displayed(F.col("width"), F.col("height"), F.col("turn"))

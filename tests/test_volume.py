@@ -120,6 +120,28 @@ def test_raster_coverage_moves_no_strips(spark, shuffled):
     assert written < 2_000_000
 
 
+def test_raster_coverage_moves_no_covered_boxes(spark, shuffled):
+    """Boxes within others are dropped where they are read; odd ones, small pages and pages without a number stay."""
+    rows, area = scattered(3000, 9)
+    odd = [(2, 0, float("nan"), 0.0, 1.0, 1.0), (2, 1, 0.0, 0.0, 1.0, 1.0), (3, 0, 0.0, 0.0, 0.5, 1.0), (3, 1, 0.0, 0.0, 0.25, 1.0), (None, 0, 0.0, 0.0, 1.0, 1.0), (5, 0, 0.0, 0.0, None, 1.0)]
+    apart = [(4, k, float(k), 0.0, k + 0.5, 1.0) for k in range(400)]
+    images = spark.createDataFrame(rows + odd + apart, RECTS).withColumnRenamed("g", "page").withColumns({"x0": F.expr("if(page = 1, x0 + 2, x0)"), "x1": F.expr("if(page = 1, x1 + 2, x1)"), "y0": F.expr("if(page = 1, y0 + 2, y0)"), "y1": F.expr("if(page = 1, y1 + 2, y1)")})
+    pages = spark.createDataFrame([(1, 4.0, 4.0, 270), (2, 1.0, 1.0, 0), (3, 1.0, 1.0, 180), (4, 400.0, 1.0, 0), (5, 1.0, 1.0, 0), (6, 1.0, 1.0, 0)], "page int, width double, height double, turn int")
+    got, written = moved(spark, lambda: geo.raster_coverage(pages, images))
+    assert {r.page: r.ratio for r in got} == {1: round(area / 16, 6), 2: None, 3: 0.5, 4: 0.5, 5: None, 6: 0.0}
+    assert written < 300_000
+
+
+def test_outer_boxes_cover_the_same(monkeypatch):
+    sides = np.array(boxes(400, 4) * 2)
+    cells = lambda rs: {(x, y) for a, b, c, d in rs.astype(int) for x in range(a, c) for y in range(b, d)}
+    within = lambda p, q: (p[:2] >= q[:2]).all() and (p[2:] <= q[2:]).all()
+    kept = geo.outer(sides)
+    assert cells(sides[kept]) == cells(sides) and not any(i != j and within(sides[i], sides[j]) for i in kept for j in kept)
+    monkeypatch.setattr(geo, "ROUNDS", 2)
+    assert cells(sides[geo.outer(sides)]) == cells(sides)
+
+
 def test_glossary_join_moves_no_text(spark, shuffled):
     """A table above the size to be shared: words meet terms, and the text isn't sent with each of them."""
     rng = random.Random(11)
