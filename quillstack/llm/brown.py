@@ -57,7 +57,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def count_words(texts: DataFrame, room: int = 400_000) -> DataFrame:
+def count_words(texts: DataFrame, room: int = 100_000) -> DataFrame:
     """word, n over the texts, and one empty word for each text's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +230,20 @@ def joined_ids(column: pa.Array, mark: int, before: int) -> tuple[np.ndarray, np
     return np.insert(ids, np.repeat(starts, before), mark), starts + before * np.arange(len(column))
 
 
+#: Ids that are turned into codes at once; what they take in memory doesn't follow the size of a batch.
+IDS = 250_000
+
+
+def slices(column: pa.Array, ids: int = IDS) -> Iterator[pa.Array]:
+    """The texts of a batch in runs of at most so many ids, or of one text."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else []
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 4 * ids, "right")) - 1)
+        yield column.slice(at, stop - at)
+        at = stop
+
+
 def trigrams_of(column: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the class trigrams of a batch, their last classes, and where each text's begin (each has one at least)."""
     mark = len(of) - 1
@@ -247,8 +261,8 @@ def _histogram(coded: DataFrame, size: int, codes) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                held += np.bincount(codes(batch.column(0)), minlength=size)
+            for some in slices(batch.column(0)):
+                held += np.bincount(codes(some), minlength=size)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["code", "n"])
 
@@ -263,44 +277,64 @@ def _histogram(coded: DataFrame, size: int, codes) -> np.ndarray:
 BLOCK, WORDS = 1024, 32_000
 
 
-def neighbours(coded: DataFrame, v: int, parts: int, room: int = 500_000):
+def packed(w: np.ndarray, v: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """part, n, pairs of `neighbours` for numbers of words in a row; built in place, about 40 bytes a number."""
+    per = v // parts + 1
+    a, b = w[:-1], w[1:]
+    sides = [(a, b, 0), (b, a, 1)]
+    keys, at = np.empty(sum(int(np.count_nonzero(word < v)) for word, _, _ in sides), np.int64), 0
+    for word, near, before in sides:
+        known = word < v
+        word = word[known]
+        mine = keys[at : at + len(word)]
+        np.remainder(word, parts, out=mine)
+        mine *= per
+        mine += word // parts
+        mine <<= 32
+        code = near[known].view(np.uint32)
+        code <<= 1
+        code |= before
+        mine |= code
+        at += len(word)
+    keys.sort()
+    cuts = np.searchsorted(keys, np.arange(parts + 1) * per << 32)
+    for part, (start, stop) in enumerate(itertools.pairwise(cuts.tolist())):
+        if stop > start:
+            some = keys[start:stop]
+            pairs = np.empty((2, stop - start), "<u4")
+            np.bitwise_and(some, 0xFFFFFFFF, out=pairs[1], casting="unsafe")
+            some >>= 32
+            some -= part * per
+            pairs[0, 0] = some[0]
+            np.subtract(some[1:], some[:-1], out=pairs[0, 1:], casting="unsafe")
+            yield part, stop - start, pa.compress(pairs.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def neighbours(coded: DataFrame, v: int, parts: int, room: int = 2_000_000):
     """An RDD of (part, n, pairs): word // parts and the code of a neighbour, for words below v with word % parts == part.
 
     A code is twice the neighbour's number, and one more if it stands before the word. Pairs are packed
     (sorted, differences of the first, bytes in planes, zstd), since there are two for each token. All
     rows of a part are in one partition; the shuffle's files serve every sweep.
     """
-    per = v // parts + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            w = np.concatenate(held).astype(np.int64)
-            a, b = w[:-1], w[1:]
-            word, code = np.concatenate([a, b]), np.concatenate([b * 2, a * 2 + 1])
-            known = word < v
-            word, code = word[known], code[known]
-            keys = np.sort((word % parts * per + word // parts) << 32 | code)
-            cuts = np.searchsorted(keys, np.arange(parts + 1) * per << 32)
-            rows = []
-            for part, (start, stop) in enumerate(itertools.pairwise(cuts.tolist())):
-                if stop > start:
-                    some = keys[start:stop]
-                    pairs = np.stack([np.diff((some >> 32) - part * per, prepend=0), some & 0xFFFFFFFF]).astype("<u4")
-                    rows.append((part, stop - start, pa.compress(pairs.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)))
+            w = np.concatenate([*held, np.array([v + 1], np.int32)])
+            held.clear()
+            rows = list(packed(w, v, parts))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "pairs"])
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(joined_ids(batch.column(0), v + 1, 1)[0])
+            for some in slices(batch.column(0)):
+                held.append(joined_ids(some, v + 1, 1)[0])
                 size += len(held[-1])
-            if size > room:
-                held.append(np.array([v + 1]))
-                yield out()
-                held, size = [], 0
+                if size > room:
+                    yield out()
+                    size = 0
         if held:
-            held.append(np.array([v + 1]))
             yield out()
 
     return coded.select("ids").mapInArrow(run, "part int, n int, pairs binary").repartition(parts, "part").rdd
@@ -576,8 +610,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, last, firsts = trigrams_of(batch.column(6), of)
-            out = np.add.reduceat(flat[codes] - log_mass[last], firsts)
+            out = np.concatenate([np.add.reduceat(flat[codes] - log_mass[last], firsts) for codes, last, firsts in (trigrams_of(some, of) for some in slices(batch.column(6)))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.float64())], names=[*batch.schema.names[:6], "score"])
 
     return coded.mapInArrow(score, CODED.replace("ids binary", "score double")).select(

@@ -7,10 +7,12 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -264,6 +266,29 @@ def test_exact_dedup_survives_collisions(spark, texts):
 # -- models ----------------------------------------------------------------------------------------
 
 
+def test_lm_packs_in_little_memory():
+    """A batch of long texts is coded in slices, and its neighbours are packed in place."""
+    rng = np.random.default_rng(5)
+    v, parts, texts = 60_000, 3, [rng.zipf(1.2, n).clip(1, 60_001).astype(np.int32) - 1 for n in (0, 1, 300_000, 2, 0, 400_000, 5)]
+    column = pa.array([b"unused", *(t.tobytes() for t in texts)], pa.binary())[1:]
+    pieces = list(brown.slices(column, 3))
+    assert [len(s) for s in pieces] == [2, 1, 2, 1, 1] and pa.concat_arrays(pieces) == column and not list(brown.slices(column[:0]))
+    w = np.concatenate([x for s in pieces for x in [brown.joined_ids(s, v + 1, 1)[0]]] + [np.array([v + 1], np.int32)])
+    tracemalloc.start()
+    rows = list(brown.packed(w, v, parts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(w)
+    found = []
+    for part, n, pairs in rows:
+        steps, code = np.frombuffer(pa.decompress(pairs, decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(2, n).astype(np.int64)
+        found.append(np.stack([np.cumsum(steps) * parts + part, code]))
+    a, b = w[:-1].astype(np.int64), w[1:].astype(np.int64)
+    want = np.concatenate([np.stack([a, 2 * b])[:, a < v], np.stack([b, 2 * a + 1])[:, b < v]], 1)
+    in_order = lambda x: x[:, np.lexsort(x[::-1])]
+    assert (in_order(np.concatenate(found, 1)) == in_order(want)).all()
+
+
 def test_lm_scores(spark, texts):
     tokens = {i: t.encode().lower().split() + [b""] for i, t in texts.items()}
     counts = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
